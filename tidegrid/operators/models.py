@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -27,11 +28,12 @@ from ..config import (
 )
 from ..functions.numbers import finite
 from ..functions.suitability import rating_strict
+from ..session import cut
 from .audit import usable_columns
-from .display import contrast_score
+from .display import contrast_score, display_mask
 from .metrics import confidence_tier, evaluate, pick_candidate, poor_result_reasons, rank_candidates
 from .ranking import average_rank_percentile, exact_quantiles, relative_score
-from .sampling import downsample_background, min_depth
+from .sampling import downsample_background, min_depth, offshore
 
 RESULT_SCHEMA = (
     "species_id string, candidate_id string, model_name string, feature_set_name string, "
@@ -184,18 +186,43 @@ class Fitted:
         )
 
 
-def fit_candidate(train: DataFrame, columns: list[str], estimator, row_id: str) -> Fitted:
+def fit_candidates(train: DataFrame, columns: list[str], estimators: dict, row_id: str) -> dict[str, Fitted]:
+    """Fit several estimators on one preprocessed, weighted and cached training frame."""
     prep = Preprocessor.fit(train, columns, row_id)
     ready = class_weights(prep.apply(train.select("label", *columns)))
-    steps = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), estimator])
-    return Fitted(prep, steps.fit(ready), columns)
+    assembler = VectorAssembler(inputCols=columns, outputCol="features")
+    vectors = assembler.transform(ready).select("label", "weight", "features").cache()
+    fitted = {
+        name: Fitted(prep, PipelineModel([assembler, estimator.fit(vectors)]), columns)
+        for name, estimator in estimators.items()
+    }
+    vectors.unpersist()
+    return fitted
+
+
+def fit_candidate(train: DataFrame, columns: list[str], estimator, row_id: str) -> Fitted:
+    return fit_candidates(train, columns, {"one": estimator}, row_id)["one"]
+
+
+Metrics = dict[str, dict[str, dict]]
 
 
-def part_metrics(fitted: Fitted, data: DataFrame, row_id: str, split: str = "split") -> dict[str, dict]:
-    """Metrics per split, all splits in one evaluation; a handful of rows reach the driver."""
-    scored = fitted.score(data, keep=[row_id, "label", split])
-    rows = evaluate(scored.where(F.col(split).isNotNull()), [split], "label", "raw_score", row_id).collect()
-    return {r[split]: r.asDict() for r in rows}
+def evaluate_candidates(fitted: dict[str, Fitted], data: DataFrame, row_id: str, split: str = "split") -> Metrics:
+    """Metrics per candidate and split from one evaluation over all of them.
+
+    Scores are written out once, narrow; candidates x splits rows reach the driver.
+    """
+    parts = [
+        f.score(data, keep=[row_id, "label", split]).withColumn("candidate", F.lit(name))
+        for name, f in fitted.items()
+    ]
+    if not parts:
+        return {}
+    scored = cut(reduce(DataFrame.unionByName, parts).where(F.col(split).isNotNull()))
+    found: Metrics = {name: {} for name in fitted}
+    for r in evaluate(scored, ["candidate", split], "label", "raw_score", row_id).collect():
+        found[r["candidate"]][r[split]] = r.asDict()
+    return found
 
 
 def training_guard(data: DataFrame, features: dict[str, list[str]]) -> str | None:
@@ -241,9 +268,9 @@ def train_species(
     data: DataFrame, species_id: str, row_id: str, effort: Effort = Effort(),
     ratios: tuple[int, ...] = (10, 5), tuned: bool = True, sets: dict[str, list[str]] | None = None,
 ) -> TrainingRun:
-    """Fit every candidate of one species. ``data`` carries ``split`` and is cached meanwhile.
+    """Fit every candidate of one species, then evaluate all of them together.
 
-    The loop is over candidates (tens); each fit and each evaluation is a distributed job.
+    ``data`` carries ``split``. The loop is over candidates (tens); each fit is distributed.
     """
     run = TrainingRun()
     mine = data.where(F.col("species_id") == species_id).cache()
@@ -254,24 +281,23 @@ def train_species(
         mine.unpersist()
         return run
     tuned_sets = ("full_available_oceanographic", "no_coordinates", "sst_bathy_season")
+    about: dict[str, tuple] = {}
     for set_name, columns in sets.items():
         if len(columns) < 3:
             continue
         for ratio in ratios:
             train = downsample_background(
                 mine.where(F.col("split") == "train"), ratio, ["species_id"], row_id
-            ).cache()
+            )
             pool = baseline_estimators(effort)
             if tuned and ratio == 10 and set_name in tuned_sets:
                 pool.update(tuned_estimators(effort))
-            for name, estimator in pool.items():
-                fitted = fit_candidate(train, columns, estimator, row_id)
-                row = result_row(
-                    species_id, name, set_name, columns, ratio, part_metrics(fitted, mine, row_id)
-                )
-                run.rows.append(row)
-                run.models[row[1]] = fitted
-            train.unpersist()
+            for name, fitted in fit_candidates(train, columns, pool, row_id).items():
+                candidate = f"{set_name}__br{ratio}__{name}"
+                run.models[candidate] = fitted
+                about[candidate] = (name, set_name, columns, ratio)
+    found = evaluate_candidates(run.models, mine, row_id)
+    run.rows.extend(result_row(species_id, *about[c], found[c]) for c in run.models)
     mine.unpersist()
     return run
 
@@ -303,15 +329,14 @@ def feature_importance(fitted: Fitted) -> list[tuple[str, float]]:
 
 def null_model_metrics(data: DataFrame, row_id: str, effort: Effort, split: str = "split", sets: dict | None = None) -> dict[str, dict]:
     """Validation metrics of logistic models on deliberately poor feature sets."""
-    out = {}
     train = data.where(F.col(split) == "train")
+    fitted = {}
     for name, wanted in (sets or NULL_MODEL_FEATURES).items():
         columns = usable_columns(data, wanted, strict=False)
-        if not columns:
-            continue
-        fitted = fit_candidate(train, columns, baseline_estimators(effort)["logistic_regression_balanced"], row_id)
-        out[name] = part_metrics(fitted, data, row_id, split).get("validation", {})
-    return out
+        if columns:
+            estimator = baseline_estimators(effort)["logistic_regression_balanced"]
+            fitted[name] = fit_candidate(train, columns, estimator, row_id)
+    return {n: m.get("validation", {}) for n, m in evaluate_candidates(fitted, data, row_id, split).items()}
 
 
 def bias_audit(data: DataFrame, species_id: str, row_id: str, selected: dict, importance: list[tuple[str, float]], effort: Effort = Effort()) -> list[tuple]:
@@ -364,7 +389,7 @@ def split_validation(
             rows.append((species_id, name, "skipped", None, None, None, best_null, False))
             continue
         fitted = fit_candidate(mine.where(F.col(column) == "train"), columns, booster, row_id)
-        m = part_metrics(fitted, mine, row_id, column)
+        m = evaluate_candidates({name: fitted}, mine, row_id, column)[name]
         val, test = m.get("validation", {}), m.get("test", {})
         roc = val.get("roc_auc")
         rows.append((
@@ -406,11 +431,14 @@ def corrected_retrain(
         columns = usable_columns(data, MINIMUM_FEATURES + OPTIONAL_FEATURES, strict=False)
         if len(columns) < 4:
             continue
-        for name, estimator in corrected_estimators(effort).items():
-            fitted = fit_candidate(data.where(F.col("split") == "train"), columns, estimator, row_id)
-            row = result_row(species_id, name, strategy, columns, ratio, part_metrics(fitted, data, row_id))
+        fitted = fit_candidates(
+            data.where(F.col("split") == "train"), columns, corrected_estimators(effort), row_id
+        )
+        found = evaluate_candidates(fitted, data, row_id)
+        for name, model in fitted.items():
+            row = result_row(species_id, name, strategy, columns, ratio, found[name])
             run.rows.append(row)
-            run.models[row[1]] = fitted
+            run.models[row[1]] = model
     if not run.rows:
         run.rows.append((species_id, f"{species_id}__none", *[None] * 12, "not_trained", "no viable corrected candidates"))
     mine.unpersist()
@@ -418,19 +446,16 @@ def corrected_retrain(
 
 
 def batch_predictions(scored: DataFrame, keys: list[str], row_id: str, path: str = "fine") -> DataFrame:
-    """Scores to display columns. ``path``: 'demo' ranks all cells, 'corrected' only masked
+    """Scores to display columns. Ranking reads its input several times, so pass scores that
+    are already written (or ``cut``), not a model transform. ``path``: 'demo' ranks all cells, 'corrected' only masked
     cells by average rank, 'fine' adds the contrast score."""
     if path == "demo":
         ranked = relative_score(scored, keys, "raw_score", row_id, "score")
         return ranked.withColumn("rating", rating_strict("score"))
     if path == "corrected":
-        from .sampling import offshore
-
         visible = scored.where(offshore())
         ranked = average_rank_percentile(visible, keys, "raw_score", "score", row_id)
         return ranked.withColumn("rating", rating_strict("score"))
-    from .display import display_mask
-
     whole = relative_score(scored, keys, "raw_score", row_id, "raw_global_percentile_score", flat=1e-12)
     shown = contrast_score(whole.where(display_mask()), keys, row_id)
     return shown.withColumns({

@@ -35,14 +35,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(2 * partitions, MAX_BUCKETS))
 
 
-def find_cuts(df: DataFrame, key: str, tie: str | None) -> Cuts:
-    """One map-side-combined pass over two columns; brings back two bounded arrays."""
+def find_cuts(df: DataFrame, keys: list[str], tie: str | None) -> dict[str, Cuts]:
+    """One map-side-combined pass for all keys; brings back bounded arrays."""
     n = bucket_count(df)
     shares = [i / n for i in range(1, n)]
-    columns = [key] + ([tie] if tie else [])
-    row = df.agg(*[F.percentile_approx(c, shares, 10 * n).alias(c) for c in columns]).first()
-    found = [tuple(sorted({float(v) for v in row[c] or ()})) for c in columns]
-    return Cuts(found[0], found[1] if tie else ())
+    columns = list(dict.fromkeys([*keys, *([tie] if tie else [])]))
+    row = df.agg(*[
+        F.percentile_approx(F.col(c).cast("double"), shares, 10 * n).alias(c) for c in columns
+    ]).first()
+    found = {c: tuple(sorted({float(v) for v in row[c] or ()})) for c in columns}
+    return {k: Cuts(found[k], found[tie] if tie else ()) for k in keys}
 
 
 def _bucketize(df: DataFrame, source: str, target: str, cuts: tuple[float, ...]) -> DataFrame:
@@ -70,7 +72,7 @@ class Ranked:
         return Window.partitionBy(*self.bucket, *more)
 
     def with_offsets(self, rows: DataFrame | None = None) -> DataFrame:
-        return (self.rows if rows is None else rows).join(self.offsets, self.bucket)
+        return (self.rows if rows is None else rows).join(self.offsets, self.bucket, "left")
 
 
 def bucketed(
@@ -83,29 +85,32 @@ def bucketed(
     sums: dict[str, Column] | None = None,
     cuts: Cuts | None = None,
 ) -> Ranked:
-    """Cut rows with a non-null key into ordered buckets. ``groups`` must hold no NULL.
+    """Cut rows into ordered buckets. ``groups`` must hold no NULL.
 
     ``_k`` and ``_t`` are the ascending sort columns. Offsets per bucket: ``_off`` rows of the
     group before it, ``_n`` rows in it, ``_off1``/``_n1`` the same for all rows of its value
     range, ``_total``, ``_low``, ``_high`` for the group, and per entry of ``sums`` the sum
-    before the bucket (``_off_x``), in it (``_in_x``), and over the group (``_all_x``).
+    before the bucket (``_off_x``), in it (``_in_x``), and over the group (``_all_x``). Rows
+    with a NULL key are spread over buckets of their own (``_b1`` = -1) that have no offsets.
     """
     sums = sums or {}
     value = col(key).cast("double")
-    rows = df.withColumn("_k", -value if descending else value).where(F.col("_k").isNotNull())
+    rows = df.withColumn("_k", -value if descending else value)
     rows = rows.withColumn("_t", F.lit(0) if tie is None else col(tie))
     if cuts is None:
-        cuts = find_cuts(rows, "_k", "_t" if tie is not None else None)
+        cuts = find_cuts(rows, ["_k"], "_t" if tie is not None else None)["_k"]
     rows = _bucketize(rows, "_k", "_slot", cuts.key)
     rows = _bucketize(rows.withColumn("_td", F.col("_t").cast("double")), "_td", "_tslot", cuts.tie)
     # slot i starts at cut i-1: rows equal to that cut form the even bucket, the rest the odd one
     starts = F.array(*[F.lit(v) for v in (-INF, *cuts.key)])
-    at_cut = F.col("_k") == F.element_at(starts, F.col("_slot") + 1)
-    rows = rows.withColumn("_b1", 2 * F.col("_slot") + F.when(at_cut, 0).otherwise(1))
-    rows = rows.withColumn("_b2", F.when(at_cut, F.col("_tslot")).otherwise(0))
+    known = F.col("_k").isNotNull()
+    at_cut = known & (F.col("_k") == F.try_element_at(starts, F.col("_slot") + 1))
+    value_bucket = F.when(known, 2 * F.col("_slot") + F.when(at_cut, 0).otherwise(1)).otherwise(-1)
+    rows = rows.withColumn("_b1", value_bucket)
+    rows = rows.withColumn("_b2", F.when(at_cut | ~known, F.col("_tslot")).otherwise(0))
     rows = rows.drop("_slot", "_tslot", "_td")
 
-    sizes = rows.groupBy(*groups, "_b1", "_b2").agg(
+    sizes = rows.where(known).groupBy(*groups, "_b1", "_b2").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_k").alias("_low"),
         F.max("_k").alias("_high"),
@@ -139,9 +144,10 @@ def row_ranks(
     descending: bool = False,
     rank: str = "rank",
     total: str = "total",
+    cuts: Cuts | None = None,
 ) -> DataFrame:
-    """Adds 1-based ``rank`` by (key, tie) and ``total`` ranked rows; NULL keys drop out."""
-    ranked = bucketed(df, groups, key, tie, descending=descending)
+    """Adds 1-based ``rank`` by (key, tie) and ``total`` ranked rows; both NULL for a NULL key."""
+    ranked = bucketed(df, groups, key, tie, descending=descending, cuts=cuts)
     inside = F.row_number().over(ranked.window().orderBy("_k", "_t"))
     out = ranked.with_offsets(ranked.rows.withColumn("_rn", inside))
     return out.select(
@@ -153,11 +159,6 @@ def row_ranks(
     )
 
 
-def keep_unscored(df: DataFrame, scored: DataFrame, key: str) -> DataFrame:
-    """Put rows with a NULL key back, with NULL results."""
-    return scored.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
-
-
 def relative_score(
     df: DataFrame, groups: list[str], score: str, tie: str, out: str, flat: float = 1e-9
 ) -> DataFrame:
@@ -165,17 +166,18 @@ def relative_score(
     ranked = row_ranks(df, groups, score, tie, rank="_rank", total="_count")
     value = (F.col("_rank") - 1) / F.greatest(F.col("_count") - 1, F.lit(1)) * 100
     value = F.when(F.col("_high") - F.col("_low") < flat, 50.0).otherwise(value)
-    return keep_unscored(df, ranked.select(*df.columns, value.alias(out)), score)
+    return ranked.select(*df.columns, value.alias(out))
 
 
 def first_rank_percentile(
-    df: DataFrame, groups: list[str], score: str, tie: str, out: str, flat: float = 1e-12
+    df: DataFrame, groups: list[str], score: str, tie: str, out: str, flat: float = 1e-12,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """1-based rank / n * 100; a constant group gets 50."""
-    ranked = row_ranks(df, groups, score, tie, rank="_rank", total="_count")
+    ranked = row_ranks(df, groups, score, tie, rank="_rank", total="_count", cuts=cuts)
     value = F.col("_rank") / F.col("_count") * 100
     value = F.when(F.col("_high") - F.col("_low") < flat, 50.0).otherwise(value)
-    return keep_unscored(df, ranked.select(*df.columns, value.alias(out)), score)
+    return ranked.select(*df.columns, value.alias(out))
 
 
 def average_rank_percentile(
@@ -191,9 +193,7 @@ def average_rank_percentile(
         F.col("_off") + F.col("_r") + (F.col("_peers") - 1) / 2
     )
     value = average / F.col("_total") * 100
-    return keep_unscored(
-        df, ranked.with_offsets(rows).select(*df.columns, value.alias(out)), score
-    )
+    return ranked.with_offsets(rows).select(*df.columns, value.alias(out))
 
 
 def exact_quantiles(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -35,6 +37,7 @@ from .metrics import confidence_tier, evaluate, pick_candidate, poor_result_reas
 from .ranking import average_rank_percentile, exact_quantiles, relative_score
 from .sampling import downsample_background, min_depth, offshore
 
+PARALLEL_FITS = 4
 RESULT_SCHEMA = (
     "species_id string, candidate_id string, model_name string, feature_set_name string, "
     "feature_count long, background_ratio long, train_roc_auc double, validation_roc_auc double, "
@@ -192,10 +195,14 @@ def fit_candidates(train: DataFrame, columns: list[str], estimators: dict, row_i
     ready = class_weights(prep.apply(train.select("label", *columns)))
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     vectors = assembler.transform(ready).select("label", "weight", "features").cache()
-    fitted = {
-        name: Fitted(prep, PipelineModel([assembler, estimator.fit(vectors)]), columns)
-        for name, estimator in estimators.items()
-    }
+
+    def fit(item: tuple) -> tuple[str, Fitted]:
+        name, estimator = item
+        return name, Fitted(prep, PipelineModel([assembler, estimator.fit(vectors)]), columns)
+
+    # as in MLlib's own tuning: a few fits at a time keep executors busy between iterations
+    with ThreadPool(min(PARALLEL_FITS, len(estimators))) as pool:
+        fitted = dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), estimators.items()))
     vectors.unpersist()
     return fitted
 

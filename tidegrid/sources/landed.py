@@ -65,8 +65,9 @@ def geojson_rows(documents: DataFrame, properties: list[str], text: str = "text"
 def hourly_rows(payloads: DataFrame, text: str = "text") -> DataFrame:
     """Parallel hourly arrays to one row per hour, times read as UTC."""
     p = payloads.select(F.from_json(text, HOURLY_PAYLOAD).alias("p"))
+    # an absent variable is an empty array, padded with NULL by the zip
     hour = F.arrays_zip(*[
-        F.col(f"p.hourly.{n}").alias(n)
+        F.coalesce(F.col(f"p.hourly.{n}"), F.array()).alias(n)
         for n in ("time", "surface_pressure", "pressure_msl", "wind_speed_10m",
                   "wind_direction_10m", "precipitation")
     ])

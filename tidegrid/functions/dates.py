@@ -11,16 +11,19 @@ from ..config import REFERENCE_NEW_MOON, SYNODIC_MONTH_DAYS
 from .numbers import col
 
 TAU = 2 * math.pi
-# fixed values: prefix length and pattern, tried in this order
-DATE_FORMS = ((10, "yyyy-M-d", "day"), (7, "yyyy-M", "month"), (4, "yyyy", "year"))
+# fixed values: prefix length and shape, tried in this order
+DATE_FORMS = (
+    (10, r"^\d{4}-\d{1,2}-\d{1,2}$", "day"),
+    (7, r"^\d{4}-\d{1,2}$", "month"),
+    (4, r"^\d{4}$", "year"),
+)
 
 
 def _attempts(text) -> list[tuple[Column, str]]:
+    """The cast reads all three shapes without a formatter or an exception per bad row."""
     clean = F.trim(col(text))
-    return [
-        (F.try_to_timestamp(F.substring(clean, 1, size), F.lit(form)).cast("date"), precision)
-        for size, form, precision in DATE_FORMS
-    ]
+    prefixes = [(F.substring(clean, 1, size), shape, name) for size, shape, name in DATE_FORMS]
+    return [(F.when(p.rlike(shape), p.try_cast("date")), name) for p, shape, name in prefixes]
 
 
 def lenient_date(text) -> Column:

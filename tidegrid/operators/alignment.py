@@ -11,7 +11,7 @@ from ..config import FAD_TYPE, LANDMARK, MATCH_DISTANCE_LIMIT_KM, TRAIN_BOX, WEA
 from ..functions.dates import lunar_features, season_features
 from ..functions.geo import cell_index, cell_name, haversine_km, in_box
 from ..functions.numbers import truthy
-from .nearest import nearest_point
+from .nearest import nearest_by_place
 
 PHYSICS_COLUMNS = (
     "uo", "vo", "current_speed", "current_direction_degrees", "current_edge_score", "zos",
@@ -26,14 +26,17 @@ WEATHER_COLUMNS = (
 
 def structure_distances(cells: DataFrame, points: DataFrame) -> DataFrame:
     """Nearest point with its type, nearest aggregation device, and the landmark distance."""
-    near = nearest_point(cells, points, ["poi_type"], prefix="_poi_")
+    places = cells.select(F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon")).distinct()
+    poi = nearest_by_place(places, points, ["poi_type"]).withColumnRenamed("_best", "_poi")
     fads = points.where(F.col("poi_type") == FAD_TYPE)
-    near = nearest_point(near, fads, ["poi_type"], prefix="_fad_")
+    fad = nearest_by_place(places, fads, ["poi_type"]).withColumnRenamed("_best", "_fad")
+    placed = cells.withColumns({"_qlat": F.col("lat"), "_qlon": F.col("lon")})
+    near = placed.join(poi, ["_qlat", "_qlon"], "left").join(fad, ["_qlat", "_qlon"], "left")
     return near.select(
         *cells.columns,
-        F.col("_poi_km").alias("distance_to_nearest_poi_km"),
-        F.col("_poi_poi_type").alias("nearest_poi_type"),
-        F.col("_fad_km").alias("distance_to_nearest_fad_km"),
+        F.col("_poi.km").alias("distance_to_nearest_poi_km"),
+        F.col("_poi.props.poi_type").alias("nearest_poi_type"),
+        F.col("_fad.km").alias("distance_to_nearest_fad_km"),
         haversine_km("lat", "lon", F.lit(LANDMARK[0]), F.lit(LANDMARK[1]))
         .alias("distance_to_browns_mountain_km"),
     )

@@ -87,19 +87,29 @@ def with_reason(
 
 
 def label_rejections(flagged: DataFrame) -> DataFrame:
-    """Row-level reasons including duplicates (every row but the first of its key)."""
-    passed = flagged.where(F.col("reason").isNull())
-    first = passed.groupBy(*OCCURRENCE_KEY).agg(F.min("seq").alias("_first"))
-    marked = passed.join(first, OCCURRENCE_KEY, "left").withColumn(
-        "reason", F.when(F.col("seq") != F.col("_first"), "duplicates")
-    )
-    rejected = flagged.where(F.col("reason").isNotNull())
-    return rejected.unionByName(marked.drop("_first").select(*flagged.columns))
+    """Row-level reasons including duplicates (every row but the first of its key).
+
+    A rejected row is a key of its own, so rejected rows spread out and are nobody's duplicate.
+    One struct key keeps the reason expression from being repeated per key column.
+    """
+    own = F.when(F.col("reason").isNull(), F.lit(-1).cast("long")).otherwise(F.col("seq"))
+    keyed = flagged.withColumn("_key", F.struct(*OCCURRENCE_KEY, own.alias("own")))
+    first = keyed.groupBy("_key").agg(F.min("seq").alias("_first"))
+    marked = keyed.join(first, keyed["_key"].eqNullSafe(first["_key"]))
+    duplicate = F.when(F.col("seq") != F.col("_first"), "duplicates")
+    return marked.withColumn("reason", F.coalesce("reason", duplicate)).select(*flagged.columns)
 
 
 def accepted(flagged: DataFrame) -> DataFrame:
-    """Clean rows: first per (species, source, date, rounded position)."""
-    kept = first_rows(flagged.where(F.col("reason").isNull()), OCCURRENCE_KEY, ["seq"])
+    """Clean rows: first per (species, source, date, rounded position).
+
+    Rejected rows share one NULL key, which every task folds to a single row before the
+    shuffle; filtering them first would parse every row twice.
+    """
+    key = F.when(F.col("reason").isNull(), F.struct(*OCCURRENCE_KEY))
+    first = F.min_by(F.struct(*flagged.columns), "seq").alias("_row")
+    kept = flagged.groupBy(key.alias("_key")).agg(first)
+    kept = kept.where(F.col("_row.reason").isNull()).select("_row.*")
     return kept.withColumns({
         "year": F.year("date").cast("long"),
         "month": F.month("date").cast("long"),

@@ -8,20 +8,18 @@ to no place in the tile are dropped by distance bounds, and rows meet the few th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 
-LEVELS = 11
+TILE_DEG = 0.05
+LEVELS = 13
+CHUNK = 64
 WIDER = 3  # 8x the tile step covers 2.83 steps of latitude against longitude up to 69 degrees
 SLACK = 1.02
 
 
-def _tile(value: str, step: Column | float) -> Column:
-    return F.floor(F.col(value) / step).cast("long")
-
-
 def _levels() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
 
@@ -41,22 +39,37 @@ def _up(index: str, level: str) -> Column:
 
 def nearest_point(
     rows: DataFrame, points: DataFrame, keep: list[str], prefix: str = "nearest_",
-    tile_deg: float = 0.25, lat: str = "lat", lon: str = "lon", point_id: str = "poi_id",
+    lat: str = "lat", lon: str = "lon", point_id: str = "poi_id",
 ) -> DataFrame:
     """Adds the nearest point's ``keep`` columns and ``<prefix>km`` (ties: smallest id).
 
-    ``points`` needs its id, lat and lon. With no points all added columns are NULL.
+    Rows at one place share one answer, so hot places meet the candidates once. ``points``
+    needs its id, lat and lon. With no points all added columns are NULL.
     """
-    by = F.lit(tile_deg)
+    places = rows.select(F.col(lat).alias("_qlat"), F.col(lon).alias("_qlon")).distinct()
+    best = nearest_by_place(places, points, keep, point_id)
+    out = rows.join(best, (rows[lat] == best["_qlat"]) & (rows[lon] == best["_qlon"]), "left")
+    return out.select(
+        *[rows[c] for c in rows.columns],
+        F.col("_best.km").alias(f"{prefix}km"),
+        *[F.col(f"_best.props.{c}").alias(f"{prefix}{c}") for c in keep],
+    )
+
+
+def nearest_by_place(places: DataFrame, points: DataFrame, keep: list[str], point_id: str = "poi_id") -> DataFrame:
+    """(_qlat, _qlon, _best) with _best = (km, pid, props) for distinct places."""
+    by = F.lit(TILE_DEG)
+    located = places.where("_qlat is not null and _qlon is not null").withColumns({
+        "_ty": F.floor(F.col("_qlat") / by), "_tx": F.floor(F.col("_qlon") / by)
+    })
     pts = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
         F.col(point_id).alias("_pid"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"),
         F.struct(*keep).alias("_props"),
         F.floor(F.col("lat") / by).cast("long").alias("_py"),
         F.floor(F.col("lon") / by).cast("long").alias("_px"),
     )
-    located = rows.withColumns({"_ty": _tile(lat, by), "_tx": _tile(lon, by)})
     # tiles of all query rows: a small table however many rows there are
-    tiles = located.where("_ty is not null and _tx is not null").select("_ty", "_tx").distinct()
+    tiles = located.select("_ty", "_tx").distinct()
 
     tagged = pts.select("*", _levels().alias("_lv")).withColumns(
         {"_y": _up("_py", "_lv"), "_x": _up("_px", "_lv")}
@@ -94,23 +107,14 @@ def nearest_point(
     useful = useful.groupBy("_ty", "_tx", "_plat", "_plon").agg(
         F.min_by(F.struct("_pid", "_props"), "_pid").alias("_point")
     )
-
-    # rows at one place share one answer, so hot places meet the candidates once
-    places = located.where("_ty is not null and _tx is not null").select(
-        F.col(lat).alias("_qlat"), F.col(lon).alias("_qlon"), "_ty", "_tx"
-    ).distinct()
-    km = haversine_km("_qlat", "_qlon", "_plat", "_plon")
-    best = (
-        places.join(useful, ["_ty", "_tx"])
-        .groupBy("_qlat", "_qlon")
-        .agg(F.min(F.struct(F.round(km, 6).alias("km"), F.col("_point._pid").alias("pid"),
-                            F.col("_point._props").alias("props"))).alias("_best"))
-    )
-    out = rows.join(
-        best, (rows[lat] == best["_qlat"]) & (rows[lon] == best["_qlon"]), "left"
-    )
-    return out.select(
-        *[rows[c] for c in rows.columns],
-        F.col("_best.km").alias(f"{prefix}km"),
-        *[F.col(f"_best.props.{c}").alias(f"{prefix}{c}") for c in keep],
+    # candidates travel in short arrays: usually one per tile, more where points are dense
+    place = F.row_number().over(Window.partitionBy("_ty", "_tx").orderBy("_plat", "_plon"))
+    chunks = useful.withColumn("_chunk", F.floor(place / CHUNK)).groupBy("_ty", "_tx", "_chunk").agg(
+        F.collect_list(F.struct("_plat", "_plon", "_point")).alias("_points")
     )
+    best = F.array_min(F.transform("_points", lambda p: F.struct(
+        F.round(haversine_km("_qlat", "_qlon", p["_plat"], p["_plon"]), 6).alias("km"),
+        p["_point"]["_pid"].alias("pid"), p["_point"]["_props"].alias("props"),
+    )))
+    found = located.join(chunks, ["_ty", "_tx"]).select("_qlat", "_qlon", best.alias("_best"))
+    return found.groupBy("_qlat", "_qlon").agg(F.min("_best").alias("_best"))

@@ -56,6 +56,26 @@ def _bucketize(df: DataFrame, source: str, target: str, cuts: tuple[float, ...])
     return tool.transform(df).withColumn(target, F.col(target).cast("int"))
 
 
+def _with_order(df: DataFrame, key: Column | str, tie: Column | str | None, descending: bool) -> DataFrame:
+    value = col(key).cast("double")
+    return df.withColumns({
+        "_k": -value if descending else value, "_t": F.lit(0) if tie is None else col(tie)
+    })
+
+
+def _route(rows: DataFrame, cuts: Cuts) -> DataFrame:
+    rows = _bucketize(rows, "_k", "_slot", cuts.key)
+    rows = _bucketize(rows.withColumn("_td", F.col("_t").cast("double")), "_td", "_tslot", cuts.tie)
+    # slot i starts at cut i-1: rows equal to that cut form the even bucket, the rest the odd one
+    starts = F.array(*[F.lit(v) for v in (-INF, *cuts.key)])
+    known = F.col("_k").isNotNull()
+    at_cut = known & (F.col("_k") == F.try_element_at(starts, F.col("_slot") + 1))
+    value_bucket = F.when(known, 2 * F.col("_slot") + F.when(at_cut, 0).otherwise(1)).otherwise(-1)
+    rows = rows.withColumn("_b1", value_bucket)
+    rows = rows.withColumn("_b2", F.when(at_cut | ~known, F.col("_tslot")).otherwise(0))
+    return rows.drop("_slot", "_tslot", "_td")
+
+
 @dataclass
 class Ranked:
     """Rows with their bucket, and one offset row per (group, bucket)."""
@@ -84,6 +104,7 @@ def bucketed(
     descending: bool = False,
     sums: dict[str, Column] | None = None,
     cuts: Cuts | None = None,
+    base: DataFrame | None = None,
 ) -> Ranked:
     """Cut rows into ordered buckets. ``groups`` must hold no NULL.
 
@@ -92,25 +113,16 @@ def bucketed(
     range, ``_total``, ``_low``, ``_high`` for the group, and per entry of ``sums`` the sum
     before the bucket (``_off_x``), in it (``_in_x``), and over the group (``_all_x``). Rows
     with a NULL key are spread over buckets of their own (``_b1`` = -1) that have no offsets.
+    ``base`` is a cheaper frame with the same rows to count on, when ``df`` is a long plan.
     """
     sums = sums or {}
-    value = col(key).cast("double")
-    rows = df.withColumn("_k", -value if descending else value)
-    rows = rows.withColumn("_t", F.lit(0) if tie is None else col(tie))
+    source = df if base is None else base
     if cuts is None:
-        cuts = find_cuts(rows, ["_k"], "_t" if tie is not None else None)["_k"]
-    rows = _bucketize(rows, "_k", "_slot", cuts.key)
-    rows = _bucketize(rows.withColumn("_td", F.col("_t").cast("double")), "_td", "_tslot", cuts.tie)
-    # slot i starts at cut i-1: rows equal to that cut form the even bucket, the rest the odd one
-    starts = F.array(*[F.lit(v) for v in (-INF, *cuts.key)])
-    known = F.col("_k").isNotNull()
-    at_cut = known & (F.col("_k") == F.try_element_at(starts, F.col("_slot") + 1))
-    value_bucket = F.when(known, 2 * F.col("_slot") + F.when(at_cut, 0).otherwise(1)).otherwise(-1)
-    rows = rows.withColumn("_b1", value_bucket)
-    rows = rows.withColumn("_b2", F.when(at_cut | ~known, F.col("_tslot")).otherwise(0))
-    rows = rows.drop("_slot", "_tslot", "_td")
-
-    sizes = rows.where(known).groupBy(*groups, "_b1", "_b2").agg(
+        keyed = _with_order(source, key, tie, descending)
+        cuts = find_cuts(keyed, ["_k"], "_t" if tie is not None else None)["_k"]
+    rows = _route(_with_order(df, key, tie, descending), cuts)
+    counted = rows if base is None else _route(_with_order(base, key, tie, descending), cuts)
+    sizes = counted.where(F.col("_b1") >= 0).groupBy(*groups, "_b1", "_b2").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_k").alias("_low"),
         F.max("_k").alias("_high"),
@@ -145,9 +157,10 @@ def row_ranks(
     rank: str = "rank",
     total: str = "total",
     cuts: Cuts | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Adds 1-based ``rank`` by (key, tie) and ``total`` ranked rows; both NULL for a NULL key."""
-    ranked = bucketed(df, groups, key, tie, descending=descending, cuts=cuts)
+    ranked = bucketed(df, groups, key, tie, descending=descending, cuts=cuts, base=base)
     inside = F.row_number().over(ranked.window().orderBy("_k", "_t"))
     out = ranked.with_offsets(ranked.rows.withColumn("_rn", inside))
     return out.select(
@@ -171,10 +184,10 @@ def relative_score(
 
 def first_rank_percentile(
     df: DataFrame, groups: list[str], score: str, tie: str, out: str, flat: float = 1e-12,
-    cuts: Cuts | None = None,
+    cuts: Cuts | None = None, base: DataFrame | None = None,
 ) -> DataFrame:
     """1-based rank / n * 100; a constant group gets 50."""
-    ranked = row_ranks(df, groups, score, tie, rank="_rank", total="_count", cuts=cuts)
+    ranked = row_ranks(df, groups, score, tie, rank="_rank", total="_count", cuts=cuts, base=base)
     value = F.col("_rank") / F.col("_count") * 100
     value = F.when(F.col("_high") - F.col("_low") < flat, 50.0).otherwise(value)
     return ranked.select(*df.columns, value.alias(out))

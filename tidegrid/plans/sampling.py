@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell_name
 from ..operators import sampling as sm
 from ..operators.alignment import matched_only
+from ..session import cut
 from .alignment import MATCH, field, matched, simple_grid, training
 from .expressions import bins_sql
 from .registry import query
@@ -17,7 +18,8 @@ TIME_SQL = "CASE WHEN day_date <= DATE '1998-12-31' THEN 'train' WHEN day_date <
 
 
 def presence(spark: SparkSession, sf: str) -> DataFrame:
-    return matched_only(matched(spark, sf))
+    """Matched presences, written once: sampling reads them several times."""
+    return cut(matched_only(matched(spark, sf)))
 
 
 PRESENCE = MATCH + """

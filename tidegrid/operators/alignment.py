@@ -11,6 +11,7 @@ from ..config import FAD_TYPE, LANDMARK, MATCH_DISTANCE_LIMIT_KM, TRAIN_BOX, WEA
 from ..functions.dates import lunar_features, season_features
 from ..functions.geo import cell_index, cell_name, haversine_km, in_box
 from ..functions.numbers import truthy
+from ..session import calendar
 from .nearest import nearest_by_place
 
 PHYSICS_COLUMNS = (
@@ -116,7 +117,7 @@ def match_presence(
     Order of reasons: outside_bbox, no_grid_for_date, no_such_cell, missing_sst, land_cell.
     The grid is unique per (date, cell), so a hot cell grows no rows.
     """
-    days = grid.select("date").distinct().withColumn("_has_day", F.lit(True))
+    days = F.broadcast(calendar(grid).withColumn("_has_day", F.lit(True)))
     cells = grid.select(
         F.col("date"),
         cell_index("lat", step).alias("_iy"), cell_index("lon", step).alias("_ix"),
@@ -186,7 +187,8 @@ def as_of_field(targets: DataFrame, field: DataFrame, **options) -> DataFrame:
     """The whole field of the chosen source day for each target day."""
     choice = as_of_dates(targets, field.select("date"), **options)
     chosen = choice.where(F.col("source_date").isNotNull())
-    return chosen.join(field.withColumnRenamed("date", "source_date"), "source_date")
+    # one row per target day: bounded by the calendar
+    return field.withColumnRenamed("date", "source_date").join(F.broadcast(chosen), "source_date")
 
 
 def last_year_start(day: str = "date") -> Column:

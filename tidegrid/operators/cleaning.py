@@ -20,6 +20,7 @@ from ..config import (
 )
 from ..functions.dates import date_precision, lenient_date
 from ..functions.geo import in_box
+from ..session import calendar
 from .ranking import first_rows, hash_key, top_n
 
 REASONS = (
@@ -205,9 +206,9 @@ def verified_fields(field: DataFrame, required: tuple[str, ...] = ("lat", "lon",
         return field
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in sources]))
     banned = field.groupBy("date").agg(F.bool_or(text.rlike("synthetic|mock|proxy")).alias("_bad"))
-    return field.join(banned.where("_bad").select("date"), "date", "left_anti")
+    return field.join(calendar(banned.where("_bad")), "date", "left_anti")
 
 
 def rows_on_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
     """Keep rows whose day is wanted."""
-    return rows.join(dates.select("date").distinct(), "date", "left_semi")
+    return rows.join(calendar(dates), "date", "left_semi")

@@ -67,8 +67,9 @@ def grid_gradient(
     A neighbour is the next coordinate present that day; where it has no row or no value the
     result is NULL. Windows hold one lattice line each.
     """
-    ranked = field.join(_axis_rank(field, day, iy, "_ry"), [day, iy]).join(
-        _axis_rank(field, day, ix, "_rx"), [day, ix]
+    # joined last on (day, iy), so the row windows need no shuffle of their own
+    ranked = field.join(_axis_rank(field, day, ix, "_rx"), [day, ix]).join(
+        _axis_rank(field, day, iy, "_ry"), [day, iy]
     )
     sloped = ranked.withColumn("_gx", _slope(value, [day, iy], "_rx"))
     sloped = sloped.withColumn("_gy", _slope(value, [day, ix], "_ry"))

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, SEGMENTS, coast_priority_band, coast_segment, haversine_km
 from ..functions.suitability import profiles, rule_score, spot_drivers
-from ..session import cut
+from ..session import cut, small_side
 from .audit import rating_distribution
 from .nearest import nearest_point
 from .ranking import top_n
 
 BANDS = ("nearshore", "midshore", "offshore")
-POOL = 1000
+POOL = 999  # with the one extra row still inside Spark's map-side group limit of 1000
 # fixed values: request bounds of the spot query (least, most)
 RADIUS_M = (500, 2000)
 LIMIT = (1, 50)
@@ -231,7 +231,7 @@ def latest_predictions(predictions: DataFrame, date: str | None = None) -> DataF
     if date is not None:
         return predictions.where(F.col("date") == F.to_date(F.lit(date)))
     latest = predictions.groupBy("species_id").agg(F.max("date").alias("date"))
-    return predictions.join(latest, ["species_id", "date"], "left_semi")
+    return predictions.join(small_side(latest), ["species_id", "date"], "left_semi")
 
 
 def availability_by_mode(predictions: DataFrame, today: str) -> DataFrame:
@@ -254,9 +254,10 @@ def rule_context(points: DataFrame, month: int | None = None) -> DataFrame:
 
 
 def rule_hotspots(
-    context: DataFrame, species_id: str | None = None, min_score: float | None = None, per_species: int = 5
+    context: DataFrame, species_id: str | None = None, min_score: float | None = None, per_species: int | None = 5
 ) -> DataFrame:
-    """Every point scored for every rule species; the best ``per_species`` unless one is asked.
+    """Every point scored for every rule species; the best ``per_species`` unless one is asked
+    (None keeps all).
 
     The seven species are a fixed table, so points are expanded to them by an exploded array.
     """
@@ -279,6 +280,6 @@ def rule_hotspots(
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     scored = scored.drop("seasonality", "weights")
-    if species_id is not None:
+    if species_id is not None or per_species is None:
         return scored
     return top_n(scored, ["species_id"], [F.desc("score"), F.col("poi_id")], per_species)

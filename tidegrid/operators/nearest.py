@@ -62,12 +62,12 @@ def nearest_by_place(places: DataFrame, points: DataFrame, keep: list[str], poin
     located = places.where("_qlat is not null and _qlon is not null").withColumns({
         "_ty": F.floor(F.col("_qlat") / by), "_tx": F.floor(F.col("_qlon") / by)
     })
-    pts = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        F.col(point_id).alias("_pid"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"),
-        F.struct(*keep).alias("_props"),
-        F.floor(F.col("lat") / by).cast("long").alias("_py"),
-        F.floor(F.col("lon") / by).cast("long").alias("_px"),
-    )
+    # a place shared by many points keeps its smallest id, so copies never multiply rows
+    pts = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(
+        F.col("lat").alias("_plat"), F.col("lon").alias("_plon")
+    ).agg(
+        F.min_by(F.struct(F.col(point_id).alias("_pid"), F.struct(*keep).alias("_props")), point_id).alias("_point")
+    ).withColumns({"_py": F.floor(F.col("_plat") / by), "_px": F.floor(F.col("_plon") / by)})
     # tiles of all query rows: a small table however many rows there are
     tiles = located.select("_ty", "_tx").distinct()
 
@@ -99,14 +99,9 @@ def nearest_by_place(places: DataFrame, points: DataFrame, keep: list[str], poin
         haversine_km(south + dy, west + dx, "_plat", "_plon")
         for dy in (F.lit(0.0), by) for dx in (F.lit(0.0), by)
     ]) * SLACK
-    pairs = pairs.select("_ty", "_tx", "_pid", "_plat", "_plon", "_props",
-                         near.alias("_near"), far.alias("_far"))
+    pairs = pairs.select("_ty", "_tx", "_plat", "_plon", "_point", near.alias("_near"), far.alias("_far"))
     bound = pairs.groupBy("_ty", "_tx").agg(F.min("_far").alias("_bound"))
-    # a place shared by many points keeps its smallest id, so copies never multiply rows
     useful = pairs.join(bound, ["_ty", "_tx"]).where(F.col("_near") <= F.col("_bound"))
-    useful = useful.groupBy("_ty", "_tx", "_plat", "_plon").agg(
-        F.min_by(F.struct("_pid", "_props"), "_pid").alias("_point")
-    )
     # candidates travel in short arrays: usually one per tile, more where points are dense
     place = F.row_number().over(Window.partitionBy("_ty", "_tx").orderBy("_plat", "_plon"))
     chunks = useful.withColumn("_chunk", F.floor(place / CHUNK)).groupBy("_ty", "_tx", "_chunk").agg(

@@ -21,6 +21,7 @@ from ..config import (
 )
 from ..functions.geo import cell_index
 from ..functions.numbers import bin_index
+from ..session import small_side
 from .alignment import buffered_background, without_presence_cells
 from .ranking import hash_key, hash_ranks
 
@@ -95,7 +96,7 @@ def downsample_background(
     background = data.where(F.col("label") == 0)
     ranked = hash_ranks(background, groups, hash_key(row_id, seed=seed), "_rank", "_size")
     # a group without presences keeps its background, as there is nothing to balance
-    kept = ranked.join(presences, groups).where(
+    kept = ranked.join(small_side(presences), groups).where(
         (F.col("_rank") <= F.col("_p") * ratio) | (F.col("_p") == 0)
     )
     return data.where(F.col("label") == 1).unionByName(kept.select(*data.columns))
@@ -150,7 +151,7 @@ def strategy_pools(data: DataFrame, row_id: str = "row_id", seed: int = 42) -> D
     ranked = hash_ranks(
         binned, ["species_id", "_depth_bin", "_shelf_bin"], hash_key(row_id, seed=seed), "_rank", "_size"
     )
-    stratified = ranked.join(quota, "species_id").where(F.col("_rank") <= F.col("_quota"))
+    stratified = ranked.join(small_side(quota), "species_id").where(F.col("_rank") <= F.col("_quota"))
 
     pools = [
         tagged(background, "random_ocean_background"),
@@ -178,7 +179,7 @@ def strategy_samples(
     ranked = hash_ranks(with_ratio, keys, draw, "_rank", "_size")
     presences = data.where(F.col("label") == 1)
     counts = presences.groupBy("species_id").agg(F.count(F.lit(1)).alias("_p"))
-    sampled = ranked.join(counts, "species_id").where(
+    sampled = ranked.join(small_side(counts), "species_id").where(
         F.col("_rank") <= F.col("_p") * F.col("audit_background_ratio")
     )
     repeated = presences.withColumn(
@@ -251,7 +252,8 @@ def assign_splits(
         .when(fewest < 2, "insufficient_for_stratified_split")
         .otherwise("stratified_random_low_data")
     )
-    chosen = timed.join(facts.select(*groups, strategy.alias("split_strategy")), groups)
+    decided = small_side(facts.select(*groups, strategy.alias("split_strategy")))
+    chosen = timed.join(decided, groups)
     low = random_part(
         chosen.where(F.col("split_strategy") == "stratified_random_low_data"), row_id, groups,
         group_by=group_by,
@@ -283,7 +285,7 @@ def spatial_block_split(data: DataFrame, groups: list[str] | None = None, out: s
         F.when(F.col("_n") >= 3, F.when(F.col("_place") == 0, "validation")
                .when(F.col("_place") == 2, "test").otherwise("train")).alias(out),
     )
-    return named.join(ranked, [*groups, "block_id"], "left")
+    return named.join(small_side(ranked), [*groups, "block_id"], "left")
 
 
 def spatial_temporal_part(spatial: str, temporal: str) -> Column:
@@ -307,7 +309,8 @@ def candidate_cells(
     taken = kept.groupBy("date").agg(F.count(F.lit(1)).alias("_held"))
     ranked = hash_ranks(others, ["date"], hash_key(*keys, seed=seed), "_rank", "_size")
     room = F.lit(per_day) - F.coalesce(F.col("_held"), F.lit(0))
-    extra = ranked.join(taken, "date", "left").where(F.col("_rank") <= room)
+    # one row per day: bounded by the calendar
+    extra = ranked.join(F.broadcast(taken), "date", "left").where(F.col("_rank") <= room)
     return kept.unionByName(
         extra.select(*cells.columns).withColumn("is_presence_cell", F.lit(False))
     )

@@ -162,6 +162,14 @@ def w6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("w8_front_strength", "fx_scored", """
+SELECT cell_id, CASE WHEN depth_m IS NOT NULL THEN greatest(depth_m - 1000, 0e0) END AS front_strength FROM fx_scored""")
+def w8(spark: SparkSession, sf: str) -> DataFrame:
+    """max(x, 0) over signed values; real gradients are never negative."""
+    signed = view(spark, sf, "fx_scored").withColumn("g", F.col("depth_m") - 1000)
+    return signed.select("cell_id", fl.front_strength("g").alias("front_strength"))
+
+
 @query("w7_forward_gradient", "fx_field", """
 SELECT f.day_date AS date, f.iy, f.ix, CASE WHEN f.sst_c IS NOT NULL THEN round(sqrt(power(coalesce(e.sst_c - f.sst_c, 0e0), 2) + power(coalesce(n.sst_c - f.sst_c, 0e0), 2)), 5) END AS sst_gradient
 FROM fx_field f LEFT JOIN fx_field e ON e.day_date = f.day_date AND e.iy = f.iy AND e.ix = f.ix + 3 LEFT JOIN fx_field n ON n.day_date = f.day_date AND n.ix = f.ix AND n.iy = f.iy + 3""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..config import AUDIT_STATUS, AUDIT_WARNING
 from ..operators import hotspots as hs
 from ..schemas import text_schema
 from ..sources import landed, published, tabular
-from .alignment import points
+from ..session import shared_folder
+from .alignment import points, training
 from .cleaning import ENTRIES, PARSED, START, END, published_entries
 from .fixtures import view
 from .registry import query
@@ -118,12 +121,12 @@ def s8b(spark: SparkSession, sf: str) -> DataFrame:
 @query("s9_hourly_rows", "fx_hourly", """
 SELECT weather_lat, weather_lon, date_trunc('minute', ts) AS ts, day_date AS date, round(surface_pressure, 6) AS surface_pressure, wind_speed, wind_direction, precipitation FROM fx_hourly""")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly payloads per (cell, day) with parallel arrays, exploded again."""
+    """Payloads of at most 24 observations with parallel arrays, exploded again."""
     h = view(spark, sf, "fx_hourly")
     row = F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("time"), "surface_pressure", "wind_speed", "wind_direction", "precipitation"
     )
-    packed = h.groupBy("weather_lat", "weather_lon", "day_date").agg(F.collect_list(row).alias("r"))
+    packed = h.groupBy("weather_lat", "weather_lon", "day_date", F.floor(F.col("obs_id") / 24)).agg(F.collect_list(row).alias("r"))
     hourly = F.struct(
         F.col("r.time").alias("time"), F.col("r.surface_pressure").alias("surface_pressure"), F.col("r.wind_speed").alias("wind_speed_10m"),
         F.col("r.wind_direction").alias("wind_direction_10m"), F.col("r.precipitation").alias("precipitation"),
@@ -135,6 +138,17 @@ def s9(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+@query("s10_partitioned_write", "fx_training", """
+SELECT day_date AS date, count(*) AS rows, sum(CAST(row_id AS BIGINT))::BIGINT AS row_ids FROM fx_training GROUP BY 1""")
+def s10(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows written by year into the shared folder and read back under their schema."""
+    rows = training(spark, sf).select("row_id", "date", F.year("date").alias("year"))
+    path = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}.parquet"
+    tabular.write_table(rows, path, ["year"])
+    back = tabular.read_table(spark, path, rows.schema)
+    return back.groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("row_ids"))
+
+
 @query("s11_geojson_sink", "fx_scored", """
 SELECT lat, lon, species_id, CASE WHEN sst_c IS NULL THEN NULL ELSE CAST(round(sst_c * 10) AS BIGINT) END AS tenths FROM fx_scored""")
 def s11(spark: SparkSession, sf: str) -> DataFrame:

@@ -378,14 +378,34 @@ rule AS (SELECT *, round(greatest(0e0, least(100e0, {" + ".join(f"{k} * w_{k}" f
 SELECT r.poi_id, r.species_id, r.score, CASE WHEN score < 30 THEN 'Low' WHEN score < 55 THEN 'Possible' WHEN score < 75 THEN 'Good' ELSE 'Prime' END AS rating, d.key_drivers FROM rule r JOIN drivers d USING (poi_id, species_id)""")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
     """Every point against every rule species (J14)."""
-    rows = hotspots.rule_hotspots(rule_points(spark, sf), per_species=2_000_000_000)
+    rows = hotspots.rule_hotspots(rule_points(spark, sf), per_species=None)
     return rows.select("poi_id", "species_id", "score", "rating", F.concat_ws("|", "key_drivers").alias("key_drivers"))
 
 
-@query("f8_season_f9_structure", "fx_poi", RULES + "SELECT poi_id, species_id, season, structure FROM comp")
+@query("j14_points_by_species", "fx_poi", RULES + "SELECT species_id, count(*) AS pairs, count(DISTINCT poi_id) AS points FROM comp GROUP BY 1")
+def j14(spark: SparkSession, sf: str) -> DataFrame:
+    """Points expanded to the fixed species table by an array, not by a cross join."""
+    rows = hotspots.rule_hotspots(rule_points(spark, sf), per_species=None)
+    return rows.groupBy("species_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("poi_id").alias("points"))
+
+
+@query("t2_species_top_lists", "fx_poi", RULES + """
+SELECT poi_id, species_id, score, row_number() OVER (PARTITION BY species_id ORDER BY score DESC, poi_id) AS rank FROM rule QUALIFY rank <= 5""")
+def t2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = hotspots.rule_hotspots(rule_points(spark, sf))
+    return rows.select("poi_id", "species_id", "score", "rank").orderBy(F.desc("score"), "species_id", "poi_id")
+
+
+@query("f9_structure_score", "fx_poi", RULES + "SELECT poi_id, species_id, structure FROM comp")
+def f9(spark: SparkSession, sf: str) -> DataFrame:
+    rows = hotspots.rule_hotspots(rule_points(spark, sf), per_species=None)
+    return rows.select("poi_id", "species_id", F.col("c_structure").alias("structure"))
+
+
+@query("f8_season_score", "fx_poi", RULES + "SELECT poi_id, species_id, season FROM comp")
 def f8(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hotspots.rule_hotspots(rule_points(spark, sf), per_species=2_000_000_000)
-    return rows.select("poi_id", "species_id", F.col("c_season").alias("season"), F.col("c_structure").alias("structure"))
+    rows = hotspots.rule_hotspots(rule_points(spark, sf), per_species=None)
+    return rows.select("poi_id", "species_id", F.col("c_season").alias("season"))
 
 
 @query("q3_rule_hotspots", "fx_poi", RULES + """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import finite, number
+from ..session import calendar
 
 
 def _empty_if_missing(spark: SparkSession, load, schema: T.StructType) -> DataFrame:
@@ -58,7 +59,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 def write_new_days(df: DataFrame, path: str, written: DataFrame | None = None) -> None:
     """Append only days not yet written."""
-    fresh = df if written is None else df.join(written.select("date").distinct(), "date", "left_anti")
+    fresh = df if written is None else df.join(calendar(written), "date", "left_anti")
     fresh.write.mode("append").partitionBy("date").parquet(path)
 
 
@@ -86,7 +87,7 @@ def resolve_grid_columns(raw: DataFrame, wanted: dict[str, str]) -> DataFrame:
 def surface_on_dates(samples: DataFrame, dates: DataFrame) -> DataFrame:
     """Surface level of a long-form raster on the wanted days."""
     surface = samples.where(F.col("level_idx") == 0).drop("level_idx")
-    return surface.join(dates.select("date").distinct(), "date", "left_semi")
+    return surface.join(calendar(dates), "date", "left_semi")
 
 
 def wide_to_long(raster: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -172,10 +172,9 @@ def w8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w7_forward_gradient", "fx_field", """
 SELECT f.day_date AS date, f.iy, f.ix, CASE WHEN f.sst_c IS NOT NULL THEN round(sqrt(power(coalesce(e.sst_c - f.sst_c, 0e0), 2) + power(coalesce(n.sst_c - f.sst_c, 0e0), 2)), 5) END AS sst_gradient
-FROM fx_field f LEFT JOIN fx_field e ON e.day_date = f.day_date AND e.iy = f.iy AND e.ix = f.ix + 3 LEFT JOIN fx_field n ON n.day_date = f.day_date AND n.ix = f.ix AND n.iy = f.iy + 3""")
+FROM fx_field f LEFT JOIN fx_field e ON e.day_date = f.day_date AND e.iy = f.iy AND e.ix = f.ix + 1 LEFT JOIN fx_field n ON n.day_date = f.day_date AND n.ix = f.ix AND n.iy = f.iy + 1""")
 def w7(spark: SparkSession, sf: str) -> DataFrame:
-    cells = field(spark, sf).withColumns({"jy": F.floor(F.col("iy") / 3), "jx": F.floor(F.col("ix") / 3)})
-    return fl.forward_gradient(cells, "sst_c", "sst_gradient", iy="jy", ix="jx").select("date", "iy", "ix", "sst_gradient")
+    return fl.forward_gradient(field(spark, sf), "sst_c", "sst_gradient").select("date", "iy", "ix", "sst_gradient")
 
 
 @query("w9_physics_features", "fx_physics", PHYSICS + "," + gradient_sql("regrid", "date", "yy", "xx", "current_speed", "edge") + ","

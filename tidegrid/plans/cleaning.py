@@ -55,10 +55,10 @@ def p5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p6_verified_fields", "fx_field", """
-tagged AS (SELECT *, CASE WHEN (iy * 31 + ix * 7 + day(day_date) * 13) % 997 = 0 THEN 'Synthetic fill' ELSE 'MUR v4.1' END AS sst_source FROM fx_field)
+tagged AS (SELECT *, CASE WHEN iy * 31 + ix * 7 + day(day_date) * 13 = 1999 THEN 'Synthetic fill' ELSE 'MUR v4.1' END AS sst_source FROM fx_field)
 SELECT day_date AS date, iy, ix, sst_source FROM tagged WHERE day_date NOT IN (SELECT day_date FROM tagged WHERE lower(sst_source) LIKE '%synthetic%')""")
 def p6(spark: SparkSession, sf: str) -> DataFrame:
-    odd = (F.col("iy") * 31 + F.col("ix") * 7 + F.day("date") * 13) % 997 == 0
+    odd = F.col("iy") * 31 + F.col("ix") * 7 + F.day("date") * 13 == 1999
     tagged = view(spark, sf, "fx_field").withColumnRenamed("day_date", "date").withColumn(
         "sst_source", F.when(odd, "Synthetic fill").otherwise("MUR v4.1")
     )

@@ -19,7 +19,6 @@ from ..config import (
     TRAIN_UNTIL,
     VALIDATION_UNTIL,
 )
-from ..functions.geo import cell_index
 from ..functions.numbers import bin_index
 from ..session import small_side
 from .alignment import buffered_background, without_presence_cells

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LANDMARK, PREDICT_BOX
+from ..config import LANDMARK
 from ..functions.geo import cell_name
 from ..operators import alignment as al
 from ..operators import fields as fl
@@ -321,13 +321,13 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j11_bilinear", "fx_scored fx_static", """
 p AS (SELECT cell_id, (lat + 39) / 0.25e0 AS fy, (lon - 148.5e0) / 0.25e0 AS fx, least(floor(fy), 47) AS y0, least(floor(fx), 39) AS x0, fy - y0 AS ty, fx - x0 AS tx FROM fx_scored)
-SELECT cell_id, round((1 - ty) * (1 - tx) * a.depth_m + (1 - ty) * tx * b.depth_m + ty * (1 - tx) * c.depth_m + ty * tx * d.depth_m, 5) AS depth_m FROM p
+SELECT cell_id, round((1 - ty) * (1 - tx) * a.depth_m + (1 - ty) * tx * b.depth_m + ty * (1 - tx) * c.depth_m + ty * tx * d.depth_m, 6) AS depth_m FROM p
 LEFT JOIN fx_static a ON a.iy = y0 AND a.ix = x0 LEFT JOIN fx_static b ON b.iy = y0 AND b.ix = x0 + 1 LEFT JOIN fx_static c ON c.iy = y0 + 1 AND c.ix = x0 LEFT JOIN fx_static d ON d.iy = y0 + 1 AND d.ix = x0 + 1""")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
     pts = view(spark, sf, "fx_scored").select(F.col("cell_id").alias("point_id"), "lat", "lon")
     static = view(spark, sf, "fx_static").select("iy", "ix", "depth_m")
     out = fl.bilinear(pts, static, ["depth_m"], STEP, -39.0, 148.5, 49, 41)
-    return out.select(F.col("point_id").alias("cell_id"), F.round("depth_m", 5).alias("depth_m"))
+    return out.select(F.col("point_id").alias("cell_id"), F.round("depth_m", 6).alias("depth_m"))
 
 
 ELEVATION = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidegrid.llm.fingerprints import op3_fingerprints
 from tidegrid.llm.mixing import op10_mixing
+from tidegrid.llm.near_dedup import op4_near_dedup
 from tidegrid.llm.token_files import op6_token_files
 from tidegrid.llm.topk import OP7_SQL, op7_top_k
 from tidegrid.llm.url_filter import OP2_SQL, op2_url_filter
@@ -11,6 +12,7 @@ from tidegrid.llm.url_filter import OP2_SQL, op2_url_filter
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_fingerprints": op3_fingerprints,
+    "op4_near_dedup": op4_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_top_k": op7_top_k,
     "op10_mixing": op10_mixing,

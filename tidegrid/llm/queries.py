@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidegrid.llm.fingerprints import op3_fingerprints
+from tidegrid.llm.line_dedup import op1_line_dedup
 from tidegrid.llm.mixing import op10_mixing
 from tidegrid.llm.near_dedup import op4_near_dedup
 from tidegrid.llm.token_files import op6_token_files
@@ -10,6 +11,7 @@ from tidegrid.llm.topk import OP7_SQL, op7_top_k
 from tidegrid.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_dedup": op4_near_dedup,

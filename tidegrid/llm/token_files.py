@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ CHUNK_SCHEMA = (
     "shard int, chunk int, n_ids int, width int, planes array<binary>, "
     "doc_ids array<bigint>, doc_lens array<bigint>, open boolean"
 )
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_200_000
 
 
 def to_planes(ids: np.ndarray, *, width: int, bits: bool) -> list[bytes]:
@@ -76,8 +77,11 @@ def id_width(vocabulary: int) -> int:
 #: A control character that is no space and a word by itself: it parts words encoded together.
 MARK = "\x01"
 
-#: A stop or comma between a lower-case Latin letter and white space is a word by itself.
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|\Z)")
+#: A stop or comma after Latin letters is a word by itself.
+_STOPPED = re.compile(r"[a-zß-öø-ÿ]+[.,]")
+
+
+_PLAIN = re.compile(r"[a-z]+")
 
 
 class WordEncoder:
@@ -86,8 +90,8 @@ class WordEncoder:
 
     Such a tokenizer gives the ids of a text as those of its pieces between spaces, so each
     piece goes through the tokenizer once and its ids are kept as bytes. ``bounded`` words are
-    kept; then the memory starts anew. Texts of Latin letters are lower-cased and their stops
-    set apart first, which leaves fewer distinct pieces; other texts are left as they are.
+    kept; then the memory starts anew. Texts of Latin letters are lower-cased first, and a new
+    piece that is letters and a stop is put together from both, which leaves fewer to encode.
     """
 
     def __init__(self, tokenizer, bounded: int = MEMO_WORDS):
@@ -97,14 +101,12 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text as little-endian unsigned 32-bit integers."""
-        pieces = [_pieces(text) for text in texts]
-        if len(self.memo) > self.bounded:
-            self.memo = {"": b""}
-        memo = self.memo
-        known = [list(map(memo.get, p)) for p in pieces]
-        new = {w for p, k in zip(pieces, known) if None in k for w, g in zip(p, k) if g is None}
+    def _learn(self, new: set[str]) -> None:
+        memo, model = self.memo, self.tokenizer.model
+        # the tokenizer's normaliser and word splitter leave lower-case ASCII words as they are
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        memo.update((w, pack(f"<{len(t)}I", *[x.id for x in t])) for w, t in zip(plain, map(model.tokenize, plain)))
+        new = new.difference(plain)
         clean = [w for w in new if MARK not in w]
         for start in range(0, len(clean), 4096):
             words = clean[start : start + 4096]
@@ -115,13 +117,25 @@ class WordEncoder:
             begins = np.append(0, (cuts + 1) * 4)
             memo.update((w, raw[i:j]) for w, i, j in zip(words, begins.tolist(), ends.tolist()))
         memo.update((w, self._ids(w).tobytes()) for w in new if MARK in w)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        pieces = [_pieces(text) for text in texts]
+        if len(self.memo) > self.bounded:
+            self.memo = {"": b""}
+        memo = self.memo
+        known = [list(map(memo.get, p)) for p in pieces]
+        new = {w for p, k in zip(pieces, known) if None in k for w, g in zip(p, k) if g is None}
+        stopped = [w for w in new if _STOPPED.fullmatch(w)]
+        self._learn(new.difference(stopped).union({".", ","}, (w[:-1] for w in stopped)).difference(memo))
+        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in stopped)
         return [b"".join(map(memo.__getitem__, p) if None in k else k) for p, k in zip(pieces, known)]
 
 
 def _pieces(text: str) -> list[str]:
     try:
         text.encode("latin-1")
-        text = _STOP.sub(r" \1", text.lower())
+        text = text.lower()
     except UnicodeEncodeError:
         pass
     return text.replace("\n", " ").split(" ")

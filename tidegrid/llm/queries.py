@@ -8,6 +8,7 @@ from tidegrid.llm.mixing import op10_mixing
 from tidegrid.llm.near_dedup import op4_near_dedup
 from tidegrid.llm.token_files import op6_token_files
 from tidegrid.llm.topk import OP7_SQL, op7_top_k
+from tidegrid.llm.toxicity import op5_toxicity
 from tidegrid.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_dedup": op4_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_top_k": op7_top_k,
     "op10_mixing": op10_mixing,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import drop_held, held
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,43 +37,47 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def connect(buckets: DataFrame, may_link: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame],
-            star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """Edges that join what is linked: ``buckets`` (key, node, further columns for ``may_link``).
+def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str], Column], bound: float,
+            confirm: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """Edges (a, b) that join whatever is linked among nodes that share a bucket.
 
-    Candidates are nodes that share a key. ``may_link(a, b)`` is a cheap necessary condition on
-    the columns of two rows, ``confirm`` keeps the pairs (a, b) that are links.
+    ``buckets`` (key, node) names the candidates, ``nodes`` (node, keys, further columns) what is
+    known of each. ``closeness(a, b)``, from the columns of two nodes with these prefixes, must
+    reach ``bound`` for every link (NULL: no link); ``confirm`` keeps the pairs that are links.
 
-    In a star round each bucket compares its members with one of them, drawn by hash. Groups of
-    copies become one component that way, with about one pair per member and bucket. What is
-    still unknown is whether members of *different* components of a bucket are linked; only
-    those pairs are tried at the end, and only pairs that pass ``may_link`` leave the join. So
-    no two linked nodes that share a key stay apart, and pairs inside a component are not made.
+    In a star round each bucket compares its members with one of them, drawn by hash; every
+    component then tries its closest pair. Groups of copies grow together that way at one pair
+    a round and component. What stays unknown is whether members of *different* components of a
+    bucket are linked. At the end just those pairs are tried: only pairs that are close enough
+    leave the join, each in the first bucket that it shares. So no two linked nodes that share a
+    bucket stay apart, and no pairs are made inside a component.
     """
-    names = [c for c in buckets.columns if c != "key"]
-    edges, live = None, buckets
-    for turn in range(star_rounds + 1):
-        live = held(live, "live")
-        if live.isEmpty():
-            break
-        cols = [c for c in live.columns if c != "key"]
-        left, right = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
-        if turn < star_rounds:
-            draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), *cols)
-            first = live.groupBy("key").agg(F.min(draw).alias("f")).select("key", *[F.col(f"f.{c}").alias(f"b_{c}") for c in cols])
-            pairs = left.join(first, "key").where(F.col("a_node") != F.col("b_node"))
-            if "component" in cols:
-                pairs = pairs.where("a_component <> b_component")
-        else:
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a_component") < F.col("b_component")) & may_link("a_", "b_"))
-        pairs = pairs.where(may_link("a_", "b_")).select(
-            F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    facts = [c for c in nodes.columns if c not in ("node", "keys")]
+    light = nodes.drop("keys")
+    members = held(buckets.join(light, "node"), "members")
+    live, edges = members.withColumn("component", F.col("node")), None
+    for turn in range(star_rounds):
+        cols = ["node", "component", *facts]
+        left = live.select("key", *[F.col(c).alias(f"a_{c}") for c in cols])
+        draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), *cols)
+        first = live.groupBy("key").agg(F.min(draw).alias("f")).select("key", *[F.col(f"f.{c}").alias(f"b_{c}") for c in cols])
+        tried = left.join(first, "key").where("a_component <> b_component").select(
+            "a_component", "a_node", "b_node", closeness("a_", "b_").alias("close")).where(F.col("close") >= bound)
+        best = tried.groupBy("a_component").agg(F.max(F.struct("close", "a_node", "b_node")).alias("p"))
+        pairs = best.select(
+            F.least("p.a_node", "p.b_node").alias("a"), F.greatest("p.a_node", "p.b_node").alias("b")).distinct()
         found = held(confirm(pairs), "links")
         edges = found if edges is None else edges.unionByName(found)
-        if turn == star_rounds:
-            break
-        groups = components(edges)
-        marked = buckets.select("key", *names).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        live = marked.join(split, "key", "left_semi")
-    return edges if edges is not None else buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        marked = members.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # a bucket of two was tried in full in the first round
+        split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+        live = held(marked.join(split.where("lo <> hi and n > 2").select("key"), "key", "left_semi"), "live")
+    left = live.join(nodes.select("node", "keys"), "node")
+    left, right = (left.select("key", *[F.col(c).alias(f"{side}_{c}") for c in left.columns if c != "key"]) for side in "ab")
+    first_shared = F.element_at(F.filter("a_keys", lambda k: F.array_contains("b_keys", k)), 1)
+    rest = left.join(right, (
+        (left["key"] == right["key"]) & (F.col("a_component") < F.col("b_component"))
+        & (closeness("a_", "b_") >= bound) & (first_shared == left["key"])
+    ))
+    pairs = rest.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    return edges.unionByName(held(confirm(pairs), "links"))

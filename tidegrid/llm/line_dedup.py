@@ -89,14 +89,19 @@ def block_masks(distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _keys(distance: int) -> Column:
+    """One key for every pair of blocks of ``sim``."""
+    return F.array(*[
+        F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(m))) for t, m in enumerate(block_masks(distance))
+    ])
+
+
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
                 percent: int = PERCENT) -> DataFrame:
     """id, text_key, line_no, first_id, first_key, first_line, kept of every line with words."""
     lines = held(line_table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "lines")
     sims = lines.select("sim", "node").distinct().groupBy("sim").agg(F.count("*").alias("classes"))
-    keys = held(sims, "sims").select("sim", "classes", F.explode(F.array(*[
-        F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(F.lit(m))) for t, m in enumerate(block_masks(distance))
-    ])).alias("key"))
+    keys = held(sims, "sims").select("sim", "classes", F.explode(_keys(distance)).alias("key"))
     shared = keys.groupBy("key").agg(F.sum("classes").alias("n")).where("n > 1").select("key")
     close = held(keys.join(shared, "key").select("key", "sim"), "close")
     near_sims = close.select("sim").distinct()
@@ -104,11 +109,12 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = held(
         lines.select("node", "sim", "norm").join(F.broadcast(near_sims) if few else near_sims, "sim", "left_semi")
         .dropDuplicates(["node"]), "line-texts")
-    buckets = close.join(texts.select("sim", "node", F.length("norm").alias("n")), "sim")
+    nodes = texts.select("node", "sim", F.length("norm").alias("n"), _keys(distance).alias("keys"))
+    buckets = close.join(nodes.select("sim", "node"), "sim").select("key", "node")
 
-    def may_link(a: str, b: str) -> Column:
-        return (F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= distance) & (
-            100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
+    def closeness(a: str, b: str) -> Column:
+        alike = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
+        return F.when(alike, -F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("norm").alias("a_norm"))
@@ -117,7 +123,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(a, "a").join(b, "b").where(
             100 * F.levenshtein("a_norm", "b_norm") <= (100 - percent) * longer).select("a", "b")
 
-    groups = components(connect(buckets, may_link, confirm))
+    groups = components(connect(buckets, nodes, closeness, -distance, confirm))
     placed = (
         lines.select("id", "text_key", "line_no", "node").join(groups, "node", "left")
         .select("id", "text_key", "line_no", F.coalesce("component", "node").alias("grp"))

@@ -9,7 +9,7 @@ their sets is at least ``percent`` hundredths.
   low bits of every minimum are packed into two bit planes as the signature. Two planes are
   compared by xor and bit counts; unequal minima agree in two bits in a quarter of the cases,
   so similarity is estimated as ``(matches - 1/4) / (3/4)``. Candidates whose estimate is more
-  than five standard deviations under the limit, or whose sizes rule the limit out, are dropped.
+  than four standard deviations under the limit, or whose sizes rule the limit out, are dropped.
 * ``graph.connect`` tries candidates bucket by bucket, without all pairs of a bucket, and
   confirms each link on the full sets. With 48 bands of 6 rows a link at the limit is missed by
   the bands with probability 5e-7.
@@ -36,7 +36,7 @@ from tidegrid.llm.hashing import mix64, shingle_hashes, text_bytes, word_hashes
 
 BANDS, ROWS = 48, 6
 WIDTH, PERCENT = 5, 80
-SLACK = 0.15
+SLACK = 0.12
 BROADCAST_ROWS = 500_000
 _COLUMNS = 256
 
@@ -140,14 +140,15 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = held(sketches(rows_in, width, hasher), "sketches")
     classes = marks.where("n > 0").dropDuplicates(["node"])
-    by_key = classes.select(F.explode("keys").alias("key"), "node", "n", "planes", "text_key")
+    by_key = classes.select(F.explode("keys").alias("key"), "node")
     shared = by_key.groupBy("key").count().where("count > 1").select("key")
-    buckets = held(by_key.join(shared, "key").select("key", "node", "n", "planes", "text_key"), "buckets")
-    sets = held(_sets(rows_in, buckets.select("text_key", "node").distinct(), width), "sets")
+    buckets = held(by_key.join(shared, "key"), "buckets")
+    nodes = held(classes.join(buckets.select("node").distinct(), "node", "left_semi"), "nodes")
+    sets = held(_sets(rows_in, nodes.select("text_key", "node"), width), "sets")
 
-    def may_link(a: str, b: str) -> Column:
+    def closeness(a: str, b: str) -> Column:
         small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-        return (small * 100 >= large * percent) & (estimate(f"{a}planes", f"{b}planes", bands * rows) >= percent / 100 - SLACK)
+        return F.when(small * 100 >= large * percent, estimate(f"{a}planes", f"{b}planes", bands * rows))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
@@ -156,7 +157,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(a, "a").join(b, "b").where(
             100 * both >= percent * (F.size("a_grams") + F.size("b_grams") - both)).select("a", "b")
 
-    links = connect(buckets.drop("text_key"), may_link, confirm)
+    links = connect(buckets, nodes.select("node", "n", "planes", "keys"), closeness, percent / 100 - SLACK, confirm)
     groups = components(links)
     first = marks.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     ids = first.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

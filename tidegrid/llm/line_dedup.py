@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between line feeds. The normal form of a line has A-Z lower-cased,
 digits as 0, ASCII punctuation dropped and white space made single blanks. Lines of one normal
-form are one class. Classes are linked when their SimHashes (64 bits over the words) differ in
+form are one class. Classes are linked when their SimHashes (64 bits over the
+  distinct longer words) differ in
 at most ``distance`` bits and the edit similarity of their normal forms, 1 - edits / longer
 length, is at least ``percent`` hundredths. Of every connected group of classes one occurrence
 stays: the first by (id, text hash, line number).
@@ -48,10 +49,20 @@ def normal_lines(text: str) -> list[bytes]:
     return [b" ".join(line.split()) for line in data.split(b"\n")]
 
 
+def _content(line: bytes) -> list[bytes]:
+    """The distinct words of more than four bytes; all distinct words where there are none.
+
+    Short words stand in every line of a language and would make unlike lines alike.
+    """
+    words = set(line.split())
+    return [w for w in words if len(w) > 4] or list(words)
+
+
 def simhashes(lines: list[bytes]) -> np.ndarray:
     """The SimHash of every line; lines must have words."""
-    counts = np.array([line.count(b" ") + 1 for line in lines])
-    words = word_hashes(b"\n".join(lines))
+    content = [_content(line) for line in lines]
+    counts = np.array([len(words) for words in content])
+    words = word_hashes(b" ".join([b" ".join(words) for words in content]))
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64).reshape(-1)
@@ -102,7 +113,10 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = held(line_table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "lines")
     sims = lines.select("sim", "node").distinct().groupBy("sim").agg(F.count("*").alias("classes"))
     keys = held(sims, "sims").select("sim", "classes", F.explode(_keys(distance)).alias("key"))
-    shared = keys.groupBy("key").agg(F.sum("classes").alias("n")).where("n > 1").select("key")
+    # where just two hashes share a key, their distance decides at once
+    shared = keys.groupBy("key").agg(
+        F.sum("classes").alias("n"), F.count("*").alias("sims"), F.min("sim").alias("lo"), F.max("sim").alias("hi"),
+    ).where(f"n > 1 and (sims > 2 or bit_count(lo ^ hi) <= {distance})").select("key")
     close = held(keys.join(shared, "key").select("key", "sim"), "close")
     near_sims = close.select("sim").distinct()
     few = near_sims.count() <= BROADCAST_ROWS
@@ -119,9 +133,8 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def confirm(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("norm").alias("a_norm"))
         b = texts.select(F.col("node").alias("b"), F.col("norm").alias("b_norm"))
-        longer = F.greatest(F.length("a_norm"), F.length("b_norm"))
-        return pairs.join(a, "a").join(b, "b").where(
-            100 * F.levenshtein("a_norm", "b_norm") <= (100 - percent) * longer).select("a", "b")
+        most = f"cast(floor((100 - {percent}) * greatest(length(a_norm), length(b_norm)) / 100) as int)"
+        return pairs.join(a, "a").join(b, "b").where(F.expr(f"levenshtein(a_norm, b_norm, {most}) >= 0")).select("a", "b")
 
     groups = components(connect(buckets, nodes, closeness, -distance, confirm))
     placed = (

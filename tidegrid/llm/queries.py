@@ -7,6 +7,7 @@ from tidegrid.llm.line_dedup import op1_line_dedup
 from tidegrid.llm.mixing import op10_mixing
 from tidegrid.llm.near_dedup import op4_near_dedup
 from tidegrid.llm.pieces import op9_pieces
+from tidegrid.llm.private_numbers import op8_private_numbers
 from tidegrid.llm.token_files import op6_token_files
 from tidegrid.llm.topk import OP7_SQL, op7_top_k
 from tidegrid.llm.toxicity import op5_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_top_k": op7_top_k,
+    "op8_private_numbers": op8_private_numbers,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
 }

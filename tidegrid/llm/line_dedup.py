@@ -150,10 +150,11 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
-                    **options) -> DataFrame:
-    """``docs`` with the lines that are repeats taken out of their texts; no row goes.
+                    drop_emptied: bool = False, **options) -> DataFrame:
+    """``docs`` with the lines that are repeats taken out of their texts.
 
-    ``length_col`` is set to the new length in characters where it is named.
+    ``length_col`` is set to the new length in characters where it is named. With
+    ``drop_emptied`` a document all of whose words were repeats goes; others stay, empty ones too.
     """
     gone = (
         line_groups(docs, id_col=id_col, text_col=text_col, **options).where("not kept").distinct()
@@ -165,6 +166,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, no: ~F.array_contains(names["gone"], no))
     changed = F.col(names["gone"]).isNotNull()
     out = joined.withColumn(text_col, F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text_col)))
+    if drop_emptied:
+        out = out.where(~changed | F.col(text_col).rlike(r"[^\s\p{Punct}]"))
     if length_col:
         out = out.withColumn(length_col, F.when(changed, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

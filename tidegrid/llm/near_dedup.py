@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import free_name, held, table
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                 percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, component_id of every row."""
+    """id, n_shingles, component_id, and text_key and the group's name (NULL where it is alone) of every row."""
     hasher = MinHasher(bands, rows)
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = held(sketches(rows_in, width, hasher), "sketches")
@@ -162,24 +162,32 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = marks.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     ids = first.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = ids.join(least, "component").select("node", "component_id")
-    return marks.select("id", "n", "node").join(named, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = ids.join(least, "component").select("node", "component_id", F.col("component").alias("grp"))
+    return marks.select("id", "n", "node", "text_key").join(named, "node", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        "text_key", "grp")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group; of equal ids and texts, one row.
+    """One row of each group: the smallest by (id, hash of the text).
 
-    Rows without words are all kept.
+    Rows without words are no copies and all stay.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    mine, n = free_name(docs, "near_id"), free_name(docs, "near_n")
-    # repeated ids: a row stays when some row of its id is the first of its group
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(mine)).agg(F.max("n_shingles").alias(n))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept[mine]), "left_semi")
-    return out
+    groups = held(near_groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    names = {c: free_name(docs, f"near_{c}") for c in ("id", "key", "n")}
+    first = groups.where("n_shingles > 0").groupBy("grp").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("f"))
+    chosen = first.select("f.id", "f.text_key", F.lit(1).alias("n")).unionByName(
+        groups.where("n_shingles = 0").select(F.col(id_col).alias("id"), "text_key", F.lit(0).alias("n")).distinct())
+    side = chosen.toDF(names["id"], names["key"], names["n"])
+    joined = docs.join(side, docs[id_col].eqNullSafe(side[names["id"]]) & (F.xxhash64(docs[text_col]) == side[names["key"]]))
+    repeated = not groups.where("n_shingles > 0").groupBy(id_col, "text_key").count().where("count > 1").isEmpty()
+    if repeated:
+        # equal rows (same id and text) stand side by side after the join
+        equal = Window.partitionBy(names["id"], names["key"]).orderBy(names["n"])
+        joined = joined.withColumn(names["n"], F.col(names["n"]) * F.row_number().over(equal)).where(F.col(names["n"]) <= 1)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"), width=2)
-    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

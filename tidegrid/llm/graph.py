@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import drop_held, held
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,12 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str], Column], bound: float,
-            confirm: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+            confirm: Callable[[DataFrame], DataFrame], *, finer: Callable[[str, str], Column] | None = None,
+            late: tuple[str, ...] = ("keys",), star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Edges (a, b) that join whatever is linked among nodes that share a bucket.
 
     ``buckets`` (key, node) names the candidates, ``nodes`` (node, keys, further columns) what is
     known of each. ``closeness(a, b)``, from the columns of two nodes with these prefixes, must
     reach ``bound`` for every link (NULL: no link); ``confirm`` keeps the pairs that are links.
+    ``finer`` is a sharper necessary condition for the last step, where the columns ``late`` of
+    ``nodes`` come in.
 
     In a star round each bucket compares its members with one of them, drawn by hash; every
     component then tries its closest pair. Groups of copies grow together that way at one pair
@@ -52,8 +55,8 @@ def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str]
     leave the join, each in the first bucket that it shares. So no two linked nodes that share a
     bucket stay apart, and no pairs are made inside a component.
     """
-    facts = [c for c in nodes.columns if c not in ("node", "keys")]
-    light = nodes.drop("keys")
+    facts = [c for c in nodes.columns if c not in ("node", *late)]
+    light = nodes.drop(*late)
     members = held(buckets.join(light, "node"), "members")
     live, edges = members.withColumn("component", F.col("node")), None
     for turn in range(star_rounds):
@@ -72,12 +75,12 @@ def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str]
         # a bucket of two was tried in full in the first round
         split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         live = held(marked.join(split.where("lo <> hi and n > 2").select("key"), "key", "left_semi"), "live")
-    left = live.join(nodes.select("node", "keys"), "node")
+    left = live.join(nodes.select("node", *late), "node")
     left, right = (left.select("key", *[F.col(c).alias(f"{side}_{c}") for c in left.columns if c != "key"]) for side in "ab")
     first_shared = F.element_at(F.filter("a_keys", lambda k: F.array_contains("b_keys", k)), 1)
     rest = left.join(right, (
         (left["key"] == right["key"]) & (F.col("a_component") < F.col("b_component"))
-        & (closeness("a_", "b_") >= bound) & (first_shared == left["key"])
+        & (closeness("a_", "b_") >= bound) & (finer("a_", "b_") if finer else F.lit(True)) & (first_shared == left["key"])
     ))
     pairs = rest.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     return edges.unionByName(held(confirm(pairs), "links"))

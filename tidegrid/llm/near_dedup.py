@@ -13,7 +13,9 @@ their sets is at least ``percent`` hundredths.
 * ``graph.connect`` tries candidates bucket by bucket, without all pairs of a bucket, and
   confirms each link on the full sets. With 48 bands of 6 rows a link at the limit is missed by
   the bands with probability 5e-7.
-* Full sets are formed again from the texts of those classes only that share a key.
+* Full sets are formed again from the texts of those classes only that share a key, and with
+  them signatures of 2,048 minima, which leave few pairs below the limit to be confirmed (their
+  estimates miss a link at the limit by five standard deviations).
 
 Defined cases: a NULL text, or one without words, has an empty set, is linked with nothing and
 is its own group; each input row is a document of its own, also where ids repeat; a NULL id
@@ -37,6 +39,8 @@ from tidegrid.llm.hashing import mix64, shingle_hashes, text_bytes, word_hashes
 BANDS, ROWS = 48, 6
 WIDTH, PERCENT = 5, 80
 SLACK = 0.12
+#: Minima of the wide signatures (groups, rows), and how far below the limit their estimates may be.
+WIDE, WIDE_SLACK = (512, 4), 0.05
 BROADCAST_ROWS = 500_000
 _COLUMNS = 256
 
@@ -119,7 +123,8 @@ def estimate(a: str, b: str, count: int) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, grams for the texts whose ``text_key`` is in ``wanted`` (text_key, node)."""
+    """node, grams, wide for the texts whose ``text_key`` is in ``wanted`` (text_key, node)."""
+    hasher = MinHasher(*WIDE, seed=23)
     few = wanted.count() <= BROADCAST_ROWS
     keys = wanted.select("text_key").distinct()
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(F.broadcast(keys) if few else keys, "text_key", "left_semi")
@@ -127,10 +132,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(_clean(t), width) for t in batch["text"]]
-            yield pd.DataFrame({"node": [set_name(s) for s in sets], "grams": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({
+                "node": [set_name(s) for s in sets], "grams": [s.view(np.int64) for s in sets],
+                "wide": [hasher.planes(hasher.minima(s)) for s in sets],
+            })
 
     # equal texts give equal rows
-    return texts.select("text").mapInPandas(grams, "node binary, grams array<bigint>").dropDuplicates(["node"])
+    return texts.select("text").mapInPandas(grams, "node binary, grams array<bigint>, wide array<bigint>").dropDuplicates(["node"])
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -157,7 +165,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(a, "a").join(b, "b").where(
             100 * both >= percent * (F.size("a_grams") + F.size("b_grams") - both)).select("a", "b")
 
-    links = connect(buckets, nodes.select("node", "n", "planes", "keys"), closeness, percent / 100 - SLACK, confirm)
+    def finer(a: str, b: str) -> Column:
+        return estimate(f"{a}wide", f"{b}wide", WIDE[0] * WIDE[1]) >= percent / 100 - WIDE_SLACK
+
+    facts = nodes.select("node", "n", "planes", "keys").join(sets.select("node", "wide"), "node")
+    links = connect(buckets, facts, closeness, percent / 100 - SLACK, confirm, finer=finer, late=("keys", "wide"))
     groups = components(links)
     first = marks.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     ids = first.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

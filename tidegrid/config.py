@@ -19,12 +19,10 @@ EXTENDED_BOX = Box(south=-44.5, north=-25.0, west=145.0, east=160.5)
 FULL_START = "2002-06-01"
 FIRST_RUN_START = "2015-01-01"
 FIRST_RUN_END = "2025-12-31"
-MAX_TRAINING_DATES = 1000
 CELL_DEG = 0.05
 FINE_CELL_DEG = 0.005
 WEATHER_CELL_DEG = 0.5
 BACKGROUND_RATIO = 10
-BACKGROUND_CAP_PER_SPECIES = 200_000
 TRAINABLE_RECORDS = 300
 LOW_CONFIDENCE_RECORDS = 100
 UNCERTAINTY_LIMIT_M = 10_000.0
@@ -58,7 +56,6 @@ AUDIT_STATUS = "under_audit_nearshore_saturation_detected"
 
 # --- fixed values: export limits by rating ---
 EXPORT_LIMITS = {"Prime": 5000, "Good": 6000, "Possible": 8000, "Low": 5000}
-EXPORT_TOTAL = 24_000
 
 # --- fixed values: modelled species (id, scientific name, common name) ---
 MODELLED_SPECIES = (
@@ -122,31 +119,38 @@ RULE_COMPONENT_NAMES = {
 SEASON_SCORES = {"prime": 100.0, "good": 78.0, "possible": 52.0, "low": 25.0}
 SEASON_UNKNOWN = 50.0
 
-# --- fixed values: rule-scored species. Months are prime / good / possible / low, Jan..Dec ---
+# --- fixed values: rule-scored species ---
 RULE_PROFILES = (
     ("yellowfin_tuna", "Yellowfin Tuna", (20.0, 24.5), (17.5, 27.0),
      ("shelf_break", "deep", "very_deep"), ("shelf_break", "canyon", "offshore_bank"),
-     "good good prime prime prime good possible possible possible good good good"),
+     {"Jan": "good", "Feb": "good", "Mar": "prime", "Apr": "prime", "May": "prime", "Jun": "good",
+      "Jul": "possible", "Aug": "possible", "Sep": "possible", "Oct": "good", "Nov": "good", "Dec": "good"}),
     ("southern_bluefin_tuna", "Southern Bluefin Tuna", (14.0, 18.5), (11.5, 21.0),
      ("shelf_break", "deep", "very_deep"), ("shelf_break", "canyon", "current_edge"),
-     "low low possible possible good prime prime prime good possible low low"),
+     {"Jan": "low", "Feb": "low", "Mar": "possible", "Apr": "possible", "May": "good", "Jun": "prime",
+      "Jul": "prime", "Aug": "prime", "Sep": "good", "Oct": "possible", "Nov": "low", "Dec": "low"}),
     ("striped_marlin", "Striped Marlin", (20.0, 24.0), (18.0, 26.0),
      ("shelf_break", "deep"), ("shelf_break", "current_edge", "offshore_bank"),
-     "prime prime prime good possible low low low possible good good prime"),
+     {"Jan": "prime", "Feb": "prime", "Mar": "prime", "Apr": "good", "May": "possible", "Jun": "low",
+      "Jul": "low", "Aug": "low", "Sep": "possible", "Oct": "good", "Nov": "good", "Dec": "prime"}),
     ("blue_marlin", "Blue Marlin", (23.0, 27.0), (20.5, 29.0),
      ("deep", "very_deep"), ("current_edge", "seamount", "offshore_bank"),
-     "prime prime prime good possible low low low possible good good prime"),
+     {"Jan": "prime", "Feb": "prime", "Mar": "prime", "Apr": "good", "May": "possible", "Jun": "low",
+      "Jul": "low", "Aug": "low", "Sep": "possible", "Oct": "good", "Nov": "good", "Dec": "prime"}),
     ("mahi_mahi", "Mahi Mahi / Dolphinfish", (22.0, 27.0), (19.5, 29.0),
      ("shelf", "shelf_break", "deep"), ("fad_demo", "current_edge", "floating_structure"),
-     "prime prime prime good possible low low low possible good good prime"),
+     {"Jan": "prime", "Feb": "prime", "Mar": "prime", "Apr": "good", "May": "possible", "Jun": "low",
+      "Jul": "low", "Aug": "low", "Sep": "possible", "Oct": "good", "Nov": "good", "Dec": "prime"}),
     ("offshore_kingfish", "Offshore Yellowtail Kingfish", (18.0, 22.5), (15.0, 25.0),
      ("shelf", "shelf_break"), ("reef", "seamount", "ridge", "offshore_bank"),
-     "good good good good possible possible possible possible good good good good"),
+     {"Jan": "good", "Feb": "good", "Mar": "good", "Apr": "good", "May": "possible", "Jun": "possible",
+      "Jul": "possible", "Aug": "possible", "Sep": "good", "Oct": "good", "Nov": "good", "Dec": "good"}),
     ("longtail_tuna", "Longtail Tuna", (22.0, 27.0), (19.0, 29.0),
      ("shelf", "shelf_break"), ("current_edge", "harbour_departure", "fad_demo"),
-     "prime prime good good possible low low low possible good good prime"),
+     {"Jan": "prime", "Feb": "prime", "Mar": "good", "Apr": "good", "May": "possible", "Jun": "low",
+      "Jul": "low", "Aug": "low", "Sep": "possible", "Oct": "good", "Nov": "good", "Dec": "prime"}),
 )
-MONTH_NAMES = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 # --- fixed values: model feature names ---
 MINIMUM_FEATURES = (

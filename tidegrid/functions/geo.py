@@ -40,7 +40,8 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    # least() skips NULL: a missing end gives no distance
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_KM * F.asin(F.least(F.sqrt(h), F.lit(1.0))))
 
 
 def cell_index(value, step: float) -> Column:

@@ -24,7 +24,9 @@ def number(text: Column | str) -> Column:
 
 
 def clamp(c: Column | str, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(c)))
+    """``c`` held within [low, high]; NULL stays NULL."""
+    c = col(c)
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def blank_to_null(text: Column | str) -> Column:

@@ -32,7 +32,7 @@ def profiles(spark: SparkSession) -> DataFrame:
     for species, name, preferred, extended, depths, structures, seasons in RULE_PROFILES:
         rows.append((
             species, name, list(preferred), list(extended), list(depths), list(structures),
-            dict(zip(MONTH_NAMES, seasons.split())),
+            dict(seasons),
             {**RULE_WEIGHTS, **RULE_WEIGHT_CHANGES.get(species, {})},
         ))
     return spark.createDataFrame(rows, PROFILE_SCHEMA)
@@ -120,7 +120,7 @@ def rule_score(df: DataFrame) -> DataFrame:
         [F.col(f"c_{k}") * F.element_at("weights", F.lit(k)) for k in names],
     )
     is_mock = F.coalesce(F.col("data_confidence"), F.lit("mock")) == "mock"
-    score = F.round(clamp(total - F.when(is_mock, 6.0).otherwise(0.0)), 1)
+    score = F.rint(clamp(total - F.when(is_mock, 6.0).otherwise(0.0)) * 10) / 10
     # equal components keep their listed order, as a stable sort would
     ranked = F.array_sort(
         F.array(*[

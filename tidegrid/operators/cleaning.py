@@ -179,21 +179,23 @@ def distinct_dates(clean: DataFrame) -> DataFrame:
     return clean.select("date").distinct().orderBy("date")
 
 
-def capped_by_arrival(rows: DataFrame, cap: int) -> DataFrame:
-    """First ``cap`` records per species in arrival order (the feature is the cap)."""
+def capped_by_arrival(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """All records, or the first ``cap`` per species in arrival order where a cap is given."""
+    if cap is None:
+        return rows
     return top_n(rows, ["species_id"], [F.col("seq")], cap).drop("rank")
 
 
-def training_dates(clean: DataFrame, per_month: int, limit: int, seed: int = 42) -> DataFrame:
-    """Species-dates for training: all of them, or ``per_month`` per species-month up to ``limit``."""
+def training_dates(clean: DataFrame, per_month: int | None = None, seed: int = 42) -> DataFrame:
+    """Species-dates for training: all of them, or a draw of ``per_month`` per species and month."""
     dates = clean.groupBy("species_id", "date", "year", "month").agg(F.lit(1).alias("_one")).drop("_one")
-    if dates.limit(limit + 1).count() <= limit:
+    if per_month is None:
         return dates
     draw = hash_key("species_id", "date", seed=seed)
     picked = top_n(
         dates.withColumn("_draw", draw), ["species_id", "year", "month"], [F.col("_draw")], per_month
     )
-    return picked.orderBy("species_id", "year", "month", "_draw").limit(limit).drop("_draw", "rank")
+    return picked.drop("_draw", "rank")
 
 
 def verified_fields(field: DataFrame, required: tuple[str, ...] = ("lat", "lon", "sst_c")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import col
+from ..functions.numbers import clamp, col
 from .ranking import bucketed, row_ranks
 
 EPSILON = 1e-6
@@ -51,7 +51,7 @@ def curve_metrics(scored: DataFrame, groups: list[str], label: str, score: str)
 def count_metrics(scored: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
     """Counts, prevalence, losses and the confusion table at 0.5 in one pass."""
     y = F.col(label).cast("double")
-    s = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), F.col(score)))
+    s = clamp(score, EPSILON, 1 - EPSILON)
     loss = -(y * F.log(s) + (1 - y) * F.log(1 - s))
     yes = F.col(score) >= 0.5
     out = scored.groupBy(*groups).agg(
@@ -100,11 +100,14 @@ def top_share_metrics(
 
 
 def evaluate(scored: DataFrame, groups: list[str], label: str, score: str, row_id: str) -> DataFrame:
-    """All metrics per group. Scores are clipped to [1e-6, 1 - 1e-6] before ranking."""
+    """All metrics per group. Scores are clipped to [1e-6, 1 - 1e-6] before ranking.
+
+    Rows without a score take no part.
+    """
     clipped = scored.select(
         *groups, row_id, label,
-        F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), F.col(score))).alias(score),
-    )
+        clamp(score, EPSILON, 1 - EPSILON).alias(score),
+    ).where(F.col(score).isNotNull())
     return (
         count_metrics(clipped, groups, label, score)
         .join(curve_metrics(clipped, groups, label, score), groups, "left")

@@ -274,10 +274,17 @@ def hash_ranks(df: DataFrame, groups: list[str], order: Column, rank: str, total
         F.sum("_n").over(everything).alias(total),
     )
     inside = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h"))
-    ranked = rows.withColumn("_rn", inside).join(offsets, [*groups, "_b"])
+    ranked = null_safe_join(rows.withColumn("_rn", inside), offsets, [*groups, "_b"])
     return ranked.select(*df.columns, (F.col("_off") + F.col("_rn")).alias(rank), total)
 
 
+def null_safe_join(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL meets NULL; the keys of ``df`` stay."""
+    other = side.withColumnsRenamed({k: f"_side_{k}" for k in keys})
+    same = [df[k].eqNullSafe(other[f"_side_{k}"]) for k in keys]
+    return df.join(other, same).drop(*[f"_side_{k}" for k in keys])
+
+
 def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows per group, ranked.
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (
-    BACKGROUND_CAP_PER_SPECIES,
     BACKGROUND_RATIO,
     BACKGROUND_RATIOS,
     BACKGROUND_STRATEGIES,
@@ -22,7 +21,7 @@ from ..config import (
 from ..functions.numbers import bin_index
 from ..session import small_side
 from .alignment import buffered_background, without_presence_cells
-from .ranking import hash_key, hash_ranks
+from .ranking import hash_key, hash_ranks, null_safe_join
 
 MAX_SPECIES = 1000
 
@@ -43,21 +42,13 @@ def offshore(depth: str = "depth_m", mask: str | None = "ocean_mask") -> Column:
     return deep & F.coalesce(F.col(mask), F.lit(False)) if mask else deep
 
 
-def background_need(presence: DataFrame, ratio: int, cap: int) -> DataFrame:
-    """Rows to draw per (species, date): ratio x presences, cut off at the species cap.
-
-    One row per species and day, so the running total is bounded by the calendar.
-    """
-    counts = presence.groupBy("species_id", "date").agg((F.count(F.lit(1)) * ratio).alias("_want"))
-    before = Window.partitionBy("species_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("_want").over(before), F.lit(0))
-    need = F.least(F.col("_want"), F.greatest(F.lit(0), F.lit(cap) - used))
-    return counts.withColumn("need", need).where(F.col("need") > 0).drop("_want")
+def background_need(presence: DataFrame, ratio: int) -> DataFrame:
+    """Rows to draw per (species, date): ratio x presences."""
+    return presence.groupBy("species_id", "date").agg((F.count(F.lit(1)) * ratio).alias("need"))
 
 
 def same_day_background(
-    presence: DataFrame, grid: DataFrame, ratio: int = BACKGROUND_RATIO,
-    cap: int = BACKGROUND_CAP_PER_SPECIES, seed: int = 42,
+    presence: DataFrame, grid: DataFrame, ratio: int = BACKGROUND_RATIO, seed: int = 42,
 ) -> DataFrame:
     """Draw background cells for every species and day.
 
@@ -68,7 +59,7 @@ def same_day_background(
     open_cells = grid.where(
         F.col("sst_c").isNotNull() & F.coalesce(F.col("ocean_mask"), F.lit(True))
     ).select("date", "grid_id")
-    need = background_need(presence, ratio, cap)
+    need = small_side(background_need(presence, ratio))
     pool = without_presence_cells(
         open_cells.join(need, "date"), presence, ["species_id", "date", "grid_id"]
     )
@@ -95,7 +86,7 @@ def downsample_background(
     background = data.where(F.col("label") == 0)
     ranked = hash_ranks(background, groups, hash_key(row_id, seed=seed), "_rank", "_size")
     # a group without presences keeps its background, as there is nothing to balance
-    kept = ranked.join(small_side(presences), groups).where(
+    kept = null_safe_join(ranked, small_side(presences), groups).where(
         (F.col("_rank") <= F.col("_p") * ratio) | (F.col("_p") == 0)
     )
     return data.where(F.col("label") == 1).unionByName(kept.select(*data.columns))
@@ -237,6 +228,8 @@ def assign_splits(
     """
     groups = groups or ["species_id"]
     timed = data.withColumn("_time", temporal_part(day, train_until, validation_until))
+    # rows without a day train
+    timed = timed.withColumn("_time", F.coalesce("_time", F.lit("train")))
     cell = timed.groupBy(*groups, "_time").agg(
         F.count_if(F.col("label") == 0).alias("_b"), F.count_if(F.col("label") == 1).alias("_p")
     )
@@ -252,7 +245,7 @@ def assign_splits(
         .otherwise("stratified_random_low_data")
     )
     decided = small_side(facts.select(*groups, strategy.alias("split_strategy")))
-    chosen = timed.join(decided, groups)
+    chosen = null_safe_join(timed, decided, groups)
     low = random_part(
         chosen.where(F.col("split_strategy") == "stratified_random_low_data"), row_id, groups,
         group_by=group_by,

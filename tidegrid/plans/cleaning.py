@@ -172,21 +172,18 @@ def a3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s4_arrival_cap", "fx_occurrence", """
-SELECT seq, species_id FROM fx_occurrence QUALIFY row_number() OVER (PARTITION BY species_id ORDER BY seq) <= 2000""")
+SELECT seq, species_id FROM fx_occurrence""")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
-    return c.capped_by_arrival(view(spark, sf, "fx_occurrence"), 2000).select("seq", "species_id")
+    return c.capped_by_arrival(view(spark, sf, "fx_occurrence")).select("seq", "species_id")
 
 
 @query("x1_training_dates", "fx_training", """
-days AS (SELECT DISTINCT species_id, day_date AS date, CAST(year(day_date) AS BIGINT) AS year, CAST(month(day_date) AS BIGINT) AS month FROM fx_training),
-drawn AS (SELECT *, md5(concat_ws('|', '42', species_id, CAST(date AS VARCHAR))) AS h FROM days),
-few AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY species_id, year, month ORDER BY h) <= 5)
-SELECT species_id, date, year, month FROM few ORDER BY species_id, year, month, h LIMIT 1000""")
+SELECT DISTINCT species_id, day_date AS date, CAST(year(day_date) AS BIGINT) AS year, CAST(month(day_date) AS BIGINT) AS month FROM fx_training""")
 def x1(spark: SparkSession, sf: str) -> DataFrame:
     t = view(spark, sf, "fx_training").select(
         "species_id", F.col("day_date").alias("date"), F.year("day_date").cast("long").alias("year"), F.month("day_date").cast("long").alias("month")
     )
-    return c.training_dates(t, per_month=5, limit=1000)
+    return c.training_dates(t)
 
 
 @query("j9_rows_on_dates", "fx_physics fx_occurrence", CLEAN + """

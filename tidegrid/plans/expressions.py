@@ -31,8 +31,8 @@ def haversine_sql(a: str, b: str, c: str, d: str) -> str:
     half_lat = f"sin(radians(({c}) - ({a})) / 2)"
     half_lon = f"sin(radians(({d}) - ({b})) / 2)"
     return (
-        f"(2 * {EARTH} * asin(least(sqrt({half_lat} * {half_lat} + cos(radians({a})) * cos(radians({c})) "
-        f"* {half_lon} * {half_lon}), 1e0)))"
+        f"(CASE WHEN ({a}) + ({b}) + ({c}) + ({d}) IS NOT NULL THEN 2 * {EARTH} * asin(least(sqrt({half_lat} * {half_lat} + cos(radians({a})) * cos(radians({c})) "
+        f"* {half_lon} * {half_lon}), 1e0)) END)"
     )
 
 
@@ -306,7 +306,7 @@ def p11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p12_layer_cells", "fx_scored", """
-SELECT cell_id, 'front' AS layer FROM (SELECT cell_id FROM fx_scored WHERE sst_front_strength > 0.08e0 ORDER BY cell_id LIMIT 160) a
+SELECT cell_id, 'front' AS layer FROM fx_scored WHERE sst_front_strength > 0.08e0
 UNION ALL SELECT cell_id, 'heat' AS layer FROM fx_scored WHERE raw_score * 95 >= 30""")
 def p12(spark: SparkSession, sf: str) -> DataFrame:
     cells = view(spark, sf, "fx_scored").withColumn("score", F.col("raw_score") * 95)

@@ -197,12 +197,11 @@ def rated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("t3_stratified_export", "fx_scored", RATED + """
-, drawn AS (SELECT *, row_number() OVER (PARTITION BY species_id, rating ORDER BY md5(concat_ws('|', '42', CAST(cell_id AS VARCHAR))), cell_id) AS r FROM rated),
-kept AS (SELECT * FROM drawn WHERE r <= CASE rating WHEN 'Prime' THEN 5000 WHEN 'Good' THEN 6000 WHEN 'Possible' THEN 8000 ELSE 5000 END)
-SELECT cell_id, species_id, rating FROM kept QUALIFY row_number() OVER (PARTITION BY species_id ORDER BY score DESC, cell_id) <= 9000""")
+
+SELECT cell_id, species_id, rating FROM rated""")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
     cells = rated(spark, sf).select("cell_id", "species_id", "rating", "score")
-    return display.stratified_export(cells, ["species_id"], "cell_id", total=9000).drop("score")
+    return display.stratified_export(cells, ["species_id"], "cell_id").drop("score")
 
 
 @query("t4_recommended_list", "fx_scored", "SELECT cell_id, species_id, raw_score FROM fx_scored ORDER BY raw_score DESC, cell_id LIMIT 30")
@@ -220,7 +219,7 @@ def t5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("t6_thinned_vectors", "fx_scored", """
-SELECT cell_id, species_id FROM (SELECT cell_id, species_id, row_number() OVER (PARTITION BY species_id ORDER BY cell_id) - 1 AS i FROM fx_scored WHERE current_speed > 0.05e0) v WHERE i % 42 = 0 AND i / 42 < 220""")
+SELECT cell_id, species_id FROM (SELECT cell_id, species_id, row_number() OVER (PARTITION BY species_id ORDER BY cell_id) - 1 AS i FROM fx_scored WHERE current_speed > 0.05e0) v WHERE i % 42 = 0""")
 def t6(spark: SparkSession, sf: str) -> DataFrame:
     return display.thinned_vectors(scored(spark, sf), ["species_id"], "cell_id", zoom=10).select("cell_id", "species_id")
 
@@ -355,7 +354,7 @@ def profile_rows_sql() -> str:
     rows = []
     for species, name, pref, ext, depths, structures, seasons in RULE_PROFILES:
         w = {**RULE_WEIGHTS, **RULE_WEIGHT_CHANGES.get(species, {})}
-        season = SEASON_SCORES[seasons.split()[3]]
+        season = SEASON_SCORES[seasons["Apr"]]
         rows.append(f"('{species}', {pref[0]}e0, {pref[1]}e0, {ext[0]}e0, {ext[1]}e0, {sql_list(depths)}, {sql_list(structures)}, {season}e0, "
                     + ", ".join(f"{w[k]}e0" for k in RULE_COMPONENT_NAMES) + ")")
     return ", ".join(rows)
@@ -368,7 +367,7 @@ comp AS (SELECT poi_id, species_id, prof.* EXCLUDE (species_id), CASE WHEN sst_c
  least(100e0, greatest(0e0, g * 48)) AS front, least(100e0, greatest(0e0, 35 + speed * 72)) AS current, CASE WHEN list_contains(depths, depth_class) THEN 85e0 ELSE 45e0 END AS bathy,
  least(100e0, 35e0 + CASE WHEN list_contains(prefs, poi_type) THEN 40 ELSE 0 END + CASE WHEN list_contains(depths, depth_class) THEN 25 ELSE 0 END + CASE WHEN poi_type IN ('shelf_break', 'canyon') AND list_has_any(prefs, ['shelf_break', 'canyon']) THEN 10 ELSE 0 END + CASE WHEN poi_type = 'fad_demo' AND list_contains(prefs, 'fad_demo') THEN 25 ELSE 0 END) AS structure,
  CASE WHEN poi_type = 'fad_demo' AND list_contains(prefs, 'fad_demo') THEN 95e0 ELSE 40e0 END AS fad, CASE WHEN poi_type IN ('shelf_break', 'canyon') THEN 90e0 ELSE 45e0 END AS shelf_canyon, CASE WHEN g >= 1 THEN 68e0 ELSE 42e0 END AS chlorophyll, CASE WHEN eddy_on THEN 70e0 ELSE 48e0 END AS eddy FROM ctx, prof),
-rule AS (SELECT *, round(greatest(0e0, least(100e0, {" + ".join(f"{k} * w_{k}" for k in RULE_COMPONENT_NAMES)} - 6)), 1) AS score FROM comp)
+rule AS (SELECT *, round_even(greatest(0e0, least(100e0, {" + ".join(f"{k} * w_{k}" for k in RULE_COMPONENT_NAMES)} - 6)), 1) AS score FROM comp)
 """
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import drop_held, held
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+TASK_EDGES, LEAST_TASKS = 50_000, 6
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,13 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
+        # edges never grow in number: tasks of a fixed size, however many partitions are set
+        tasks = max(LEAST_TASKS, -(-state[0] // TASK_EDGES))
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").coalesce(tasks).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+        small = large.join(low, "a").coalesce(tasks).select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = held(small.select("e.*").where("a <> b").distinct(), "edges")
+        after = held(small.select("e.*").where("a <> b").distinct().coalesce(tasks), "edges")
         drop_held(now)
         now, seen = after, state
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -232,6 +232,21 @@ def evaluate_candidates(fitted: dict[str, Fitted], data: DataFrame, row_id: str,
     return found
 
 
+def training_reasons(data: DataFrame) -> DataFrame:
+    """species_id, reason: why a species cannot be trained, or ``ready``; one pass for all species."""
+    is_p, is_b = F.col("label") == 1, F.col("label") == 0
+    in_val = F.col("split") == "validation"
+    p, b = F.count_if(is_p), F.count_if(is_b)
+    vp, vb = F.count_if(in_val & is_p), F.count_if(in_val & is_b)
+    reason = (
+        F.when(p < LOW_CONFIDENCE_RECORDS, "fewer than 100 presence records; rule-based only")
+        .when(b == 0, "no background samples available")
+        .when((vp == 0) | (vb == 0), "validation split is unavailable or single-class")
+        .otherwise("ready")
+    )
+    return data.groupBy("species_id").agg(reason.alias("reason"))
+
+
 def training_guard(data: DataFrame, features: dict[str, list[str]]) -> str | None:
     """Reason why a species cannot be trained, from one aggregate row."""
     is_p, is_b = F.col("label") == 1, F.col("label") == 0
@@ -379,6 +394,7 @@ def split_validation(
     """Main booster under several split columns against null models on the first of them.
 
     ``splits`` maps a report name to a split column. beats_null needs 0.03 more ROC-AUC.
+    ``passes`` is the verdict on the species: whether its spatial-temporal holdout beats them.
     """
     mine = data.where(F.col("species_id") == species_id).cache()
     booster = baseline_estimators(effort)["gradient_boosting_baseline"]
@@ -404,12 +420,13 @@ def split_validation(
             bool((roc or 0.0) > best_null + 0.03),
         ))
     mine.unpersist()
-    return rows
+    passes = any(r[-1] for r in rows if r[1] == "spatial_temporal_holdout")
+    return [(*r, passes) for r in rows]
 
 
 VALIDATION_SCHEMA = (
     "species_id string, split_name string, status string, validation_roc_auc double, "
-    "validation_pr_auc double, test_roc_auc double, best_null_roc_auc double, beats_null_models boolean"
+    "validation_pr_auc double, test_roc_auc double, best_null_roc_auc double, beats_null_models boolean, passes boolean"
 )
 
 

@@ -46,31 +46,32 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
 @query("m5_training_guards", "fx_training", """
 SELECT species_id, CASE WHEN count(*) FILTER (label = 1) < 100 THEN 'fewer than 100 presence records; rule-based only' ELSE 'ready' END AS reason FROM fx_training GROUP BY 1""")
 def m5(spark: SparkSession, sf: str) -> DataFrame:
-    data = samples(spark, sf)
-    found = [
-        (s, models.training_guard(data.where(F.col("species_id") == s), ONE_SET) or "ready") for s in SPECIES
-    ]
-    return spark.createDataFrame(found, "species_id string, reason string")
+    return models.training_reasons(samples(spark, sf))
 
 
-@query("m9_selection")
-def m9(spark: SparkSession, sf: str) -> DataFrame:
-    """Selected candidate with confidence and its feature importance."""
-    data = samples(spark, sf)
-    run = models.train_species(data, SPECIES[2], "row_id", LIGHT, ratios=(5,), tuned=False, sets=ONE_SET)
+def selected(spark: SparkSession, data: DataFrame, species: str) -> tuple[DataFrame, str, list]:
+    """The selected candidate of a species, its id and its feature importance."""
+    run = models.train_species(data, species, "row_id", LIGHT, ratios=(5,), tuned=False, sets=ONE_SET)
     presence = data.groupBy("species_id").agg(F.count_if(F.col("label") == 1).alias("presence_count"))
     chosen = models.select_models(models.candidate_table(spark, run.rows), presence)
     best = chosen.first()["candidate_id"]
-    importance = models.feature_importance(run.models[best])
+    return chosen, best, models.feature_importance(run.models[best])
+
+
+@query("m9_selection")
+def m9(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected candidate with confidence and its feature importance."""
+    chosen, best, importance = selected(spark, samples(spark, sf), SPECIES[2])
     listed = spark.createDataFrame([(best, f, v) for f, v in importance], "candidate_id string, feature string, importance double")
     return chosen.select("species_id", "candidate_id", "confidence_level", "validation_pr_auc").join(listed, "candidate_id")
 
 
 @query("m10_bias_audit")
 def m10(spark: SparkSession, sf: str) -> DataFrame:
-    rows = models.bias_audit(
-        samples(spark, sf), SPECIES[3], "row_id", {"validation_roc_auc": 0.7, "validation_pr_auc": 0.4}, [("grid_lat", 0.5)], LIGHT
-    )
+    """Null models against the selected model of a species and its own feature importance."""
+    data = samples(spark, sf)
+    chosen, best, importance = selected(spark, data, SPECIES[3])
+    rows = models.bias_audit(data, SPECIES[3], "row_id", chosen.first().asDict(), importance, LIGHT)
     return spark.createDataFrame(rows, models.BIAS_SCHEMA)
 
 

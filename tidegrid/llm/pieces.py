@@ -42,7 +42,8 @@ from tidegrid.llm.common import held, table
 MARK = "▁"
 CHUNK = 16_384
 FAN = 64
-MEMO_WORDS, MEMO_LETTERS = 1_000_000, 64
+MEMO_WORDS, MEMO_LETTERS = 400_000, 32
+SLICE_ROWS = 128
 LOW = -(2**60)
 
 
@@ -75,7 +76,7 @@ class Pieces:
         inner = [p for p in self.scores if MARK in p.lstrip(MARK)]
         solo = "" if any("\n" in p for p in self.scores) else "\n"
         self.words = None if inner else re.compile(f"{solo}|{MARK}+[^{MARK}{solo}]*|[^{MARK}{solo}]+" if solo else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.memo: dict[str, tuple[int, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def cuts(self, text: str) -> list[str]:
         """The words of a text, between places that no piece crosses."""
@@ -117,17 +118,21 @@ class Pieces:
     def spelled(self, character: str) -> list[int]:
         return [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.byte_ids else [0]
 
-    def word(self, word: str) -> tuple[int, bytes]:
-        """Best sum and ids (little-endian 32-bit) of a whole word."""
-        best, back = self.walk(word, {0: 0}, len(word))
-        found = best[-1], np.asarray(self.trace(word, back, len(word))[0], dtype="<i4").tobytes()
+    def word(self, word: str) -> bytes:
+        """The ids (little-endian 32-bit) of a whole word."""
+        _, back = self.walk(word, {0: 0}, len(word))
+        found = np.asarray(self.trace(word, back, len(word))[0], dtype="<i4").tobytes()
         if len(word) <= MEMO_LETTERS:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
-    def solved(self, words: list[str]) -> list[tuple[int, bytes]]:
+    def worth_of(self, words: list[str]) -> int:
+        """The sum of the best sums of whole words."""
+        return sum(self.walk(w, {0: 0}, len(w))[0][-1] for w in words)
+
+    def solved(self, words: list[str]) -> list[bytes]:
         known = list(map(self.memo.get, words))
         if None in known:
             known = [k if k is not None else self.memo.get(w) or self.word(w) for k, w in zip(known, words)]
@@ -137,7 +142,7 @@ class Pieces:
         """The ids of a whole text, in one piece."""
         if not text:
             return b""
-        return b"".join([ids for _, ids in self.solved(self.cuts(MARK + text.replace(" ", MARK)))])
+        return b"".join(self.solved(self.cuts(MARK + text.replace(" ", MARK))))
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -172,7 +177,7 @@ class Pieces:
                 ends = best[n : n + size]
                 out[i, : len(ends)] = ends
             return np.maximum(out, LOW)
-        passed = sum(score for score, _ in self.solved(middle))
+        passed = self.worth_of(middle)
         ends = np.full(size, LOW, dtype=np.int64)
         best, _ = self.walk(tail + ahead, {0: 0}, len(tail))
         ends[: len(best) - len(tail)] = best[len(tail) : len(tail) + size]
@@ -207,7 +212,7 @@ class Pieces:
         first = as_bytes(self.trace(head, back, len(head))[0])
         _, back = self.walk(tail + ahead, {0: 0}, len(tail))
         last = as_bytes(self.trace(tail + ahead, back, len(tail) + leave)[0])
-        return first + b"".join([ids for _, ids in self.solved(middle)]) + last
+        return first + b"".join(self.solved(middle)) + last
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -234,6 +239,13 @@ def _matrix(raw: bytes) -> np.ndarray:
 KEY = ["id", "text_key"]
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A few rows at a time, so that results do not pile up beside a whole batch."""
+    for batch in batches:
+        for start in range(0, len(batch), SLICE_ROWS):
+            yield batch.iloc[start : start + SLICE_ROWS]
+
+
 def _scan(chunks: DataFrame, most: int, product, start, onward, value: str, result: str, backwards: bool) -> DataFrame:
     """An exclusive scan over ``value`` in the order of ``c`` (or against it), by a tree of ``FAN``.
 
@@ -312,7 +324,7 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model_path)
-        for b in batches:
+        for b in _slices(batches):
             yield b[[*KEY, "c"]].assign(m=[p.transfer(x, y).astype("<i8").tobytes() for x, y in zip(b["body"], b["ahead"])])
 
     key = f"id {kind}, text_key bigint, c int"
@@ -325,7 +337,7 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
 
     def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model_path)
-        for b in batches:
+        for b in _slices(batches):
             found = [
                 np.asarray(p.entries(x, y, np.frombuffer(s, dtype="<i8")), dtype="<i4").tobytes()
                 for x, y, s in zip(b["body"], b["ahead"], b["sums"])
@@ -338,7 +350,7 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model_path)
-        for b in batches:
+        for b in _slices(batches):
             found = [
                 p.chunk_ids(x, y, np.frombuffer(s, dtype="<i8"), int(np.frombuffer(v, dtype="<i4")[0]))
                 for x, y, s, v in zip(b["body"], b["ahead"], b["sums"], b["leave"])
@@ -372,7 +384,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model_path)
-        for b in batches:
+        for b in _slices(batches):
             yield b[KEY].assign(ids=[np.frombuffer(p.encode(t), dtype="<i4") for t in b["text"]])
 
     small = rows.where(whole).mapInPandas(encoded, f"id {kind}, text_key bigint, ids array<int>")

@@ -43,7 +43,7 @@ REPEATED = 3
 LEAST_ODDS = 1.5
 WINDOW = 6
 QUOTED, MISSPELLED, COMPANY = 0.5, 0.75, 0.25
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile(r"[\"“”„«»‹›]")
 
@@ -152,12 +152,13 @@ class Lexicon:
     def __setstate__(self, state):
         self.__dict__.update(state)
 
-    def _hits(self, word: str) -> list[tuple[int, int]]:
+    def _hits(self, word: str) -> tuple[tuple[int, int], ...]:
         if self.trie is None:
             self.trie = FuzzyTrie([(t, stem, int(not stem and len(t) >= 6)) for t, stem, _, _ in self.terms])
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
-        hits = self.memo[word] = self.trie.find(word)
+        # words without hits share one empty tuple
+        hits = self.memo[word] = tuple(self.trie.find(word))
         return hits
 
     def features(self, text: str | None) -> tuple[float, float, float]:

@@ -77,6 +77,14 @@ class Pieces:
         solo = "" if any("\n" in p for p in self.scores) else "\n"
         self.words = None if inner else re.compile(f"{solo}|{MARK}+[^{MARK}{solo}]*|[^{MARK}{solo}]+" if solo else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.memo: dict[str, bytes] = {}
+        # what an id adds to a sum; an unknown character counts once, at its first byte
+        self.worth = np.zeros(model.get_piece_size(), dtype=np.int64)
+        for score, i in self.scores.values():
+            self.worth[i] = score
+        for byte, i in self.byte_ids.items():
+            self.worth[i] = 0 if 0x80 <= byte < 0xC0 else self.unknown
+        if not self.byte_ids:
+            self.worth[0] = self.unknown
 
     def cuts(self, text: str) -> list[str]:
         """The words of a text, between places that no piece crosses."""
@@ -130,7 +138,7 @@ class Pieces:
 
     def worth_of(self, words: list[str]) -> int:
         """The sum of the best sums of whole words."""
-        return sum(self.walk(w, {0: 0}, len(w))[0][-1] for w in words)
+        return int(self.worth[np.frombuffer(b"".join(self.solved(words)), dtype="<i4")].sum())
 
     def solved(self, words: list[str]) -> list[bytes]:
         known = list(map(self.memo.get, words))

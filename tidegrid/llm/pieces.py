@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import held, table
+from tidegrid.llm.common import held, parts, table
 
 MARK = "▁"
 CHUNK = 16_384
@@ -261,31 +261,38 @@ def _scan(chunks: DataFrame, most: int, product, start, onward, value: str, resu
     ``onward(state, value)`` passes one value. Gives KEY, c and ``result``: the state each value meets.
     """
     kind = chunks.schema["id"].dataType.simpleString()
-    grouped = chunks.withColumn("block", F.floor(F.col("c") / FAN).cast("int"))
-    if most < FAN:
-        states = grouped.select(*KEY, "block").distinct().withColumn("state", F.lit(start))
-    else:
-        def folded(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("c", ascending=not backwards)
-            return pd.DataFrame([{**{k: rows[k].iloc[0] for k in KEY}, "c": rows["block"].iloc[0], value: product(list(rows[value]))}])
-
-        blocks = held(grouped.groupBy(*KEY, "block").applyInPandas(
-            folded, f"id {kind}, text_key bigint, c int, {value} binary"), "scan")
-        states = _scan(blocks, most // FAN, product, start, onward, value, "state", backwards) \
-            .withColumnRenamed("c", "block")
+    spread = parts(chunks.sparkSession)
+    # a fixed number of partitions: the rows are few and small, the work on them is not
+    grouped = chunks.withColumn("block", F.floor(F.col("c") / FAN).cast("int")).repartition(spread, *KEY, "block")
 
-    def passed(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    def along(rows: pd.DataFrame, state: bytes) -> pd.DataFrame:
         rows = rows.sort_values("c", ascending=not backwards)
-        state, out = bytes(given["state"].iloc[0]), []
+        out = []
         for v in rows[value]:
             out.append(state)
             state = onward(state, v)
         return pd.DataFrame({**{k: rows[k] for k in KEY}, "c": rows["c"], result: out})
 
+    shape = f"id {kind}, text_key bigint, c int, {result} binary"
+    if most < FAN:
+        return grouped.groupBy(*KEY, "block").applyInPandas(lambda rows: along(rows, start), shape)
+
+    def folded(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c", ascending=not backwards)
+        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in KEY}, "c": rows["block"].iloc[0], value: product(list(rows[value]))}])
+
+    blocks = held(grouped.groupBy(*KEY, "block").applyInPandas(
+        folded, f"id {kind}, text_key bigint, c int, {value} binary"), "scan")
+    states = _scan(blocks, most // FAN, product, start, onward, value, "state", backwards) \
+        .withColumnRenamed("c", "block")
+
+    def passed(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        return along(rows, bytes(given["state"].iloc[0]))
+
     left = grouped.groupBy(*KEY, "block")
-    right = states.select(F.col("id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("block").alias("s_block"), "state")
-    return left.cogroup(right.groupBy("s_id", "s_key", "s_block")).applyInPandas(
-        passed, f"id {kind}, text_key bigint, c int, {result} binary")
+    right = states.select(F.col("id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("block").alias("s_block"), "state") \
+        .repartition(spread, "s_id", "s_key", "s_block")
+    return left.cogroup(right.groupBy("s_id", "s_key", "s_block")).applyInPandas(passed, shape)
 
 
 def _fold_matrices(values: list[bytes]) -> bytes:
@@ -365,8 +372,8 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
             ]
             yield b[[*KEY, "c"]].assign(part=found)
 
-    parts = _same(met, leaves).mapInPandas(traced, f"{key}, part binary")
-    whole = parts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("c", "part"))).alias("parts"))
+    traces = _same(met, leaves).mapInPandas(traced, f"{key}, part binary")
+    whole = traces.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("c", "part"))).alias("parts"))
     # one document's ids; texts are whole rows anyway
     return whole.select(*KEY, F.expr("aggregate(parts, cast('' as binary), (acc, x) -> concat(acc, x.part))").alias("ids"))
 

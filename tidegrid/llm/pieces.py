@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ from tidegrid.llm.common import held, parts, table
 MARK = "▁"
 CHUNK = 16_384
 FAN = 64
-MEMO_WORDS, MEMO_LETTERS = 400_000, 32
+MEMO_WORDS, MEMO_LETTERS = 600_000, 32
 SLICE_ROWS = 128
 LOW = -(2**60)
 
@@ -76,6 +77,8 @@ class Pieces:
         inner = [p for p in self.scores if MARK in p.lstrip(MARK)]
         solo = "" if any("\n" in p for p in self.scores) else "\n"
         self.words = None if inner else re.compile(f"{solo}|{MARK}+[^{MARK}{solo}]*|[^{MARK}{solo}]+" if solo else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # every beginning of a piece: its score and id, or None where it is no piece itself
+        self.begun = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
         self.memo: dict[str, bytes] = {}
         # what an id adds to a sum; an unknown character counts once, at its first byte
         self.worth = np.zeros(model.get_piece_size(), dtype=np.int64)
@@ -98,18 +101,21 @@ class Pieces:
         best, back = [LOW] * (len(text) + 1), [None] * (len(text) + 1)
         for place, value in starts.items():
             best[place] = value
-        scores, longest, unknown = self.scores, self.longest, self.unknown
+        begun, longest, unknown, size = self.begun, self.longest, self.unknown, len(text)
         for s in range(end):
             base = best[s]
             if base <= LOW // 2:
                 continue
             single = True
-            for e in range(s + 1, min(len(text), s + longest) + 1):
-                hit = scores.get(text[s:e])
+            for e in range(s + 1, min(size, s + longest) + 1):
+                hit = begun.get(text[s:e], False)
+                if hit is False:  # no piece begins like this
+                    break
                 if hit is not None:
                     if base + hit[0] > best[e]:
                         best[e], back[e] = base + hit[0], (s, hit[1])
-                    single = single and e > s + 1
+                    if e == s + 1:
+                        single = False
             if single and base + unknown > best[s + 1]:
                 best[s + 1], back[s + 1] = base + unknown, (s, -1)
         return best, back
@@ -129,7 +135,8 @@ class Pieces:
     def word(self, word: str) -> bytes:
         """The ids (little-endian 32-bit) of a whole word."""
         _, back = self.walk(word, {0: 0}, len(word))
-        found = np.asarray(self.trace(word, back, len(word))[0], dtype="<i4").tobytes()
+        ids = self.trace(word, back, len(word))[0]
+        found = pack(f"<{len(ids)}i", *ids)
         if len(word) <= MEMO_LETTERS:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()

@@ -48,10 +48,13 @@ def background_need(presence: DataFrame, ratio: int) -> DataFrame:
 
 
 def same_day_background(
-    presence: DataFrame, grid: DataFrame, ratio: int = BACKGROUND_RATIO, seed: int = 42,
+    presence: DataFrame, grid: DataFrame, ratio: int = BACKGROUND_RATIO,
+    cap: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """Draw background cells for every species and day.
 
+    ``cap``, where given, keeps so many draws per species, spread by hash over all days.
+
     Candidates are the day's ocean cells with a temperature and no presence of the species.
     Where they are too few the draw is repeated with replacement: pick k takes candidate
     k mod n. Days without a candidate drop out.
@@ -71,6 +74,9 @@ def same_day_background(
         "species_id", "date", "grid_id", picks.alias("pick"),
         (F.col("need") > F.col("_size")).alias("short_of_cells"),
     )
+    if cap is not None:
+        spread = hash_key("species_id", "date", "grid_id", "pick", seed=seed)
+        drawn = hash_ranks(drawn, ["species_id"], spread, "_place", "_all").where(F.col("_place") <= cap).drop("_place", "_all")
     return drawn.withColumns({
         "label": F.lit(0).cast("long"),
         "sample_type": F.lit("background"),

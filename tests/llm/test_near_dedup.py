@@ -2,8 +2,10 @@ import random
 import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import SF_DIR, rows
-from tidegrid.llm.graph import components
+from tidegrid.llm.graph import components, connect
 from tidegrid.llm.near_dedup import keep_first, near_groups, op4_near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +65,32 @@ def test_components_of_a_long_path(spark):
     n = 200
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(900, 901), (901, 902), (5, 5)], "a long, b long")
     assert dict(rows(components(edges))) == {**{i: 0 for i in range(n + 1)}, 900: 900, 901: 900, 902: 900}
+
+
+def test_hubs_with_disjoint_edits(spark):
+    random.seed(8)
+    data = []
+    for hub in range(40):  # the copies of a hub are linked with it alone, mostly in buckets of two
+        base = [f"h{random.randrange(10**7)}" for _ in range(80)]
+        data.append((hub * 10, " ".join(base)))
+        for leaf in range(1, 7):
+            words = list(base)
+            words[leaf * 11] = f"edit{hub}x{leaf}"
+            data.append((hub * 10 + leaf, " ".join(words)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(tuple(r)[:3] for r in near_groups(df).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(brute(data, 5))
+    assert {c for _, _, c in got} == {hub * 10 for hub in range(40)}
+
+
+def test_pairs_of_two_and_keys_left_out(spark):
+    # a links x and y in buckets of two; b's closest partner fails, the second is its link
+    edges = {("a", "x"), ("a", "y"), ("b", "w")}
+    near = {("a", "x"): 0.9, ("a", "y"): 0.8, ("b", "v"): 0.9, ("b", "w"): 0.8}
+    nodes = spark.createDataFrame([(n, 1) for n in "abvwxy"], "node string, n int")
+    likeness = F.create_map(*[F.lit(x) for pair, c in near.items() for x in ("".join(pair), c)])
+    pair_of = lambda a, b: F.concat(F.least(f"{a}node", f"{b}node"), F.greatest(f"{a}node", f"{b}node"))
+    buckets = spark.createDataFrame([(k, n) for k, pair in enumerate(near) for n in pair], "key long, node string")
+    links = spark.createDataFrame(sorted(edges), "a string, b string")
+    got = connect(buckets, nodes, lambda a, b: F.try_element_at(likeness, pair_of(a, b)), 0.5, lambda pairs: pairs.join(links, ["a", "b"]))
+    assert set(rows(got)) == edges

@@ -42,10 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str], Column], bound: float,
             confirm: Callable[[DataFrame], DataFrame], *, finer: Callable[[str, str], Column] | None = None,
-            late: tuple[str, ...] = ("keys",), star_rounds: int = STAR_ROUNDS) -> DataFrame:
+            late: tuple[str, ...] = (), star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Edges (a, b) that join whatever is linked among nodes that share a bucket.
 
-    ``buckets`` (key, node) names the candidates, ``nodes`` (node, keys, further columns) what is
+    ``buckets`` (key, node) names the candidates, ``nodes`` (node, further columns) what is
     known of each. ``closeness(a, b)``, from the columns of two nodes with these prefixes, must
     reach ``bound`` for every link (NULL: no link); ``confirm`` keeps the pairs that are links.
     ``finer`` is a sharper necessary condition for the last step, where the columns ``late`` of
@@ -54,9 +54,10 @@ def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str]
     In a star round each bucket compares its members with one of them, drawn by hash; every
     component then tries its closest pair. Groups of copies grow together that way at one pair
     a round and component. What stays unknown is whether members of *different* components of a
-    bucket are linked. At the end just those pairs are tried: only pairs that are close enough
-    leave the join, each in the first bucket that it shares. So no two linked nodes that share a
-    bucket stay apart, and no pairs are made inside a component.
+    bucket are linked. At the end just those pairs are tried, in every bucket whose members lie in
+    different components: only pairs that are close enough leave the join, each in the first of
+    these buckets that it shares. So no two linked nodes that share a bucket stay apart, and no
+    pairs are made inside a component.
     """
     facts = [c for c in nodes.columns if c not in ("node", *late)]
     light = nodes.drop(*late)
@@ -75,10 +76,12 @@ def connect(buckets: DataFrame, nodes: DataFrame, closeness: Callable[[str, str]
         found = held(confirm(pairs), "links")
         edges = found if edges is None else edges.unionByName(found)
         marked = members.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # a bucket of two was tried in full in the first round
-        split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-        live = held(marked.join(split.where("lo <> hi and n > 2").select("key"), "key", "left_semi"), "live")
-    left = live.join(nodes.select("node", *late), "node")
+        # buckets of two stay as well: a component tries one pair a round, whatever buckets it has
+        split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        live = held(marked.join(split.where("lo <> hi").select("key"), "key", "left_semi"), "live")
+    # the live buckets of a node alone: a pair must not wait for a bucket that is left out
+    keys = live.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    left = live.join(keys, "node").join(nodes.select("node", *late), "node")
     left, right = (left.select("key", *[F.col(c).alias(f"{side}_{c}") for c in left.columns if c != "key"]) for side in "ab")
     first_shared = F.element_at(F.filter("a_keys", lambda k: F.array_contains("b_keys", k)), 1)
     rest = left.join(right, (

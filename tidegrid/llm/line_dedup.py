@@ -113,17 +113,17 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = held(line_table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "lines")
     sims = lines.select("sim", "node").distinct().groupBy("sim").agg(F.count("*").alias("classes"))
     keys = held(sims, "sims").select("sim", "classes", F.explode(_keys(distance)).alias("key"))
-    # where just two hashes share a key, their distance decides at once
+    # where just two hashes of one class each share a key, their distance decides at once
     shared = keys.groupBy("key").agg(
         F.sum("classes").alias("n"), F.count("*").alias("sims"), F.min("sim").alias("lo"), F.max("sim").alias("hi"),
-    ).where(f"n > 1 and (sims > 2 or bit_count(lo ^ hi) <= {distance})").select("key")
+    ).where(f"n > 1 and (sims > 2 or n > sims or bit_count(lo ^ hi) <= {distance})").select("key")
     close = held(keys.join(shared, "key").select("key", "sim"), "close")
     near_sims = close.select("sim").distinct()
     few = near_sims.count() <= BROADCAST_ROWS
     texts = held(
         lines.select("node", "sim", "norm").join(F.broadcast(near_sims) if few else near_sims, "sim", "left_semi")
         .dropDuplicates(["node"]), "line-texts")
-    nodes = texts.select("node", "sim", F.length("norm").alias("n"), _keys(distance).alias("keys"))
+    nodes = texts.select("node", "sim", F.length("norm").alias("n"))
     buckets = close.join(nodes.select("sim", "node"), "sim").select("key", "node")
 
     def closeness(a: str, b: str) -> Column:

@@ -168,8 +168,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def finer(a: str, b: str) -> Column:
         return estimate(f"{a}wide", f"{b}wide", WIDE[0] * WIDE[1]) >= percent / 100 - WIDE_SLACK
 
-    facts = nodes.select("node", "n", "planes", "keys").join(sets.select("node", "wide"), "node")
-    links = connect(buckets, facts, closeness, percent / 100 - SLACK, confirm, finer=finer, late=("keys", "wide"))
+    facts = nodes.select("node", "n", "planes").join(sets.select("node", "wide"), "node")
+    links = connect(buckets, facts, closeness, percent / 100 - SLACK, confirm, finer=finer, late=("wide",))
     groups = components(links)
     first = marks.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     ids = first.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -57,3 +57,21 @@ def test_invalid_values_and_odd_rows(spark):
     out = pseudonymise(df)
     assert out.columns == ["doc_id", "text", "kinds", "_kinds"] and len(set(rows(out.drop("_kinds")))) == 1
     assert rows(pseudonymise(df.limit(0))) == []
+
+
+def test_values_beside_other_numbers_and_words(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = {
+        f"{card} 12/27": ["card"], "4111111111111111 100 EUR": ["card"], f"order 12 {card}": ["card"], f"1234 {card} 99": ["card"],
+        f"{iban} BIC": ["iban"], "BE68539007547034 EUR": ["iban"], f"AB12 {iban}": ["iban"], f"{iban} {card}": ["iban", "card"],
+        f"AT61 1904 3002 3457 3201 {card}": ["iban", "card"], f"{card} 123-45-6789": ["card", "ssn"], f"12 2024-02-29 {card}": ["date", "card"],
+        f"{card} 10.1.2.3": ["card", "ip"], f"{card} 2024-02-29T10": ["card"], f"{card} 7joe@x.org": ["card", "email"],
+        f"+1 (017) 555-7713 {card}": ["phone", "card"], "4111111111111111-5": ["card"], "12 4111 1111 1111 1112 7": [],
+    }
+    for (text, kinds), (new, got) in zip(texts.items(), replaced(spark, list(texts))):
+        assert (text, got[: len(kinds)]) == (text, kinds) and (kinds or new == text)
+        assert re.sub(r"[A-Za-z0-9]+", "x", new) == re.sub(r"[A-Za-z0-9]+", "x", text)
+        for value in (card, iban, card.replace(" ", ""), iban.replace(" ", "")):
+            assert value not in new or not kinds
+    long = "1 2 3 " * 4000
+    assert len(replaced(spark, [long])[0][0]) == len(long)

@@ -12,6 +12,10 @@ date       yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy; a day of the years 1800 to 2199
 email      the name before the ``@`` (the domain stays)
 =========  ============================================================================
 
+Candidates are taken as long as they go, with the digits that follow, so they may hold a neighbour.
+One that fails its check is gone through from left to right: at every start behind a blank the
+longest part that ends at a blank or hyphen and is valid counts, and the search goes on behind it.
+
 A valid value is permuted by a keyed Feistel network whose two halves are the halves of its
 characters: each digit moves by a keyed hash of the other half, modulo 10, each letter modulo 26,
 each number of an address modulo 256. Separators and lengths stay. Cards and IBANs keep valid
@@ -22,7 +26,7 @@ pseudonyms in all documents, different ones different. The key is a parameter.
 
 All happens in expressions over one row: no shuffle, no Python, whole texts.
 
-Defined cases: NULL stays NULL with no findings; candidates that fail their check stay as they
+Defined cases: NULL stays NULL with no findings; candidates that hold no valid value stay as they
 are and are not counted; an empty table gives an empty result; other columns are kept.
 """
 
@@ -46,7 +50,19 @@ FORMS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)",
 }
-ANY = "|".join(FORMS.values())
+#: Where a run of digits may end: not inside a word, an address or a date.
+_END = r"(?![\dA-Za-z@%+_]|[./-]\d)"
+#: Further digits behind a value; what belongs to which value is settled by the checks.
+_MORE = r"(?:[ -][\d -]*(?<=\d)" + _END + ")?"
+_DIGITS = r"(?<![\d-])\d(?:[ -]?\d){12,18}"
+SCAN = FORMS | {
+    "phone": FORMS["phone"].replace("{1,4}(?!\\d)|", "{1,4}(?!\\d)" + _MORE + "|", 1),
+    "iban": FORMS["iban"] + _MORE,
+    "card": f"{_DIGITS}{_END}{_MORE}|{FORMS['card']}",
+}
+ANY = "|".join(SCAN.values())
+#: No value is longer than this, separators included.
+LONGEST = 48
 
 
 def _chars(text: Column) -> Column:
@@ -206,6 +222,40 @@ def kind_of(text: Column) -> Column:
     )
 
 
+def values_in(text: Column) -> Column:
+    """The parts (t, kind) of a candidate in order; kind is NULL for what is no valid value."""
+    def longest(window: Column) -> Column:
+        """The last place where the window's first value may end, with its kind; only cards may end at a hyphen."""
+        def mark(end: Column) -> Column:
+            after = F.substring(window, end + 1, F.lit(1))
+            return F.struct(end.alias("end"), F.when(after.isin("", " ", "-"), kind_of(F.substring(window, F.lit(1), end))).alias("kind"), after.alias("after"))
+
+        marks = F.transform(F.sequence(F.lit(1), F.least(F.length(window), F.lit(LONGEST))), mark)
+        # North American numbers have eleven digits; others may be long, and the longest counts
+        eleven = lambda end: ~window.rlike(r"^\+1(?!\d)") | (F.length(_bare(F.substring(window, F.lit(1), end))) == 11)
+        return F.array_max(F.filter(marks, lambda m: m["kind"].isNotNull() & ((m["after"] != "-") | (m["kind"] == "card"))
+                                    & ((m["kind"] != "phone") | eleven(m["end"]))))
+
+    def at(s: Column, start: Column) -> Column:
+        def taken(best: Column) -> Column:
+            found = F.array(part(F.substring(text, s["next"], start - s["next"]), F.lit(None).cast("string")),
+                            part(F.substring(text, start, best["end"]), best["kind"]))
+            return F.when(best.isNull(), s).otherwise(
+                F.struct((start + best["end"]).alias("next"), F.concat(s["parts"], found).alias("parts")))
+
+        # an array of one: what it holds is worked out once
+        window = F.substring(text, start, F.lit(LONGEST + 1))
+        return F.when(start < s["next"], s).otherwise(F.transform(F.transform(F.array(window), longest), taken)[0])
+
+    part = lambda t, kind: F.struct(t.alias("t"), kind.alias("kind"))
+    starts = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: (F.substring(text, i, F.lit(1)) != " ") & (
+        (i == 1) | (F.substring(text, i - 1, F.lit(1)) == " ")))
+    begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<t:string,kind:string>>").alias("parts"))
+    rest = lambda s: F.array(part(F.substring(text, s["next"], F.length(text)), F.lit(None).cast("string")))
+    return F.transform(F.array(kind_of(text)), lambda whole: F.when(whole.isNotNull(), F.array(part(text, whole))).otherwise(
+        F.aggregate(starts, begin, at, lambda s: F.concat(s["parts"], rest(s)))))[0]
+
+
 def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
     return (
         F.when(kind == "email", _email(text, key)).when(kind == "ip", _ip(text, key)).when(kind == "date", _date(text, key))
@@ -222,14 +272,14 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", kinds_col: str = "k
     could = text.rlike("[0-9@]")
     found = docs.withColumn(names["found"], F.when(could, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(
         F.array().cast("array<string>")))
-    judged = found.withColumn(names["judged"], F.transform(names["found"], lambda t: F.struct(t.alias("t"), kind_of(t).alias("kind"))))
+    judged = found.withColumn(names["judged"], F.transform(names["found"], values_in))
     # the text between candidates, then each candidate
     between = F.split(text, ANY, -1)
-    new = F.transform(names["judged"], lambda x: pseudonym(x["t"], x["kind"], key))
+    new = F.transform(names["judged"], lambda parts: F.array_join(F.transform(parts, lambda x: pseudonym(x["t"], x["kind"], key)), ""))
     rebuilt = F.array_join(F.flatten(F.transform(
         F.arrays_zip(between.alias("a"), new.alias("b")), lambda z: F.array(z["a"], F.coalesce(z["b"], F.lit(""))))), "")
     return (
-        judged.withColumn(kinds, F.coalesce(F.filter(F.transform(names["judged"], lambda x: x["kind"]), lambda k: k.isNotNull()),
+        judged.withColumn(kinds, F.coalesce(F.filter(F.transform(F.flatten(names["judged"]), lambda x: x["kind"]), lambda k: k.isNotNull()),
                                             F.array().cast("array<string>")))
         .withColumn(text_col, F.when(F.size(kinds) > 0, rebuilt).otherwise(text))
         .select(*[F.col(f"`{c}`") for c in docs.columns], kinds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidegrid.llm.divergence import OP13_SQL, op13_source_divergence
 from tidegrid.llm.fingerprints import op3_fingerprints
 from tidegrid.llm.line_dedup import op1_line_dedup
 from tidegrid.llm.mixing import op10_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_private_numbers": op8_private_numbers,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
     "op2_url_filter": OP2_SQL,
     "op7_top_k": OP7_SQL,
+    "op13_source_divergence": OP13_SQL,
 }

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import held, table
-from tidegrid.llm.terms import LETTERS, SLICE_BYTES, lowered, slices, sort_words, text_buffer, word_column, words
+from tidegrid.llm.terms import LETTERS, SLICE_BYTES, lowered, pieces, slices, sort_words, text_buffer, word_column, words
 
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 10
@@ -46,21 +46,10 @@ TILE = 256
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
 
-def _pieces(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """A long text in pieces that end between words."""
-    begin = 0
-    while begin < len(raw):
-        end = min(begin + most, len(raw))
-        while end < len(raw) and LETTERS[raw[end]]:
-            end += 1
-        yield raw[begin:end]
-        begin = end
-
-
 def _long_text(raw: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray]:
     """The words of one long text and their numbers."""
     seen: dict[str, int] = {}
-    for piece in _pieces(raw, most):
+    for piece in pieces(raw, most, LETTERS):
         padded = lowered(piece)
         starts, lengths, _ = words(piece, np.array([0, len(piece)]), LETTERS)
         order, first = sort_words(padded, starts, lengths)

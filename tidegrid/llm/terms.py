@@ -49,6 +49,17 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def pieces(raw: np.ndarray, most: int, kind: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces that end between words."""
+    begin = 0
+    while begin < len(raw):
+        end = min(begin + most, len(raw))
+        while end < len(raw) and kind[raw[end]]:
+            end += 1
+        yield raw[begin:end]
+        begin = end
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z in lower case, with eight zero bytes behind, so that any word can be read by eights."""
     out = np.zeros(len(raw) + 8, dtype=np.uint8)
@@ -73,12 +84,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, lengths, texts
 
 
-def _eights(padded: np.ndarray) -> np.ndarray:
+def by_eights(padded: np.ndarray) -> np.ndarray:
     """Eight bytes from every place, as one number whose order is theirs."""
     return np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), shape=(len(padded) - 7,), strides=(1,))
 
 
-def _key(eights: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+def key_at(eights: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     left = np.clip(lengths - 8 * depth, 0, 8)
     at = np.minimum(starts + 8 * depth, len(eights) - 1)
     return eights[at].astype(np.uint64) & _FIRST[left]
@@ -89,8 +100,8 @@ def sort_words(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     n = len(starts)
     if not n:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    eights = _eights(padded)
-    key = _key(eights, starts, lengths, 0)
+    eights = by_eights(padded)
+    key = key_at(eights, starts, lengths, 0)
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.ones(n, dtype=bool)
@@ -105,7 +116,7 @@ def sort_words(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
             return order, first
         run = np.cumsum(first)[place]
         some = order[place]
-        key = _key(eights, starts[some], lengths[some], depth)
+        key = key_at(eights, starts[some], lengths[some], depth)
         sub = np.lexsort((key, run))
         order[place], key = some[sub], key[sub]
         first[place[1:]] |= (key[1:] != key[:-1]) | (run[1:] != run[:-1])
@@ -122,11 +133,11 @@ def word_column(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 def word_keys(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
-    eights = _eights(padded)
-    total = mix64(_key(eights, starts, lengths, 0) + lengths.astype(np.uint64) * _STEP)
+    eights = by_eights(padded)
+    total = mix64(key_at(eights, starts, lengths, 0) + lengths.astype(np.uint64) * _STEP)
     depth, some = 1, np.flatnonzero(lengths > 8)
     while len(some):
-        total[some] = mix64(total[some] * _STEP + _key(eights, starts[some], lengths[some], depth))
+        total[some] = mix64(total[some] * _STEP + key_at(eights, starts[some], lengths[some], depth))
         depth += 1
         some = some[lengths[some] > 8 * depth]
     return total
@@ -150,7 +161,7 @@ class Vocabulary:
             return out
         keys = word_keys(padded, starts, lengths)
         at = np.searchsorted(self.hashes, keys)
-        ours, theirs, open_ = _eights(self.raw), _eights(padded), np.arange(len(starts))
+        ours, theirs, open_ = by_eights(self.raw), by_eights(padded), np.arange(len(starts))
         while len(open_):  # once, but for words of the set whose hashes are equal
             open_ = open_[at[open_] < len(self.hashes)]
             open_ = open_[self.hashes[at[open_]] == keys[open_]]
@@ -159,7 +170,7 @@ class Vocabulary:
             depth, some = 0, np.flatnonzero(same)
             while len(some):
                 w, v = open_[some], found[some]
-                equal = _key(theirs, starts[w], lengths[w], depth) == _key(ours, self.starts[v], self.lengths[v], depth)
+                equal = key_at(theirs, starts[w], lengths[w], depth) == key_at(ours, self.starts[v], self.lengths[v], depth)
                 same[some[~equal]] = False
                 depth += 1
                 some = some[equal & (lengths[w] > 8 * depth)]

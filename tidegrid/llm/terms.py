@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from tidegrid.llm.hashing import mix64
 
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: the first r of eight bytes
 _FIRST = np.array([(0xFFFFFFFFFFFFFFFF << (8 * (8 - r))) & 0xFFFFFFFFFFFFFFFF for r in range(9)], dtype=np.uint64)

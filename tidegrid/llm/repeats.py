@@ -48,7 +48,7 @@ from tidegrid.llm.terms import slices, text_buffer
 LENGTH = 100
 SPAN = 64
 LEAST_LENGTH = SPAN + 16
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 FLUSH_ANCHORS = 1 << 20
 FLUSH_EXCERPTS = 100_000
 SORT_ROWS = 20_000

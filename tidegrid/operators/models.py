@@ -1,24 +1,20 @@
-"""Suitability models on MLlib: preprocessing, candidates, tuning, selection and scoring."""
+"""Suitability models: feature sets, keyed training and audits of all species, selection and scoring.
+
+The candidates are fitted by ``keyed_models``; the neural sidecar is MLlib's.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
-from itertools import product
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import (
     COORDINATE_FEATURES,
@@ -31,13 +27,16 @@ from ..config import (
 from ..functions.numbers import finite
 from ..functions.suitability import rating_strict
 from ..session import cut
-from .audit import usable_columns
+from .audit import column_profile, keep_column, usable_columns
 from .display import contrast_score, display_mask
+from .keyed_models import BASELINES, CORRECTED, TUNED, Effort, candidate_id, fit_models, score_rows
 from .metrics import confidence_tier, evaluate, pick_candidate, poor_result_reasons, rank_candidates
 from .ranking import average_rank_percentile, exact_quantiles, relative_score
 from .sampling import downsample_background, min_depth, offshore
 
-PARALLEL_FITS = 4
+# fixed values: sets whose candidates are tuned, strategies of the corrected retrain
+TUNED_SETS = ("full_available_oceanographic", "no_coordinates", "sst_bathy_season")
+CORRECTED_STRATEGIES = ("offshore_constrained_background", "environment_stratified_background", "spatial_buffered_background")
 RESULT_SCHEMA = (
     "species_id string, candidate_id string, model_name string, feature_set_name string, "
     "feature_count long, background_ratio long, train_roc_auc double, validation_roc_auc double, "
@@ -46,8 +45,8 @@ RESULT_SCHEMA = (
 )
 
 
-def feature_sets(df: DataFrame) -> dict[str, list[str]]:
-    """Named feature lists, screened in one pass over the union of all candidates."""
+def candidate_sets() -> dict[str, tuple]:
+    """The named feature lists."""
     groups = {
         "minimum_sst_bathy": MINIMUM_FEATURES,
         "sst_bathy_season": MINIMUM_FEATURES + FLAG_FEATURES,
@@ -55,6 +54,12 @@ def feature_sets(df: DataFrame) -> dict[str, list[str]]:
     }
     groups["no_coordinates"] = groups["full_available_oceanographic"]
     groups["coordinates_allowed_as_bias_check"] = groups["no_coordinates"] + COORDINATE_FEATURES
+    return groups
+
+
+def feature_sets(df: DataFrame) -> dict[str, list[str]]:
+    """Named feature lists, screened in one pass over the union of all candidates."""
+    groups = candidate_sets()
     kept = set(usable_columns(df, groups["coordinates_allowed_as_bias_check"]))
     return {name: [c for c in columns if c in kept] for name, columns in groups.items()}
 
@@ -103,64 +108,6 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     return df.withColumn(out, weight)
 
 
-@dataclass(frozen=True)
-class Effort:
-    """Size of the estimators; the defaults are the full settings."""
-
-    trees: int = 300
-    boosts: int = 300
-    iterations: int = 2000
-
-
-def baseline_estimators(effort: Effort = Effort()) -> dict:
-    weighted = {"weightCol": "weight", "labelCol": "label", "featuresCol": "features"}
-    return {
-        "logistic_regression_balanced": LogisticRegression(maxIter=effort.iterations, **weighted),
-        "random_forest_baseline": RandomForestClassifier(
-            numTrees=effort.trees, maxDepth=12, minInstancesPerNode=5, seed=42, **weighted
-        ),
-        "gradient_boosting_baseline": GBTClassifier(
-            maxIter=effort.boosts, stepSize=0.05, maxDepth=5, minInstancesPerNode=20, seed=42, **weighted
-        ),
-    }
-
-
-def tuned_estimators(effort: Effort = Effort()) -> dict:
-    """Six forests (depth x leaf) and nine boosters (rate x leaves).
-
-    The unlimited depth is the largest depth MLlib grows, 30; leaf limits 15 / 31 / 63 are
-    trees of depth 4 / 5 / 6.
-    """
-    weighted = {"weightCol": "weight", "labelCol": "label", "featuresCol": "features"}
-    forests = {
-        f"random_forest_tuned_{i:02d}": RandomForestClassifier(
-            numTrees=effort.trees, maxDepth=depth, minInstancesPerNode=leaf, seed=100 + i, **weighted
-        )
-        for i, (depth, leaf) in enumerate(product((30, 10, 20), (5, 10)))
-    }
-    boosters = {
-        f"gradient_boosting_tuned_{i:02d}": GBTClassifier(
-            maxIter=effort.boosts, stepSize=rate, maxDepth=depth, minInstancesPerNode=20,
-            seed=200 + i, **weighted
-        )
-        for i, (rate, depth) in enumerate(product((0.03, 0.05, 0.1), (4, 5, 6)))
-    }
-    return {**forests, **boosters}
-
-
-def corrected_estimators(effort: Effort = Effort()) -> dict:
-    weighted = {"weightCol": "weight", "labelCol": "label", "featuresCol": "features"}
-    return {
-        "logistic_regression_balanced": LogisticRegression(maxIter=effort.iterations, **weighted),
-        "random_forest_conservative": RandomForestClassifier(
-            numTrees=effort.trees, maxDepth=8, minInstancesPerNode=10, seed=42, **weighted
-        ),
-        "gradient_boosting_conservative": GBTClassifier(
-            maxIter=effort.boosts, stepSize=0.04, maxDepth=4, minInstancesPerNode=25, seed=42, **weighted
-        ),
-    }
-
-
 def neural_estimator(inputs: int, epochs: int = 100) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(
         layers=[inputs, 128, 64, 32, 2], maxIter=epochs, seed=42,
@@ -189,49 +136,17 @@ class Fitted:
         )
 
 
-def fit_candidates(train: DataFrame, columns: list[str], estimators: dict, row_id: str) -> dict[str, Fitted]:
-    """Fit several estimators on one preprocessed, weighted and cached training frame."""
+def fit_candidate(train: DataFrame, columns: list[str], estimator, row_id: str) -> Fitted:
+    """Fit an MLlib estimator on the preprocessed and weighted training frame."""
     prep = Preprocessor.fit(train, columns, row_id)
     ready = class_weights(prep.apply(train.select("label", *columns)))
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     vectors = assembler.transform(ready).select("label", "weight", "features").cache()
-
-    def fit(item: tuple) -> tuple[str, Fitted]:
-        name, estimator = item
-        return name, Fitted(prep, PipelineModel([assembler, estimator.fit(vectors)]), columns)
-
-    # as in MLlib's own tuning: a few fits at a time keep executors busy between iterations
-    with ThreadPool(min(PARALLEL_FITS, len(estimators))) as pool:
-        fitted = dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), estimators.items()))
+    fitted = Fitted(prep, PipelineModel([assembler, estimator.fit(vectors)]), columns)
     vectors.unpersist()
     return fitted
 
 
-def fit_candidate(train: DataFrame, columns: list[str], estimator, row_id: str) -> Fitted:
-    return fit_candidates(train, columns, {"one": estimator}, row_id)["one"]
-
-
-Metrics = dict[str, dict[str, dict]]
-
-
-def evaluate_candidates(fitted: dict[str, Fitted], data: DataFrame, row_id: str, split: str = "split") -> Metrics:
-    """Metrics per candidate and split from one evaluation over all of them.
-
-    Scores are written out once, narrow; candidates x splits rows reach the driver.
-    """
-    parts = [
-        f.score(data, keep=[row_id, "label", split]).withColumn("candidate", F.lit(name))
-        for name, f in fitted.items()
-    ]
-    if not parts:
-        return {}
-    scored = cut(reduce(DataFrame.unionByName, parts).where(F.col(split).isNotNull()))
-    found: Metrics = {name: {} for name in fitted}
-    for r in evaluate(scored, ["candidate", split], "label", "raw_score", row_id).collect():
-        found[r["candidate"]][r[split]] = r.asDict()
-    return found
-
-
 def training_reasons(data: DataFrame) -> DataFrame:
     """species_id, reason: why a species cannot be trained, or ``ready``; one pass for all species."""
     is_p, is_b = F.col("label") == 1, F.col("label") == 0
@@ -247,87 +162,106 @@ def training_reasons(data: DataFrame) -> DataFrame:
     return data.groupBy("species_id").agg(reason.alias("reason"))
 
 
-def training_guard(data: DataFrame, features: dict[str, list[str]]) -> str | None:
-    """Reason why a species cannot be trained, from one aggregate row."""
-    is_p, is_b = F.col("label") == 1, F.col("label") == 0
-    in_val = F.col("split") == "validation"
-    row = data.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_p).alias("p"), F.count_if(is_b).alias("b"),
-        F.count_if(in_val & is_p).alias("vp"), F.count_if(in_val & is_b).alias("vb"),
-    ).first()
-    if row["n"] == 0:
-        return "training sample table is empty"
-    if row["p"] < LOW_CONFIDENCE_RECORDS:
-        return "fewer than 100 presence records; rule-based only"
-    if row["b"] == 0:
-        return "no background samples available"
-    if row["vp"] == 0 or row["vb"] == 0:
-        return "validation split is unavailable or single-class"
-    if not any(len(c) >= 3 for c in features.values()):
-        return "no usable environmental feature columns"
-    return None
-
-
-def result_row(species_id: str, name: str, set_name: str, columns: list[str], ratio: int, m: dict[str, dict]) -> tuple:
-    train, val, test = (m.get(s, {}) for s in ("train", "validation", "test"))
-    return (
-        species_id, f"{set_name}__br{ratio}__{name}", name, set_name, len(columns), ratio,
-        train.get("roc_auc"), val.get("roc_auc"), val.get("pr_auc"), val.get("top_10_hit_rate"),
-        val.get("brier_score"), test.get("roc_auc"), test.get("pr_auc"), test.get("top_10_hit_rate"),
-        "trained", "",
+def _columns_of(data: DataFrame, *lists) -> list[str]:
+    """The names of ``lists`` that ``data`` has, each once, in order."""
+    return [c for c in dict.fromkeys(c for some in lists for c in some) if c in data.columns]
+
+
+def usable_by_group(data: DataFrame, columns: list[str], groups: list[str], strict: bool = True) -> DataFrame:
+    """``groups`` and ``usable``, the names of the columns that pass the screening there."""
+    rule = keep_column() if strict else (F.col("numbers") > 0) & F.col("varied")
+    # a group has at most as many rows as there are columns
+    return column_profile(data, columns, groups).where(rule).groupBy(*groups).agg(F.collect_set("column").alias("usable"))
+
+
+def _places(names, columns: list[str]) -> Column:
+    """Where the usable ones of ``names`` stand in ``columns``, in the order of ``names``."""
+    known = F.array(*[F.lit(c) for c in columns])
+    listed = F.array(*[F.lit(c) for c in names if c in columns]).cast("array<string>")
+    return F.transform(F.filter(listed, lambda c: F.array_contains("usable", c)), lambda c: (F.array_position(known, c) - 1).cast("int"))
+
+
+def keyed_sets(usable: DataFrame, sets: dict[str, tuple], columns: list[str], least: int) -> DataFrame:
+    """A row per row of ``usable`` and named set that keeps at least ``least`` features."""
+    named = F.array(*[F.struct(F.lit(n).alias("set_name"), _places(names, columns).alias("features")) for n, names in sets.items()])
+    each = usable.withColumn("_s", F.explode(named))
+    return each.select(*[c for c in usable.columns if c != "usable"], "_s.*").where(F.size("features") >= least)
+
+
+def split_metrics(data: DataFrame, models: DataFrame, columns: list[str], row_id: str, keys: list[str] | None = None, split: str = "split") -> DataFrame:
+    """species_id, candidate_id, split and all metrics of every model on all rows of its key."""
+    known = data.where(F.col(split).isNotNull()).withColumn("split", F.col(split))
+    scored = cut(score_rows(known, models, columns, ["species_id", row_id, "label", "split"], keys=keys))
+    return evaluate(scored, ["species_id", "candidate_id", "split"], "label", "raw_score", row_id)
+
+
+def candidate_results(models: DataFrame, found: DataFrame, reasons: DataFrame) -> DataFrame:
+    """One row per trained model with its metrics by split, and one per species without any.
+
+    ``found``: ``split_metrics``; ``reasons``: species_id, reason for the species that have no model.
+    """
+    def of(split: str, metric: str, name: str) -> Column:
+        return F.max(F.when(F.col("split") == split, F.col(metric))).alias(f"{split}_{name}")
+
+    wide = found.groupBy("species_id", "candidate_id").agg(
+        of("train", "roc_auc", "roc_auc"), of("validation", "roc_auc", "roc_auc"), of("validation", "pr_auc", "pr_auc"),
+        of("validation", "top_10_hit_rate", "top_10_hit_rate"), of("validation", "brier_score", "brier_score"),
+        of("test", "roc_auc", "roc_auc"), of("test", "pr_auc", "pr_auc"), of("test", "top_10_hit_rate", "top_10_hit_rate"),
     )
+    trained = models.select(
+        "species_id", candidate_id().alias("candidate_id"), F.col("name").alias("model_name"), F.col("set_name").alias("feature_set_name"),
+        F.size("features").cast("long").alias("feature_count"), F.col("ratio").alias("background_ratio"),
+        F.lit("trained").alias("status"), F.lit("").alias("reason"),
+    ).join(wide, ["species_id", "candidate_id"], "left")
+    empty = reasons.select(
+        "species_id", F.concat("species_id", F.lit("__none")).alias("candidate_id"), F.lit("not_trained").alias("status"), "reason")
+    columns = [f.name for f in StructType.fromDDL(RESULT_SCHEMA)]
+    return trained.unionByName(empty, allowMissingColumns=True).select(*columns).withColumn("poor_result_reasons", poor_result_reasons())
 
 
 @dataclass
-class TrainingRun:
-    """Candidate rows of one species and its fitted models by candidate id."""
+class Trained:
+    """The model table, the columns its places refer to, and the candidate table."""
 
-    rows: list[tuple] = field(default_factory=list)
-    models: dict[str, Fitted] = field(default_factory=dict)
+    models: DataFrame
+    columns: list[str]
+    candidates: DataFrame
 
 
-def train_species(
-    data: DataFrame, species_id: str, row_id: str, effort: Effort = Effort(),
-    ratios: tuple[int, ...] = (10, 5), tuned: bool = True, sets: dict[str, list[str]] | None = None,
-) -> TrainingRun:
-    """Fit every candidate of one species, then evaluate all of them together.
+def train_all(data: DataFrame, row_id: str, effort: Effort = Effort(), ratios: tuple[int, ...] = (10, 5), tuned: bool = True,
+              sets: dict[str, tuple] | None = None) -> Trained:
+    """Every candidate of every species; ``data`` carries ``split``.
 
-    ``data`` carries ``split``. The loop is over candidates (tens); each fit is distributed.
+    A species that may not be trained has one row with the reason. Rows without a species belong
+    to no model.
     """
-    run = TrainingRun()
-    mine = data.where(F.col("species_id") == species_id).cache()
-    sets = sets or feature_sets(mine)
-    reason = training_guard(mine, sets)
-    if reason:
-        run.rows.append((species_id, f"{species_id}__none", *[None] * 12, "not_trained", reason))
-        mine.unpersist()
-        return run
-    tuned_sets = ("full_available_oceanographic", "no_coordinates", "sst_bathy_season")
-    about: dict[str, tuple] = {}
-    for set_name, columns in sets.items():
-        if len(columns) < 3:
-            continue
-        for ratio in ratios:
-            train = downsample_background(
-                mine.where(F.col("split") == "train"), ratio, ["species_id"], row_id
-            )
-            pool = baseline_estimators(effort)
-            if tuned and ratio == 10 and set_name in tuned_sets:
-                pool.update(tuned_estimators(effort))
-            for name, fitted in fit_candidates(train, columns, pool, row_id).items():
-                candidate = f"{set_name}__br{ratio}__{name}"
-                run.models[candidate] = fitted
-                about[candidate] = (name, set_name, columns, ratio)
-    found = evaluate_candidates(run.models, mine, row_id)
-    run.rows.extend(result_row(species_id, *about[c], found[c]) for c in run.models)
-    mine.unpersist()
-    return run
-
-
-def candidate_table(spark, rows: list[tuple]) -> DataFrame:
-    """The candidate table (one row per trained model) with its poor-result reasons."""
-    table = spark.createDataFrame(rows, RESULT_SCHEMA)
-    return table.withColumn("poor_result_reasons", poor_result_reasons())
+    data = data.where(F.col("species_id").isNotNull())
+    sets = sets or candidate_sets()
+    columns = _columns_of(data, *sets.values())
+    reasons = cut(training_reasons(data))
+    able = data.join(reasons.where("reason = 'ready'"), "species_id", "left_semi")
+    usable = usable_by_group(able, columns, ["species_id"])
+    plain = cut(keyed_sets(usable, sets, columns, 3))
+    named = plain.withColumn("ratio", F.explode(F.array(*[F.lit(r).cast("long") for r in ratios])))
+    keyed = named.withColumns({
+        "grp": F.concat(F.lit("br"), "ratio"), "prefix": F.concat("set_name", F.lit("__br"), "ratio"),
+        "tuned": F.lit(tuned) & (F.col("ratio") == 10) & F.col("set_name").isin(*TUNED_SETS)})
+    train = able.where(F.col("split") == "train").select("species_id", row_id, "label", *columns)
+    drawn = reduce(DataFrame.unionByName, [
+        downsample_background(train, r, ["species_id"], row_id).withColumn("grp", F.lit(f"br{r}")) for r in ratios])
+    models = fit_models(drawn, keyed, columns, (*BASELINES, *(TUNED if tuned else ())), row_id, effort)
+    ready = plain.select("species_id").distinct().withColumn("_sets", F.lit(True))
+    has = models.select("species_id").distinct().withColumn("_models", F.lit(True))
+    why = reasons.join(ready, "species_id", "left").join(has, "species_id", "left").where(F.col("_models").isNull()).select(
+        "species_id", F.when(F.col("reason") != "ready", F.col("reason")).when(F.col("_sets").isNull(), "no usable environmental feature columns")
+        .otherwise("training split is single-class").alias("reason"))
+    return Trained(models, columns, cut(candidate_results(models, split_metrics(able, models, columns, row_id), why)))
+
+
+def own_models(trained: Trained, chosen: DataFrame) -> DataFrame:
+    """The rows of the model table that ``chosen`` (species_id, candidate_id) names."""
+    picked = chosen.select("species_id", F.col("candidate_id").alias("_chosen"))
+    return trained.models.join(picked, "species_id").where(candidate_id() == F.col("_chosen")).drop("_chosen")
 
 
 def select_models(candidates: DataFrame, presence: DataFrame) -> DataFrame:
@@ -337,136 +271,105 @@ def select_models(candidates: DataFrame, presence: DataFrame) -> DataFrame:
     return chosen.withColumn("confidence_level", confidence_tier())
 
 
-def feature_importance(fitted: Fitted) -> list[tuple[str, float]]:
-    """Tree importances or absolute coefficients, largest first."""
-    model = fitted.model.stages[-1]
-    if hasattr(model, "featureImportances"):
-        values = model.featureImportances.toArray()
-    elif hasattr(model, "coefficients"):
-        values = abs(model.coefficients.toArray())
-    else:
-        return []
-    return sorted(zip(fitted.columns, map(float, values)), key=lambda kv: (-kv[1], kv[0]))
-
-
-def null_model_metrics(data: DataFrame, row_id: str, effort: Effort, split: str = "split", sets: dict | None = None) -> dict[str, dict]:
-    """Validation metrics of logistic models on deliberately poor feature sets."""
-    train = data.where(F.col(split) == "train")
-    fitted = {}
-    for name, wanted in (sets or NULL_MODEL_FEATURES).items():
-        columns = usable_columns(data, wanted, strict=False)
-        if columns:
-            estimator = baseline_estimators(effort)["logistic_regression_balanced"]
-            fitted[name] = fit_candidate(train, columns, estimator, row_id)
-    return {n: m.get("validation", {}) for n, m in evaluate_candidates(fitted, data, row_id, split).items()}
-
-
-def bias_audit(data: DataFrame, species_id: str, row_id: str, selected: dict, importance: list[tuple[str, float]], effort: Effort = Effort()) -> list[tuple]:
-    """(species, null model, roc, pr, suspicious features, likely biased) rows."""
-    mine = data.where(F.col("species_id") == species_id).cache()
-    nulls = null_model_metrics(mine, row_id, effort)
-    mine.unpersist()
-    top = [name for name, _ in importance[:25]]
-    suspicious = [c for c in top if c in COORDINATE_FEATURES or "missing_flag" in c]
-    best_roc = max([m.get("roc_auc") or 0.0 for m in nulls.values()] + [0.0])
-    best_pr = max([m.get("pr_auc") or 0.0 for m in nulls.values()] + [0.0])
-    biased = bool(
-        best_roc >= (selected.get("validation_roc_auc") or 0.0) - 0.03
-        or best_pr >= (selected.get("validation_pr_auc") or 0.0) - 0.03
-        or suspicious
-    )
-    return [
-        (species_id, name, m.get("roc_auc"), m.get("pr_auc"), ",".join(suspicious), biased)
-        for name, m in nulls.items()
-    ]
-
+def null_models(data: DataFrame, row_id: str, sets: dict[str, tuple], effort: Effort, split: str = "split") -> DataFrame:
+    """species_id, candidate_id (the set), split and metrics of logistic models on poor feature sets."""
+    data = data.where(F.col("species_id").isNotNull())
+    columns = _columns_of(data, *sets.values())
+    usable = usable_by_group(data, columns, ["species_id"], strict=False)
+    keyed = keyed_sets(usable, sets, columns, 1).withColumns({
+        "grp": F.lit("all"), "prefix": F.col("set_name"), "ratio": F.lit(None).cast("long"), "tuned": F.lit(False)})
+    train = data.where(F.col(split) == "train").select("species_id", row_id, "label", *columns).withColumn("grp", F.lit("all"))
+    models = fit_models(train, keyed, columns, BASELINES[:1], row_id, effort)
+    found = split_metrics(data, models, columns, row_id, split=split)
+    return found.withColumn("candidate_id", F.regexp_replace("candidate_id", f"__{BASELINES[0].name}$", ""))
 
-BIAS_SCHEMA = (
-    "species_id string, null_model string, roc_auc double, pr_auc double, "
-    "suspicious_features string, model_likely_biased boolean"
-)
 
+def bias_audit(data: DataFrame, row_id: str, chosen: DataFrame, importance: DataFrame, effort: Effort = Effort()) -> DataFrame:
+    """A row per species and null model, with the verdict on the species' selected model.
 
-def split_validation(
-    data: DataFrame, species_id: str, row_id: str, splits: dict[str, str], columns: list[str],
-    effort: Effort = Effort(),
-) -> list[tuple]:
-    """Main booster under several split columns against null models on the first of them.
-
-    ``splits`` maps a report name to a split column. beats_null needs 0.03 more ROC-AUC.
-    ``passes`` is the verdict on the species: whether its spatial-temporal holdout beats them.
+    ``chosen``: ``select_models``; ``importance``: species_id, feature, importance of those models.
+    A species without a null model has one row without metrics, and is judged by its features.
     """
-    mine = data.where(F.col("species_id") == species_id).cache()
-    booster = baseline_estimators(effort)["gradient_boosting_baseline"]
-    nulls = null_model_metrics(
-        mine, row_id, effort, split=next(iter(splits.values())),
-        sets={k: v for k, v in NULL_MODEL_FEATURES.items() if k != "sst_bathy_season_only"},
-    )
-    best_null = max([m.get("roc_auc") or 0.0 for m in nulls.values()] + [0.0])
-    rows = []
-    for name, column in splits.items():
-        facts = mine.where(F.col(column).isin("train", "validation")).groupBy(column).agg(
-            F.count_distinct("label").alias("classes")
-        ).collect()
-        if len(facts) < 2 or any(r["classes"] < 2 for r in facts) or len(columns) < 2:
-            rows.append((species_id, name, "skipped", None, None, None, best_null, False))
-            continue
-        fitted = fit_candidate(mine.where(F.col(column) == "train"), columns, booster, row_id)
-        m = evaluate_candidates({name: fitted}, mine, row_id, column)[name]
-        val, test = m.get("validation", {}), m.get("test", {})
-        roc = val.get("roc_auc")
-        rows.append((
-            species_id, name, "evaluated", roc, val.get("pr_auc"), test.get("roc_auc"), best_null,
-            bool((roc or 0.0) > best_null + 0.03),
-        ))
-    mine.unpersist()
-    passes = any(r[-1] for r in rows if r[1] == "spatial_temporal_holdout")
-    return [(*r, passes) for r in rows]
-
-
-VALIDATION_SCHEMA = (
-    "species_id string, split_name string, status string, validation_roc_auc double, "
-    "validation_pr_auc double, test_roc_auc double, best_null_roc_auc double, beats_null_models boolean, passes boolean"
-)
-
-
-def corrected_retrain(
-    samples: DataFrame, species_id: str, row_id: str, effort: Effort = Effort(),
-    strategies: tuple[str, ...] = (
-        "offshore_constrained_background", "environment_stratified_background", "spatial_buffered_background",
-    ),
-) -> TrainingRun:
-    """Depth-limited, coordinate-free retrain over strategy x ratio sample sets.
+    order = Window.partitionBy("species_id").orderBy(F.desc("importance"), "feature")
+    top = importance.withColumn("_n", F.row_number().over(order)).where("_n <= 25")
+    doubtful = top.where(F.col("feature").isin(*COORDINATE_FEATURES) | F.col("feature").contains("missing_flag"))
+    listed = doubtful.groupBy("species_id").agg(F.array_sort(F.collect_list(F.struct("_n", "feature"))).alias("_f")).select(
+        "species_id", F.concat_ws(",", "_f.feature").alias("suspicious_features"))
+    nulls = null_models(data, row_id, NULL_MODEL_FEATURES, effort).where("split = 'validation'").select(
+        "species_id", F.col("candidate_id").alias("null_model"), "roc_auc", "pr_auc")
+    best = nulls.groupBy("species_id").agg(F.max("roc_auc").alias("_roc"), F.max("pr_auc").alias("_pr"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    verdict = chosen.join(best, "species_id", "left").join(listed, "species_id", "left").select(
+        "species_id", F.coalesce("suspicious_features", F.lit("")).alias("suspicious_features"),
+        ((zero("_roc") >= zero("validation_roc_auc") - 0.03) | (zero("_pr") >= zero("validation_pr_auc") - 0.03)
+         | F.col("suspicious_features").isNotNull()).alias("model_likely_biased"))
+    return verdict.join(nulls, "species_id", "left").select(
+        "species_id", "null_model", "roc_auc", "pr_auc", "suspicious_features", "model_likely_biased")
+
+
+def split_validation(data: DataFrame, row_id: str, splits: dict[str, str], features: tuple[str, ...], effort: Effort = Effort()) -> DataFrame:
+    """The main booster of every species under several split columns, against null models on the
+    first of them.
+
+    ``splits`` maps a report name to a split column. ``beats_null_models`` needs 0.03 more ROC-AUC;
+    ``passes`` is the verdict on a species: whether its spatial-temporal holdout beats them.
+    """
+    data = data.where(F.col("species_id").isNotNull())
+    columns = _columns_of(data, features)
+    cases = F.explode(F.array(*[F.struct(F.lit(n).alias("grp"), F.col(c).alias("part")) for n, c in splits.items()]))
+    long = cut(data.select("species_id", row_id, "label", *columns, cases.alias("_c")).select("species_id", row_id, "label", *columns, "_c.*").where("part IS NOT NULL"))
+    nulls = null_models(data, row_id, {k: v for k, v in NULL_MODEL_FEATURES.items() if k != "sst_bathy_season_only"}, effort, split=next(iter(splits.values())))
+    best = nulls.where("split = 'validation'").groupBy("species_id").agg(F.max(F.coalesce("roc_auc", F.lit(0.0))).alias("best_null_roc_auc"))
+    classes = long.where(F.col("part").isin("train", "validation")).groupBy("species_id", "grp").agg(
+        F.count_distinct("part", "label").alias("_kinds"))
+    usable = usable_by_group(data, columns, ["species_id"], strict=False)
+    sets = keyed_sets(usable, {"main": tuple(columns)}, columns, 2).join(classes.where("_kinds = 4").drop("_kinds"), "species_id")
+    keyed = sets.withColumns({"prefix": F.col("grp"), "ratio": F.lit(None).cast("long"), "tuned": F.lit(False)})
+    models = fit_models(long.where("part = 'train'"), keyed, columns, (BASELINES[2],), row_id, effort)
+    found = split_metrics(long, models, columns, row_id, keys=["species_id", "grp"], split="part")
+    wide = found.withColumn("grp", F.regexp_replace("candidate_id", f"__{BASELINES[2].name}$", "")).groupBy("species_id", "grp").agg(
+        *[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}") for s, m in (("validation", "roc_auc"), ("validation", "pr_auc"), ("test", "roc_auc"))])
+    names = F.explode(F.array(*[F.lit(n) for n in splits]))
+    every = data.select("species_id").distinct().withColumn("grp", names)
+    done = models.select("species_id", "grp").withColumn("_done", F.lit(True))
+    rows = every.join(done, ["species_id", "grp"], "left").join(wide, ["species_id", "grp"], "left").join(best, "species_id", "left").withColumns({
+        "best_null_roc_auc": F.coalesce("best_null_roc_auc", F.lit(0.0)),
+        "status": F.when(F.col("_done"), "evaluated").otherwise("skipped")})
+    beats = F.coalesce(F.col("validation_roc_auc"), F.lit(0.0)) > F.col("best_null_roc_auc") + 0.03
+    judged = rows.withColumn("beats_null_models", beats & (F.col("status") == "evaluated"))
+    holds = F.bool_or(F.col("beats_null_models") & (F.col("grp") == "spatial_temporal_holdout")).over(Window.partitionBy("species_id"))
+    return judged.select(
+        "species_id", F.col("grp").alias("split_name"), "status", "validation_roc_auc", "validation_pr_auc", "test_roc_auc",
+        "best_null_roc_auc", "beats_null_models", holds.alias("passes"))
+
+
+def corrected_retrain(samples: DataFrame, row_id: str, effort: Effort = Effort(), strategies: tuple[str, ...] = CORRECTED_STRATEGIES) -> Trained:
+    """Depth-limited, coordinate-free candidates of every species over strategy x ratio sample sets.
 
     ``samples`` is the keyed table of strategy samples with ``split``.
     """
-    run = TrainingRun()
-    mine = samples.where((F.col("species_id") == species_id) & (F.col("depth_m") >= min_depth())).cache()
-    combos = mine.where(F.col("audit_background_strategy").isin(*strategies)).groupBy(
-        "audit_background_strategy", "audit_background_ratio"
-    ).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("b"))
-    for combo in combos.orderBy("audit_background_strategy", "audit_background_ratio").collect():
-        if combo["p"] < LOW_CONFIDENCE_RECORDS or combo["b"] < LOW_CONFIDENCE_RECORDS:
-            continue
-        strategy, ratio = combo["audit_background_strategy"], combo["audit_background_ratio"]
-        data = mine.where(
-            (F.col("audit_background_strategy") == strategy) & (F.col("audit_background_ratio") == ratio)
-        )
-        columns = usable_columns(data, MINIMUM_FEATURES + OPTIONAL_FEATURES, strict=False)
-        if len(columns) < 4:
-            continue
-        fitted = fit_candidates(
-            data.where(F.col("split") == "train"), columns, corrected_estimators(effort), row_id
-        )
-        found = evaluate_candidates(fitted, data, row_id)
-        for name, model in fitted.items():
-            row = result_row(species_id, name, strategy, columns, ratio, found[name])
-            run.rows.append(row)
-            run.models[row[1]] = model
-    if not run.rows:
-        run.rows.append((species_id, f"{species_id}__none", *[None] * 12, "not_trained", "no viable corrected candidates"))
-    mine.unpersist()
-    return run
+    known = samples.where(F.col("species_id").isNotNull())
+    group = F.concat_ws("__br", "audit_background_strategy", "audit_background_ratio")
+    mine = cut(known.where((F.col("depth_m") >= min_depth()) & F.col("audit_background_strategy").isin(*strategies)).withColumn("grp", group))
+    columns = _columns_of(mine, MINIMUM_FEATURES, OPTIONAL_FEATURES)
+    viable = mine.groupBy("species_id", "grp").agg(
+        F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_b"),
+        F.first("audit_background_strategy").alias("_strategy"), F.first("audit_background_ratio").cast("long").alias("ratio"),
+    ).where((F.col("_p") >= LOW_CONFIDENCE_RECORDS) & (F.col("_b") >= LOW_CONFIDENCE_RECORDS))
+    usable = usable_by_group(mine, columns, ["species_id", "grp"], strict=False).join(viable.drop("_p", "_b"), ["species_id", "grp"])
+    keyed = keyed_sets(usable, {"corrected": tuple(columns)}, columns, 4).withColumns({
+        "set_name": F.col("_strategy"), "prefix": F.col("grp"), "tuned": F.lit(False)})
+    models = fit_models(mine.where("split = 'train'"), keyed, columns, CORRECTED, row_id, effort)
+    reasons = known.select("species_id").distinct().join(models.select("species_id").distinct(), "species_id", "left_anti").withColumn(
+        "reason", F.lit("no viable corrected candidates"))
+    found = split_metrics(mine, models, columns, row_id, keys=["species_id", "grp"])
+    return Trained(models, columns, cut(candidate_results(models, found, reasons)))
+
+
+def corrected_status(candidates: DataFrame) -> DataFrame:
+    """species_id, status of the corrected retrain for the audit roll-up."""
+    trained = F.bool_or(F.col("status") == "trained")
+    return candidates.groupBy("species_id").agg(F.when(trained, "selected_corrected_under_audit").otherwise("not_trained").alias("status"))
 
 
 def batch_predictions(scored: DataFrame, keys: list[str], row_id: str, path: str = "fine") -> DataFrame:

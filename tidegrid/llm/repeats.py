@@ -49,6 +49,7 @@ LENGTH = 100
 SPAN = 64
 LEAST_LENGTH = SPAN + 16
 PIECE_BYTES = 1 << 20
+PART_BYTES = 1 << 22
 FLUSH_ANCHORS = 1 << 20
 FLUSH_EXCERPTS = 100_000
 SORT_ROWS = 20_000
@@ -123,6 +124,14 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, piece: i
     return np.searchsorted(offsets, first, side="right") - 1, place, first, n, grams
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to whole rows of about ``PART_BYTES`` of text."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column("text"))
+        for a, b in slices(offsets, PART_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _ordinals(text: np.ndarray) -> np.ndarray:
     """The number of each anchor inside its text, in the bits that a reference has for it."""
     heads = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
@@ -160,7 +169,7 @@ def candidates(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 pa.array(np.append(gram[first].view(np.int64), ref[known])), pa.array(np.append(ref[first], ref[known]), mask=~alone),
                 pa.array(np.append(np.zeros(len(first), dtype=bool), np.ones(len(known), dtype=bool)))], names=["gram", "ref", "known"])
 
-        for batch in batches:
+        for batch in _parts(batches):
             raw, offsets = text_buffer(batch.column("text"))
             text, _, _, _, gram = anchors(raw, offsets, length)
             key = batch.column("key").to_numpy()[text]
@@ -203,7 +212,7 @@ def excerpts(docs: DataFrame, per_document: DataFrame, length: int = LENGTH) ->
                  *[pa.array(x, pa.int64()) for x in zip(*seen.values())]],
                 names=["gram", "ahead", "excerpt", "at_id", "at_text", "start"])
 
-        for batch in batches:
+        for batch in _parts(batches):
             raw, offsets = text_buffer(batch.column("text"))
             text, place, first, n, gram = anchors(raw, offsets, length)
             some = _flagged(text, batch.column("ordinals"))
@@ -332,7 +341,7 @@ def firsts(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS)
 
 def _removal(length: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             raw, offsets = text_buffer(batch.column("text"))
             marked = np.flatnonzero(pc.fill_null(pc.list_value_length(batch.column("ordinals")), 0).to_numpy())
             spans: dict[int, np.ndarray] = {}

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tidegrid.operators.hotspots import band_quotas, spaced_spots
-from tidegrid.operators.nearest import nearest_point
+from tidegrid.operators.nearest import nearest_point, nearest_points
 
 
 def km(a, b):
@@ -105,3 +105,35 @@ def test_nearest_is_exact(spark, points):
             continue
         distances = [km((r.lat, r.lon), (x.lat, x.lon)) for x in p.itertuples()]
         assert row.nearest_km == pytest.approx(min(distances), abs=1e-5)
+
+
+@pytest.mark.parametrize("where", ["north", "date line", "poles", "ties"])
+def test_nearest_on_the_whole_sphere(spark, where):
+    rng = np.random.default_rng(5)
+    lat, lon = {"north": (85 + rng.uniform(-4, 4.9, 260), rng.uniform(-180, 180, 260)), "date line": (rng.uniform(-3, 3, 260), 180 + rng.uniform(-3, 3, 260)),
+                "poles": (rng.choice([-1, 1], 260) * (90 - rng.exponential(0.5, 260)), rng.uniform(-180, 180, 260)),
+                "ties": (rng.integers(-3, 3, 260) * 1.0, 178 + rng.integers(0, 5, 260) * 1.0)}[where]
+    lon = (lon + 180) % 360 - 180
+    q, p = list(zip(range(100), lat[:100].tolist(), lon[:100].tolist())), list(zip(range(160), lat[100:].tolist(), lon[100:].tolist()))
+    q += [(100, None, 3.0), (101, float("nan"), 3.0), (102, 0.0, float("inf")), (103, 95.0, 0.0)]
+    rows, points = spark.createDataFrame(q, "id long, lat double, lon double"), spark.createDataFrame(p + [(900, None, None)], "poi_id long, lat double, lon double")
+    one = {r["id"]: (r["nearest_poi_id"], r["nearest_km"]) for r in nearest_point(rows, points, ["poi_id"]).collect()}
+    five = {}
+    for r in nearest_points(rows, points, ["poi_id"], 5).collect():
+        five.setdefault(r["id"], {})[r["nearest_rank"]] = (r["nearest_poi_id"], r["nearest_km"])
+    assert set(one) == set(range(104)) and set(five) == set(range(100))
+    assert all(one[i] == (None, None) for i in range(100, 104))
+    for i, y, x in q[:100]:
+        want = sorted((round(km((y, x), (b, a)), 6), j) for j, b, a in p)[:5]
+        got = [five[i][n + 1] for n in range(5)]
+        assert got[0] == one[i]
+        assert [d for _, d in got] == pytest.approx([d for d, _ in want], abs=2e-6)
+        if where == "ties":
+            assert [j for j, _ in got] == [j for _, j in want]
+
+
+def test_fewer_points_than_asked_for(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
+    points = spark.createDataFrame([(5, 1.0, 0.0), (6, 1.0, 0.0), (7, 0.0, 3.0)], "poi_id long, lat double, lon double")
+    got = nearest_points(rows, points, ["poi_id"], 9).orderBy("nearest_rank").select("nearest_rank", "nearest_poi_id")
+    assert [tuple(r) for r in got.collect()] == [(1, 5), (2, 6), (3, 7)]

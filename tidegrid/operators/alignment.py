@@ -28,11 +28,12 @@ WEATHER_COLUMNS = (
 def structure_distances(cells: DataFrame, points: DataFrame) -> DataFrame:
     """Nearest point with its type, nearest aggregation device, and the landmark distance."""
     places = cells.select(F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon")).distinct()
-    poi = nearest_by_place(places, points, ["poi_type"]).withColumnRenamed("_best", "_poi")
-    fads = points.where(F.col("poi_type") == FAD_TYPE)
-    fad = nearest_by_place(places, fads, ["poi_type"]).withColumnRenamed("_best", "_fad")
+    kinds = F.when(F.col("poi_type") == FAD_TYPE, F.array(F.lit("poi"), F.lit("fad"))).otherwise(F.array(F.lit("poi")))
+    found = nearest_by_place(places, points.withColumn("_tag", F.explode(kinds)), ["poi_type"], tags=["poi", "fad"])
+    of = lambda tag: F.max(F.when(F.col("_tag") == tag, F.col("_best")))
+    best = found.groupBy("_qlat", "_qlon").agg(of("poi").alias("_poi"), of("fad").alias("_fad"))
     placed = cells.withColumns({"_qlat": F.col("lat"), "_qlon": F.col("lon")})
-    near = placed.join(poi, ["_qlat", "_qlon"], "left").join(fad, ["_qlat", "_qlon"], "left")
+    near = placed.join(best, ["_qlat", "_qlon"], "left")
     return near.select(
         *cells.columns,
         F.col("_poi.km").alias("distance_to_nearest_poi_km"),

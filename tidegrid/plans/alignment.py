@@ -137,16 +137,16 @@ def a9(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gradient_sql(source: str, day: str, iy: str, ix: str, value: str, out: str) -> str:
-    """CTEs ending in ``out``(day, iy, ix, g): gradient on the day's lattice by self-joins."""
+    """CTEs ending in ``out``(day, iy, ix, g): gradient on the day's lattice, neighbours by window."""
+    beside = lambda f, line, rank, step: f"CASE WHEN {f}({rank}) OVER {line} = {rank} {step} 1 THEN {f}(v) OVER {line} END"
     return f"""
 {out}_y AS (SELECT {day}, {iy}, row_number() OVER (PARTITION BY {day} ORDER BY {iy}) AS ry, count(*) OVER (PARTITION BY {day}) AS ny FROM (SELECT DISTINCT {day}, {iy} FROM {source}) t),
 {out}_x AS (SELECT {day}, {ix}, row_number() OVER (PARTITION BY {day} ORDER BY {ix}) AS rx, count(*) OVER (PARTITION BY {day}) AS nx FROM (SELECT DISTINCT {day}, {ix} FROM {source}) t),
 {out}_g AS (SELECT s.{day}, s.{iy}, s.{ix}, s.{value} AS v, ry, ny, rx, nx FROM {source} s JOIN {out}_y USING ({day}, {iy}) JOIN {out}_x USING ({day}, {ix})),
-{out}_d AS (SELECT g.{day}, g.{iy}, g.{ix}, g.nx, g.ny,
-   CASE WHEN g.rx = 1 THEN e.v - g.v WHEN g.rx = g.nx THEN g.v - w.v ELSE (e.v - w.v) / 2 END AS gx,
-   CASE WHEN g.ry = 1 THEN n.v - g.v WHEN g.ry = g.ny THEN g.v - s.v ELSE (n.v - s.v) / 2 END AS gy
-   FROM {out}_g g LEFT JOIN {out}_g e ON e.{day} = g.{day} AND e.ry = g.ry AND e.rx = g.rx + 1 LEFT JOIN {out}_g w ON w.{day} = g.{day} AND w.ry = g.ry AND w.rx = g.rx - 1
-   LEFT JOIN {out}_g n ON n.{day} = g.{day} AND n.rx = g.rx AND n.ry = g.ry + 1 LEFT JOIN {out}_g s ON s.{day} = g.{day} AND s.rx = g.rx AND s.ry = g.ry - 1),
+{out}_n AS (SELECT *, {beside('lead', 'h', 'rx', '+')} AS e, {beside('lag', 'h', 'rx', '-')} AS w, {beside('lead', 'u', 'ry', '+')} AS n, {beside('lag', 'u', 'ry', '-')} AS s
+  FROM {out}_g WINDOW h AS (PARTITION BY {day}, ry ORDER BY rx), u AS (PARTITION BY {day}, rx ORDER BY ry)),
+{out}_d AS (SELECT {day}, {iy}, {ix}, nx, ny, CASE WHEN rx = 1 THEN e - v WHEN rx = nx THEN v - w ELSE (e - w) / 2 END AS gx,
+  CASE WHEN ry = 1 THEN n - v WHEN ry = ny THEN v - s ELSE (n - s) / 2 END AS gy FROM {out}_n),
 {out} AS (SELECT {day}, {iy}, {ix}, CASE WHEN nx > 1 AND ny > 1 THEN sqrt(gx * gx + gy * gy) END AS g FROM {out}_d)
 """
 

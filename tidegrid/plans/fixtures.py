@@ -121,9 +121,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(views: str, body: str) -> str:
-    """DuckDB text: the named fixtures as CTEs, then ``body`` (more CTEs or a SELECT)."""
+    """DuckDB text: the named fixtures as CTEs, then ``body`` (more CTEs or a SELECT), which says
+    RECURSIVE first if a CTE of its own recurses."""
     parts = [f"{name} AS ({VIEWS[name].strip()})" for name in views.split()]
     body = body.strip()
+    start = "WITH "
+    if body.startswith("RECURSIVE"):
+        start, body = "WITH RECURSIVE ", body.removeprefix("RECURSIVE").strip()
     if body.upper().startswith("SELECT"):
-        return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
-    return "WITH " + ",\n".join([*parts, body])
+        return (start + ",\n".join(parts) + "\n" if parts else "") + body
+    return start + ",\n".join([*parts, body])

@@ -13,6 +13,7 @@ from ..schemas import text_schema
 from ..sources import landed, published, tabular
 from ..session import shared_folder
 from .alignment import points, training
+from .expressions import haversine_sql
 from .cleaning import ENTRIES, PARSED, START, END, published_entries
 from .fixtures import view
 from .registry import query
@@ -267,15 +268,59 @@ def q5(spark: SparkSession, sf: str) -> DataFrame:
 SPOT_KEYS = ["species_id", "model_source", "date"]
 
 
-@query("w11_spaced_hotspots")
+BAND_SQL = "CASE WHEN distance_to_coast_km <= 20 THEN 'nearshore' WHEN distance_to_coast_km <= 50 THEN 'midshore' ELSE 'offshore' END"
+SEGMENT_SQL = "coalesce(CAST(trunc(least(7e0, greatest(0e0, (lat + 36.5e0) / 4.5e0 * 8))) AS BIGINT), 0)"
+PICK_SQL = "STRUCT(neg DOUBLE, row_id BIGINT, lat DOUBLE, lon DOUBLE, band VARCHAR, segment BIGINT)"
+
+
+def spots_sql(cells: str, limit: int, apart: float, radius: int) -> str:
+    """CTEs ending in ``spots``: the plain greedy as a recursion over the schedule of its attempts.
+
+    Each step gives every key the best cell that its attempt allows and that lies far enough from
+    the picks so far.
+    """
+    quota = "CASE band " + " ".join(f"WHEN '{b}' THEN {q}" for b, q in hs.band_quotas(limit).items()) + " END"
+    return f"""
+sched AS (SELECT row_number() OVER (ORDER BY phase, i, band_no, a) - 1 AS step, band, CASE WHEN phase = 1 THEN a END AS segment, floor, {quota} AS quota FROM (
+  SELECT 1 AS phase, i, band_no, unnest(range(8)) AS a, band, floor FROM (VALUES (0, 95e0), (1, 85e0), (2, 75e0)) f(i, floor), (VALUES (0, 'nearshore'), (1, 'midshore')) b(band_no, band)
+  UNION ALL SELECT 2, i, band_no, unnest(range({quota})), band, floor FROM (VALUES (0, 85e0), (1, 60e0)) f(i, floor), (VALUES (0, 'nearshore'), (1, 'midshore'), (2, 'offshore')) b(band_no, band)
+  UNION ALL SELECT 3, 0, 0, unnest(range({limit})), NULL, CAST('-infinity' AS DOUBLE)) t),
+cand AS MATERIALIZED (SELECT species_id, model_source, date, cell_id, lat, lon, score, {BAND_SQL} AS band, {SEGMENT_SQL} AS segment FROM {cells} WHERE score IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL),
+greedy AS (
+  SELECT species_id, model_source, date, CAST(0 AS BIGINT) AS step, CAST([] AS {PICK_SQL}[]) AS picks FROM (SELECT DISTINCT species_id, model_source, date FROM cand) k
+  UNION ALL
+  SELECT g.species_id, g.model_source, g.date, g.step + 1, CASE WHEN count(c.cell_id) = 0 THEN any_value(g.picks) ELSE list_append(any_value(g.picks),
+    min(CASE WHEN c.cell_id IS NOT NULL THEN CAST(struct_pack(neg := -c.score, row_id := c.cell_id, lat := c.lat, lon := c.lon, band := c.band, segment := c.segment) AS {PICK_SQL}) END)) END
+  FROM greedy g JOIN sched s ON s.step = g.step LEFT JOIN cand c ON c.species_id = g.species_id AND c.model_source = g.model_source AND c.date = g.date
+    AND coalesce(c.band = s.band, TRUE) AND coalesce(c.segment = s.segment, TRUE) AND c.score >= s.floor AND len(g.picks) < {limit}
+    AND coalesce(len(list_filter(g.picks, lambda p: p.band = s.band)) < s.quota, TRUE)
+    AND (s.segment IS NULL OR len(list_filter(g.picks, lambda p: p.band = s.band AND p.segment = s.segment)) = 0)
+    AND len(list_filter(g.picks, lambda p: CASE WHEN abs(p.lat - c.lat) * 111 > {apart} THEN FALSE ELSE {haversine_sql('p.lat', 'p.lon', 'c.lat', 'c.lon')} < {apart} END)) = 0
+  GROUP BY g.species_id, g.model_source, g.date, g.step),
+taken AS (SELECT species_id, model_source, date, unnest(picks) AS p, generate_subscripts(picks, 1) AS nth FROM greedy WHERE step = (SELECT max(step) + 1 FROM sched)),
+spots AS (SELECT species_id, model_source, date, p.row_id AS cell_id, p.lat AS lat, p.lon AS lon, -p.neg AS score, p.band AS coast_priority_band, p.segment AS coast_segment,
+  row_number() OVER (PARTITION BY species_id, model_source, date ORDER BY p.neg, nth) AS spot_rank, CAST({radius} AS BIGINT) AS recommendation_radius_m FROM taken)"""
+
+
+@query("w11_spaced_hotspots", "fx_scored", "RECURSIVE " + PUBLISHED + ", " + spots_sql("pub", 30, 4.0, 500) + """
+SELECT * FROM spots""")
 def w11(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy spaced selection over every key at once."""
     return hs.spaced_spots(predictions(spark, sf), SPOT_KEYS, "cell_id")
 
 
-@query("q2_described_hotspots")
+@query("q2_described_hotspots", "fx_scored fx_poi", "RECURSIVE " + PUBLISHED + """
+, newest AS (SELECT * FROM pub p WHERE date = (SELECT max(date) FROM pub q WHERE q.species_id = p.species_id)), """ + spots_sql("newest", 20, 6.0, 1000) + f"""
+, full_ AS (SELECT s.*, n.sst_c, n.sst_front_strength, n.current_speed, n.depth_m, n.distance_to_coast_km FROM spots s JOIN newest n USING (species_id, model_source, date, cell_id)),
+near AS (SELECT f.*, p.name AS poi_name, p.poi_type AS poi_poi_type, round({haversine_sql('f.lat', 'f.lon', 'p.lat', 'p.lon')}, 6) AS poi_km
+  FROM full_ f, fx_poi p QUALIFY row_number() OVER (PARTITION BY species_id, model_source, date, cell_id ORDER BY poi_km, p.poi_id) = 1)
+SELECT *, concat_ws('; ', CASE WHEN sst_c IS NOT NULL THEN printf('SST %.1fC', sst_c) END, CASE WHEN sst_front_strength IS NOT NULL THEN printf('SST front proxy %.3f', sst_front_strength) END,
+  CASE WHEN current_speed IS NOT NULL THEN printf('Current %.2fm/s', current_speed) END, CASE WHEN depth_m IS NOT NULL THEN printf('Depth %.0fm', depth_m) END,
+  CASE WHEN distance_to_coast_km IS NOT NULL THEN printf('%.1fkm from coast', distance_to_coast_km) END) AS top_drivers,
+  CASE WHEN poi_km IS NULL THEN 'No nearby POI context available.' ELSE printf('Nearest known/demo offshore feature: %s (%s), about %.2f km away.', poi_name, poi_poi_type, round(poi_km, 2)) END AS poi_context FROM near""")
 def q2(spark: SparkSession, sf: str) -> DataFrame:
     """Hotspots of each species' latest day with drivers and nearest point."""
     cells = hs.latest_predictions(predictions(spark, sf))
     spots = hs.spaced_spots(cells, SPOT_KEYS, "cell_id", limit=20, separation_km=6.0, radius_m=1000)
-    return hs.described_spots(spots, cells, points(spark, sf), SPOT_KEYS, "cell_id")
+    described = hs.described_spots(spots, cells, points(spark, sf), SPOT_KEYS, "cell_id")
+    return described.withColumn("top_drivers", F.concat_ws("; ", "top_drivers"))

@@ -30,11 +30,10 @@ cells AS (SELECT day_date AS date, printf('%.4f_%.4f', lat, lon) AS grid_id, lon
 
 @query("x2_same_day_background", "fx_occurrence fx_field fx_static", PRESENCE + """
 , need AS (SELECT species_id, date, count(*) * 10 AS need FROM pres GROUP BY 1, 2),
-pool AS (SELECT n.species_id, n.date, c.grid_id, n.need FROM need n JOIN cells c ON c.date = n.date WHERE c.sst_c IS NOT NULL AND coalesce(c.ocean_mask, TRUE)
-  AND NOT EXISTS (SELECT 1 FROM pres p WHERE p.species_id = n.species_id AND p.date = n.date AND p.grid_id = c.grid_id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY species_id, date ORDER BY md5(concat_ws('|', '42', species_id, CAST(date AS VARCHAR), grid_id))) AS r, count(*) OVER (PARTITION BY species_id, date) AS n FROM pool),
-picks AS (SELECT DISTINCT species_id, date, need, n, unnest(generate_series(0, need - 1)) AS pick FROM ranked)
-SELECT k.species_id, k.date, r.grid_id, CAST(k.pick AS BIGINT) AS pick, k.need > k.n AS short_of_cells FROM picks k JOIN ranked r ON r.species_id = k.species_id AND r.date = k.date AND r.r - 1 = k.pick % k.n""")
+pool AS (SELECT n.species_id, n.date, c.grid_id, n.need FROM need n JOIN cells c ON c.date = n.date ANTI JOIN pres p ON p.species_id = n.species_id AND p.date = n.date AND p.grid_id = c.grid_id
+  WHERE c.sst_c IS NOT NULL AND coalesce(c.ocean_mask, TRUE)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY species_id, date ORDER BY md5(concat_ws('|', '42', species_id, CAST(date AS VARCHAR), grid_id))) AS r, count(*) OVER (PARTITION BY species_id, date) AS n FROM pool)
+SELECT species_id, date, grid_id, unnest(range(r - 1, need, n)) AS pick, need > n AS short_of_cells FROM ranked WHERE r <= need""")
 def x2(spark: SparkSession, sf: str) -> DataFrame:
     cells = simple_grid(spark, sf).withColumn("grid_id", cell_name("lat", "lon"))
     drawn = sm.same_day_background(presence(spark, sf), cells)

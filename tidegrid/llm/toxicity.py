@@ -43,7 +43,8 @@ REPEATED = 3
 LEAST_ODDS = 1.5
 WINDOW = 6
 QUOTED, MISSPELLED, COMPANY = 0.5, 0.75, 0.25
-MEMO_WORDS = 300_000
+#: What a Python worker keeps at most: words with their hits, states of the automaton.
+MEMO_WORDS, MEMO_STATES = 30_000, 30_000
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile(r"[\"“”„«»‹›]")
 
@@ -82,6 +83,10 @@ class FuzzyTrie:
             else:
                 node.word, node.limit = number, limit
         self.place = {id(n): i for i, n in enumerate(self.nodes)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin the table of states anew."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -156,11 +161,18 @@ class Lexicon:
         if self.trie is None:
             self.trie = FuzzyTrie([(t, stem, int(not stem and len(t) >= 6)) for t, stem, _, _ in self.terms])
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
+            self.memo.clear()
+        if len(self.trie.sets) > MEMO_STATES:
+            self.trie.forget()
         # words without hits share one empty tuple
         hits = self.memo[word] = tuple(self.trie.find(word))
         return hits
 
+    def forget(self) -> None:
+        """Leave nothing behind in a worker that goes on to other tasks."""
+        self.trie = None
+        self.memo.clear()
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         words, memo = words_of(text), self.memo
         hit_words = {}
@@ -268,6 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             out = pd.DataFrame([lexicon.features(t) for t in batch["text"]], columns=["a", "b", "c"], index=batch.index)
             yield out.assign(toxic=batch["toxic"])
+        lexicon.forget()
 
     # three numbers a row, for at most twice fit_rows rows (more only where ids repeat)
     seen = sample.mapInPandas(feature_rows, "a double, b double, c double, toxic int").toPandas()
@@ -304,6 +317,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
         for batch in batches:
             features = np.array([model.lexicon.features(t) for t in batch]).reshape(len(batch), 3)
             yield pd.Series(model.score(features), index=batch.index)
+        model.lexicon.forget()
 
     return renamed.withColumn(row, scored(f"c{text_at}")).toDF(*names, row)
 

@@ -3,8 +3,7 @@
 Lines are the parts of a text between line feeds. The normal form of a line has A-Z lower-cased,
 digits as 0, ASCII punctuation dropped and white space made single blanks. Lines of one normal
 form are one class. Classes are linked when their SimHashes (64 bits over the
-  distinct longer words) differ in
-at most ``distance`` bits and the edit similarity of their normal forms, 1 - edits / longer
+distinct longer words) differ in at most ``distance`` bits and the edit similarity of their normal forms, 1 - edits / longer
 length, is at least ``percent`` hundredths. Of every connected group of classes one occurrence
 stays: the first by (id, text hash, line number).
 
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import free_name, held, table
+from tidegrid.llm.common import free_name, held, parts, table
 from tidegrid.llm.graph import components, connect
 from tidegrid.llm.hashing import word_hashes
 
@@ -133,8 +132,14 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def confirm(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("norm").alias("a_norm"))
         b = texts.select(F.col("node").alias("b"), F.col("norm").alias("b_norm"))
-        most = f"cast(floor((100 - {percent}) * greatest(length(a_norm), length(b_norm)) / 100) as int)"
-        return pairs.join(a, "a").join(b, "b").where(F.expr(f"levenshtein(a_norm, b_norm, {most}) >= 0")).select("a", "b")
+        longer = "greatest(length(a_norm), length(b_norm))"
+        within = lambda share: f"levenshtein(a_norm, b_norm, cast(floor({share} * {longer} / 100) as int)) >= 0"
+        # the work grows with the bound: most pairs are decided by a narrow one
+        narrow = [x for x in (1, 5) if x < 100 - percent]
+        close = F.expr(" OR ".join(f"({within(x)})" for x in (*narrow, 100 - percent)))
+        # long lines cost more than their bytes tell: pairs are dealt evenly, whatever their size
+        texts_of = pairs.join(a, "a").join(b, "b").repartition(parts(pairs.sparkSession), "a", "b")
+        return texts_of.where(close).select("a", "b")
 
     groups = components(connect(buckets, nodes, closeness, -distance, confirm))
     placed = (

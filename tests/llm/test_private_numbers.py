@@ -1,6 +1,8 @@
 import datetime
 import re
 
+import pytest
+
 from tests.llm.conftest import rows
 from tidegrid.llm.private_numbers import pseudonymise
 
@@ -15,9 +17,9 @@ def by_97(iban):
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
-def replaced(spark, texts, **options):
+def replaced(spark, texts, key="secret", **options):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [tuple(r)[1:] for r in sorted(pseudonymise(df, **options).collect())]
+    return [tuple(r)[1:] for r in sorted(pseudonymise(df, key, **options).collect())]
 
 
 def test_values_stay_valid_linked_and_in_format(spark):
@@ -54,9 +56,9 @@ def test_invalid_values_and_odd_rows(spark):
             "no numbers", "1234", "a" * 20000 + "9" * 30]
     assert replaced(spark, left) == [(t, []) for t in left]
     df = spark.createDataFrame([(1, "1.2.3.4", "k")] * 2, "doc_id long, text string, kinds string")
-    out = pseudonymise(df)
+    out = pseudonymise(df, "secret")
     assert out.columns == ["doc_id", "text", "kinds", "_kinds"] and len(set(rows(out.drop("_kinds")))) == 1
-    assert rows(pseudonymise(df.limit(0))) == []
+    assert rows(pseudonymise(df.limit(0), "secret")) == []
 
 
 def test_values_beside_other_numbers_and_words(spark):
@@ -75,3 +77,23 @@ def test_values_beside_other_numbers_and_words(spark):
             assert value not in new or not kinds
     long = "1 2 3 " * 4000
     assert len(replaced(spark, [long])[0][0]) == len(long)
+
+
+def test_one_phone_number_in_many_spellings(spark):
+    spellings = {
+        "4917612345678": ["+49 176 12345678", "+4917612345678", "+49-176-1234-5678", "+49 (176) 1234 5678", "+491 761 234 5678"],
+        "12125551234": ["+1 212 555 1234", "+12125551234", "+1 (212) 555-1234", "(212) 555-1234", "212-555-1234"],
+        "35312345678": ["+353 1234 5678", "+35312345678", "+353-1234-5678"],
+    }
+    for whole, texts in spellings.items():
+        got = replaced(spark, texts)
+        assert [kinds for _, kinds in got] == [["phone"]] * len(texts)
+        digits = {re.sub(r"\D", "", new)[-10:] for new, _ in got}
+        assert len(digits) == 1 and whole[-10:] not in digits
+        code = {"4": "49", "1": "1", "3": "353"}[whole[0]]
+        assert all(re.sub(r"\D", "", new).startswith(code) for (new, _), text in zip(got, texts) if text[0] == "+")
+
+
+def test_a_key_is_demanded(spark):
+    with pytest.raises(TypeError):
+        pseudonymise(spark.createDataFrame([], "doc_id long, text string"))

@@ -22,7 +22,8 @@ each number of an address modulo 256. Separators and lengths stay. Cards and IBA
 check digits: the rest is permuted, and the check digits are worked out anew. Dates are numbered
 within the 400 years (146,097 days = 773 * 189) and a generalised Feistel network permutes the
 numbers, so a date becomes a date. Equal values (whatever their separators) get equal
-pseudonyms in all documents, different ones different. The key is a parameter.
+pseudonyms in all documents, different ones different; a phone number keeps its calling code, and a North American one is
+the same with or without it. The caller must name a key.
 
 All happens in expressions over one row: no shuffle, no Python, whole texts.
 
@@ -38,7 +39,10 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import free_name, table
 
 ROUNDS = 8
-KEY = "tidegrid"
+
+# fixed values: calling codes of one and of two digits; all others have three
+ONE_DIGIT = "17"
+TWO_DIGITS = (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)
 
 #: Kinds and the forms in which they stand in texts, in order of precedence.
 FORMS = {
@@ -156,8 +160,10 @@ def _iban(text: Column, key: str) -> Column:
 
 def _phone(text: Column, key: str) -> Column:
     digits = _bare(text)
-    # the country code in front of the first separator stays
-    front = F.when(F.startswith(text, F.lit("+")), F.length(F.regexp_extract(text, r"^\+(\d{1,3})(?!\d)", 1))).otherwise(0)
+    # the calling code stays, wherever the separators stand
+    two = F.substring(digits, 1, 2).isin(*[str(c) for c in TWO_DIGITS])
+    code = F.when(F.substring(digits, 1, 1).isin(*ONE_DIGIT), 1).when(two, 2).otherwise(3)
+    front = F.when(F.startswith(text, F.lit("+")), code).otherwise(0)
     return _refilled(text, F.concat(
         F.substring(digits, F.lit(1), front), permuted(F.substring(digits, front + 1, F.length(digits)), key, "phone")))
 
@@ -256,7 +262,7 @@ def values_in(text: Column) -> Column:
         F.aggregate(starts, begin, at, lambda s: F.concat(s["parts"], rest(s)))))[0]
 
 
-def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(text: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(text, key)).when(kind == "ip", _ip(text, key)).when(kind == "date", _date(text, key))
         .when(kind == "ssn", _refilled(text, permuted(_bare(text), key, "ssn"))).when(kind == "phone", _phone(text, key))
@@ -264,8 +270,11 @@ def pseudonym(text: Column, kind: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", kinds_col: str = "kinds", key: str = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col`` and the kinds found, in order, in ``kinds_col``."""
+def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", kinds_col: str = "kinds") -> DataFrame:
+    """``docs`` with pseudonyms in ``text_col`` and the kinds found, in order, in ``kinds_col``.
+
+    Whoever has the key can undo them: keep it out of sources and plans that others see.
+    """
     text = F.col(f"`{text_col}`")
     names = {n: free_name(docs, f"pii_{n}") for n in ("found", "judged")}
     kinds = free_name(docs, kinds_col)
@@ -286,6 +295,10 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", kinds_col: str = "k
     )
 
 
+#: The key of the registered query, which anyone may check.
+KEY = "op8_private_numbers"
+
+
 def op8_private_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", "kinds", F.size("kinds").cast("long").alias("n_found"))
+    return pseudonymise(docs, KEY).select("doc_id", "text", "kinds", F.size("kinds").cast("long").alias("n_found"))

@@ -132,7 +132,7 @@ def rule_score(df: DataFrame) -> DataFrame:
     weakest = F.array_min(
         F.array(*[
             F.struct(F.col(f"c_{k}").alias("value"), F.lit(i).alias("pos"),
-                     F.lit(RULE_COMPONENT_NAMES[k]).alias("name"))
+                     F.lit(RULE_COMPONENT_NAMES[k]).alias("name"), F.lit(k).alias("key"))
             for i, k in enumerate(names)
         ])
     )
@@ -142,9 +142,53 @@ def rule_score(df: DataFrame) -> DataFrame:
         "confidence": F.when(is_mock, "Low").otherwise("Medium"),
         "key_drivers": F.transform(F.slice("_ranked", 1, 4), lambda r: r["name"]),
         "limiting_factor": F.when(F.col("_weak.value") < 45, F.col("_weak.name")),
+        "explanation": rule_notes(F.when(F.col("_weak.value") < 45, F.col("_weak.key"))),
     }).drop("_ranked", "_weak")
 
 
+def whole_number(value: Column) -> Column:
+    """Rounded half to even, as text."""
+    return F.rint(value).cast("long").cast("string")
+
+
+# fixed values: the texts of rule scores, feature notes and cell sentences
+def rule_notes(weak: Column) -> Column:
+    """Explanation of a rule score; what is missing is left out."""
+    return notes(
+        F.concat(F.lit("SST is "), F.when(F.col("sst_c").isNotNull(), F.format_string("%.1f", "sst_c")), F.lit(" C, giving a "), whole_number(F.col("c_sst")), F.lit("/100 species suitability component.")),
+        F.concat(F.lit("The synthetic front/gradient score is "), whole_number(F.col("c_front")), F.lit("/100.")),
+        F.concat(F.lit("Structure/depth context is "), F.coalesce("poi_type", F.lit("current_edge")), F.lit(" in "), F.coalesce("depth_class", F.lit("deep")), F.lit(" water.")),
+        F.lit("Confidence is limited because this v0.1 demo uses synthetic ocean data."),
+        F.concat(F.lit("Limiting factor: "), weak, F.lit(" is weak in this demo scenario.")),
+    )
+
+
+def feature_notes(features: tuple[str, ...]) -> tuple[Column, Column]:
+    """(drivers, explanation) of a model's cell, from the features the model uses."""
+    listed = (
+        ("sst_c", "sst_c", "SST is included as a core habitat suitability feature."),
+        ("sst_front_strength", "sst_front_strength", "SST front strength contributes to the relative hotspot score."),
+        ("distance_to_shelf_break", "distance_to_shelf_break", "Shelf-break proximity is represented in the model features."),
+        ("distance_to_nearest_fad_km", "distance_to_nearest_fad_km", "FAD/structure proximity is included where available."),
+        ("month_sin", "seasonality", "Seasonal timing is included via cyclic date features."),
+    )
+    used = [(d, text) for f, d, text in listed if f in features or f == "month_sin" and "month_cos" in features]
+    # the temperature counts only where the cell has one
+    there = lambda d, value: F.when(F.col("sst_c").isNotNull(), value) if d == "sst_c" else F.lit(value)
+    return (
+        notes(*[there(d, d) for d, _ in used], keep=5),
+        notes(*[there(d, text) for d, text in used], default="Relative suitability estimated from available environmental predictors."),
+    )
+
+
+def cell_sentence() -> Column:
+    """One line on a fine-grid cell; NULL where temperature, depth or coast distance is missing."""
+    base = F.format_string("SST %.1fC; depth about %.0fm; %.1fkm from coast proxy", "sst_c", "depth_m", "distance_to_coast_km")
+    known = F.col("sst_c").isNotNull() & F.col("depth_m").isNotNull() & F.col("distance_to_coast_km").isNotNull()
+    speed = F.when(F.col("current_speed").isNotNull(), F.format_string("; current speed %.2fm/s", "current_speed")).otherwise(".")
+    return F.when(known, F.concat(base, speed))
+
+
 def rating_loose(score) -> Column:
     """30 / 55 / 75 thresholds (rule scores)."""
     score = col(score)

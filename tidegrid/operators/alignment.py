@@ -192,6 +192,22 @@ def as_of_field(targets: DataFrame, field: DataFrame, **options) -> DataFrame:
     return field.withColumnRenamed("date", "source_date").join(F.broadcast(chosen), "source_date")
 
 
+def as_of_chain(targets: DataFrame, sources: DataFrame, steps: dict[str, dict]) -> DataFrame:
+    """Per target date the source of the first step that finds one, with the step's name.
+
+    ``steps`` maps a name to the options of ``as_of_dates``, in the order they are tried; a date
+    that none serves keeps NULL.
+    """
+    found = None
+    for name, options in steps.items():
+        one = as_of_dates(targets, sources, **options).select(
+            "date", F.when(F.col("source_date").isNotNull(), F.struct("source_date", "offset_days", F.lit(name).alias("method"))).alias(f"_{name}"))
+        # one row a day: bounded by the calendar
+        found = one if found is None else found.join(F.broadcast(one), "date")
+    best = F.coalesce(*[F.col(f"_{name}") for name in steps])
+    return found.select("date", best["source_date"].alias("source_date"), best["offset_days"].alias("offset_days"), best["method"].alias("method"))
+
+
 def last_year_start(day: str = "date") -> Column:
     """First day of the previous year: the reach of a year-by-year catalogue search."""
     return F.add_months(F.trunc(day, "year"), -12)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, SEGMENTS, coast_priority_band, coast_segment, haversine_km
@@ -242,14 +242,17 @@ def availability_by_mode(predictions: DataFrame, today: str) -> DataFrame:
     )
 
 
-def rule_context(points: DataFrame, month: int | None = None) -> DataFrame:
-    """Scoring context of points; expects sst_c and gradient_strength to be joined already."""
+def rule_context(points: DataFrame, month: int | Column | None = None) -> DataFrame:
+    """Scoring context of points; expects sst_c and gradient_strength to be joined already.
+
+    ``month`` is a number, a column of the points, or today's.
+    """
     lon, lat = F.col("lon"), F.col("lat")
     return points.withColumns({
         "current_speed_m_s": F.round(0.48 + F.greatest(F.lit(0.0), lon - 151.0) * 0.12, 2),
         "eddy_signal": (lon > 152.0) & (lat > -34.6) & (lat < -33.4),
         "data_confidence": F.lit("mock"),
-        "month": F.month(F.current_date()) if month is None else F.lit(month),
+        "month": F.month(F.current_date()) if month is None else month if isinstance(month, Column) else F.lit(month),
     })
 
 
@@ -276,7 +279,7 @@ def rule_hotspots(
         for r in rows
     ])
     paired = context.withColumn("_s", F.explode(options)).select(*context.columns, "_s.*")
-    scored = rule_score(paired)
+    scored = rule_score(paired).withColumn("demo_only", F.lit(True))
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     scored = scored.drop("seasonality", "weights")

@@ -258,13 +258,13 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("seq", "species_id", "date", "drop_reason", "match_distance_km", "high_match_distance", grid_id.alias("grid_id"))
 
 
-SOURCES = "src AS (SELECT DISTINCT day_date AS s FROM fx_training WHERE label = 1 AND source_quality = 'low'), tgt AS (SELECT DISTINCT day_date AS date FROM fx_training WHERE high_match_distance)"
+SOURCES = "src AS (SELECT DISTINCT day_date AS s FROM fx_training WHERE label = 1 AND source_quality = 'low'), tgt AS (SELECT DISTINCT day_date AS date FROM fx_training)"
 
 
 def asof_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t = training(spark, sf)
     return (
-        t.where("high_match_distance").select("date"),
+        t.select("date"),
         t.where("label = 1 and source_quality = 'low'").select("date", "species_id", "sst_c"),
     )
 
@@ -289,6 +289,14 @@ def j5b(spark: SparkSession, sf: str) -> DataFrame:
     return al.as_of_dates(*asof_inputs(spark, sf), earliest=al.last_year_start())
 
 
+@query("j5_as_of_chain", "fx_training", SOURCES + """
+, s AS (SELECT tgt.date, max(s) FILTER (s >= date - 7) AS near, max(s) AS latest FROM tgt LEFT JOIN src ON s <= date GROUP BY 1)
+SELECT date, coalesce(near, latest) AS source_date, CAST(date - coalesce(near, latest) AS BIGINT) AS offset_days, CASE WHEN near IS NOT NULL THEN 'within_7_days' WHEN latest IS NOT NULL THEN 'latest_before' END AS method FROM s""")
+def j5c(spark: SparkSession, sf: str) -> DataFrame:
+    """The field of at most a week ago, else the latest one before the day."""
+    return al.as_of_chain(*asof_inputs(spark, sf), {"within_7_days": {"max_age_days": 7}, "latest_before": {}})
+
+
 @query("j6_nearest_date", "fx_training", SOURCES + """
 SELECT date, CASE WHEN abs(date - s) <= 3 THEN s END AS source_date, CAST(CASE WHEN abs(date - s) <= 3 THEN date - s END AS BIGINT) AS offset_days
 FROM tgt, src QUALIFY row_number() OVER (PARTITION BY date ORDER BY abs(date - s), s) = 1""")

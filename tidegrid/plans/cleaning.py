@@ -172,9 +172,9 @@ def a3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s4_arrival_cap", "fx_occurrence", """
-SELECT seq, species_id FROM fx_occurrence""")
+SELECT seq, species_id FROM fx_occurrence QUALIFY row_number() OVER (PARTITION BY species_id ORDER BY seq) <= 200""")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
-    return c.capped_by_arrival(view(spark, sf, "fx_occurrence")).select("seq", "species_id")
+    return c.capped_by_arrival(view(spark, sf, "fx_occurrence"), 200).select("seq", "species_id")
 
 
 @query("x1_training_dates", "fx_training", """

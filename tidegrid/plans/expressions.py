@@ -230,6 +230,26 @@ def f19(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "fx_scored").select("cell_id", F.concat_ws(" ", suit.habitat_notes()).alias("explanation"))
 
 
+F19_FEATURES = ("sst_c", "sst_front_strength", "distance_to_shelf_break", "month_cos")
+
+
+@query("f19_feature_notes", "fx_scored", """
+SELECT cell_id, CASE WHEN sst_c IS NOT NULL THEN 'sst_c,' ELSE '' END || 'sst_front_strength,distance_to_shelf_break,seasonality' AS drivers,
+  CASE WHEN sst_c IS NOT NULL THEN 'SST is included as a core habitat suitability feature. ' ELSE '' END || 'SST front strength contributes to the relative hotspot score. Shelf-break proximity is represented in the model features. Seasonal timing is included via cyclic date features.' AS explanation
+FROM fx_scored""")
+def f19_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Drivers and notes of a model's cell by the features it uses."""
+    drivers, explanation = suit.feature_notes(F19_FEATURES)
+    return view(spark, sf, "fx_scored").select("cell_id", F.concat_ws(",", drivers).alias("drivers"), F.concat_ws(" ", explanation).alias("explanation"))
+
+
+@query("f19_cell_sentence", "fx_scored", """
+SELECT cell_id, CASE WHEN sst_c IS NOT NULL AND depth_m IS NOT NULL AND distance_to_coast_km IS NOT NULL THEN printf('SST %.1fC; depth about %.0fm; %.1fkm from coast proxy', sst_c, depth_m, distance_to_coast_km)
+  || CASE WHEN current_speed IS NOT NULL THEN printf('; current speed %.2fm/s', current_speed) ELSE '.' END END AS explanation FROM fx_scored""")
+def f19_sentence(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "fx_scored").select("cell_id", suit.cell_sentence().alias("explanation"))
+
+
 @query("p1_in_box", "fx_scored", """
 SELECT lat BETWEEN -36.5e0 AND -32e0 AND lon BETWEEN 150.5e0 AND 154.5e0 AS in_predict,
   lat + lat / 10 BETWEEN -39 AND -27 AND lon + 5 BETWEEN 148.5e0 AND 158.5e0 AS in_train, count(*) AS n FROM fx_scored GROUP BY 1, 2""")

@@ -13,8 +13,8 @@ from ..schemas import text_schema
 from ..sources import landed, published, tabular
 from ..session import shared_folder
 from .alignment import points, training
+from .cleaning import END, ENTRIES, PARSED, START, published_entries
 from .expressions import haversine_sql
-from .cleaning import ENTRIES, PARSED, START, END, published_entries
 from .fixtures import view
 from .registry import query
 from .scoring import RATED, rated
@@ -98,22 +98,28 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s8_html_coordinates", "fx_poi", """
 p AS (SELECT *, floor(abs(lat)) AS a, floor(lon) AS b, round((abs(lat) - a) * 60, 3) AS am, round((lon - b) * 60, 3) AS bm FROM fx_poi WHERE poi_type <> 'canyon'),
-placed AS (SELECT poi_id, name, lower(replace(name, '#', '_')) AS id, round(-(a + am / 60e0), 6) AS latitude, round(b + bm / 60e0, 6) AS longitude FROM p)
+placed AS (SELECT poi_id, CASE WHEN poi_type = 'seamount' THEN 'Port ' || name ELSE name END AS name, CASE WHEN poi_type = 'seamount' THEN 'port_' ELSE '' END || lower(replace(name, '#', '_')) AS id, round(-(a + am / 60e0), 6) AS latitude, round(b + bm / 60e0, 6) AS longitude FROM p)
 SELECT id, name, latitude, longitude FROM placed QUALIFY row_number() OVER (PARTITION BY latitude, longitude ORDER BY poi_id) = 1""")
 def s8b(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables with degree and minute cells, with rows that lack a position and duplicate rows."""
+    """Tables with degree and minute cells or positions in the text, entities, duplicate rows and rows
+    without a position."""
     p = view(spark, sf, "fx_poi")
 
     def cell(value: str, hemisphere: str):
         whole = F.floor(F.abs(F.col(value)))
         minutes = F.round((F.abs(F.col(value)) - whole) * 60, 3)
-        return F.concat(whole.cast("string"), F.lit("° "), F.format_string("%06.3f", minutes), F.lit("'" + hemisphere))
+        return F.concat(whole.cast("string"), F.lit("&deg; "), F.format_string("%06.3f", minutes), F.lit("&#39;" + hemisphere))
 
     empty = F.col("poi_type") == "canyon"
     row = F.concat(
         F.lit("<tr class=\"r\"><td><b>"), "name", F.lit("</b></td><td>"), F.when(empty, "").otherwise(cell("lat", "")), F.lit("</td><td>"),
         F.when(empty, "").otherwise(cell("lon", "")), F.lit("</td><td>x</td><td>"), F.col("poi_id").cast("string"), F.lit("</td></tr>"),
     )
+    coded = F.replace("name", F.lit("#"), F.lit("&#x23;"))
+    text_row = F.concat(
+        F.lit("<tr><td>"), F.when(F.col("poi_type") == "seamount", F.concat(F.col("poi_id").cast("string"), F.lit("</td><td>Port "), coded)).otherwise(F.concat(coded, F.lit("</td><td>x"))),
+        F.lit("</td><td>"), cell("lat", " S"), F.lit(" "), cell("lon", " E"), F.lit("</td></tr>"))
+    row = F.when(F.col("poi_type").isin("seamount", "current_edge"), text_row).otherwise(row)
     html = F.concat(F.lit("<table><tr><th>Name</th><th>Lat</th></tr>"), row, F.lit("\n"), row, F.lit("</table>"))
     pages = p.select(F.col("poi_id").alias("page_id"), F.lit("inline").alias("url"), html.alias("html"))
     return landed.coordinate_rows(pages).select("id", "name", "latitude", "longitude")

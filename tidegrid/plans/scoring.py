@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..config import (
     CONTRAST_DEPTH_BINS,
     CURRENT_FEATURES,
+    EXPORT_LIMITS,
     MODELLED_SPECIES,
+    MONTH_NAMES,
     PREDICT_BOX,
     RULE_COMPONENT_NAMES,
     RULE_PROFILES,
-    RULE_WEIGHT_CHANGES,
     RULE_WEIGHTS,
+    RULE_WEIGHT_CHANGES,
     SEASON_SCORES,
 )
 from ..functions import suitability as suit
@@ -198,10 +200,10 @@ def rated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t3_stratified_export", "fx_scored", RATED + """
 
-SELECT cell_id, species_id, rating FROM rated""")
+SELECT cell_id, species_id, rating FROM rated QUALIFY row_number() OVER (PARTITION BY species_id, rating ORDER BY md5(concat_ws('|', '42', CAST(cell_id AS VARCHAR)))) <= """ + "CASE rating " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EXPORT_LIMITS.items()) + " END")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
     cells = rated(spark, sf).select("cell_id", "species_id", "rating", "score")
-    return display.stratified_export(cells, ["species_id"], "cell_id").drop("score")
+    return display.stratified_export(cells, ["species_id"], "cell_id", limits=EXPORT_LIMITS).drop("score")
 
 
 @query("t4_recommended_list", "fx_scored", "SELECT cell_id, species_id, raw_score FROM fx_scored ORDER BY raw_score DESC, cell_id LIMIT 30")
@@ -342,7 +344,7 @@ def rule_points(spark: SparkSession, sf: str) -> DataFrame:
         view(spark, sf, "fx_poi").withColumns({
             "sst_c": 16.0 + (F.col("poi_id") % 23) * 0.5, "gradient_strength": (F.col("poi_id") % 11) * 0.2
         }),
-        month=4,
+        month=F.col("poi_id") % 12 + 1,
     )
 
 
@@ -354,16 +356,16 @@ def profile_rows_sql() -> str:
     rows = []
     for species, name, pref, ext, depths, structures, seasons in RULE_PROFILES:
         w = {**RULE_WEIGHTS, **RULE_WEIGHT_CHANGES.get(species, {})}
-        season = SEASON_SCORES[seasons["Apr"]]
-        rows.append(f"('{species}', {pref[0]}e0, {pref[1]}e0, {ext[0]}e0, {ext[1]}e0, {sql_list(depths)}, {sql_list(structures)}, {season}e0, "
+        season = "[" + ", ".join(f"{SEASON_SCORES[seasons.get(m, 'possible')]}e0" for m in MONTH_NAMES) + "]"
+        rows.append(f"('{species}', {pref[0]}e0, {pref[1]}e0, {ext[0]}e0, {ext[1]}e0, {sql_list(depths)}, {sql_list(structures)}, {season}, "
                     + ", ".join(f"{w[k]}e0" for k in RULE_COMPONENT_NAMES) + ")")
     return ", ".join(rows)
 
 
 RULES = f"""
-prof AS (SELECT * FROM (VALUES {profile_rows_sql()}) AS t(species_id, lo, hi, elo, ehi, depths, prefs, season, {", ".join("w_" + k for k in RULE_COMPONENT_NAMES)})),
+prof AS (SELECT * FROM (VALUES {profile_rows_sql()}) AS t(species_id, lo, hi, elo, ehi, depths, prefs, seasons, {", ".join("w_" + k for k in RULE_COMPONENT_NAMES)})),
 ctx AS (SELECT *, 16e0 + (poi_id % 23) * 0.5e0 AS sst_c, (poi_id % 11) * 0.2e0 AS g, round(0.48e0 + greatest(0e0, lon - 151) * 0.12e0, 2) AS speed, lon > 152 AND lat > -34.6e0 AND lat < -33.4e0 AS eddy_on FROM fx_poi),
-comp AS (SELECT poi_id, species_id, prof.* EXCLUDE (species_id), CASE WHEN sst_c BETWEEN lo AND hi THEN 100e0 WHEN sst_c <= elo OR sst_c >= ehi THEN 0e0 WHEN sst_c < lo THEN 100e0 * (sst_c - elo) / (lo - elo) ELSE 100e0 * (ehi - sst_c) / (ehi - hi) END AS sst,
+comp AS (SELECT poi_id, species_id, sst_c, poi_type, depth_class, prof.* EXCLUDE (species_id), seasons[poi_id % 12 + 1] AS season, CASE WHEN sst_c BETWEEN lo AND hi THEN 100e0 WHEN sst_c <= elo OR sst_c >= ehi THEN 0e0 WHEN sst_c < lo THEN 100e0 * (sst_c - elo) / (lo - elo) ELSE 100e0 * (ehi - sst_c) / (ehi - hi) END AS sst,
  least(100e0, greatest(0e0, g * 48)) AS front, least(100e0, greatest(0e0, 35 + speed * 72)) AS current, CASE WHEN list_contains(depths, depth_class) THEN 85e0 ELSE 45e0 END AS bathy,
  least(100e0, 35e0 + CASE WHEN list_contains(prefs, poi_type) THEN 40 ELSE 0 END + CASE WHEN list_contains(depths, depth_class) THEN 25 ELSE 0 END + CASE WHEN poi_type IN ('shelf_break', 'canyon') AND list_has_any(prefs, ['shelf_break', 'canyon']) THEN 10 ELSE 0 END + CASE WHEN poi_type = 'fad_demo' AND list_contains(prefs, 'fad_demo') THEN 25 ELSE 0 END) AS structure,
  CASE WHEN poi_type = 'fad_demo' AND list_contains(prefs, 'fad_demo') THEN 95e0 ELSE 40e0 END AS fad, CASE WHEN poi_type IN ('shelf_break', 'canyon') THEN 90e0 ELSE 45e0 END AS shelf_canyon, CASE WHEN g >= 1 THEN 68e0 ELSE 42e0 END AS chlorophyll, CASE WHEN eddy_on THEN 70e0 ELSE 48e0 END AS eddy FROM ctx, prof),
@@ -408,11 +410,15 @@ def f8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("q3_rule_hotspots", "fx_poi", RULES + """
-SELECT poi_id, species_id, score FROM rule WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY species_id ORDER BY score DESC, poi_id) <= 5""")
+SELECT poi_id, species_id, score, printf('SST is %.1f C, giving a %d/100 species suitability component.', sst_c, CAST(round_even(sst, 0) AS BIGINT)) || '|' || printf('The synthetic front/gradient score is %d/100.', CAST(round_even(front, 0) AS BIGINT))
+  || '|Structure/depth context is ' || poi_type || ' in ' || depth_class || ' water.|Confidence is limited because this v0.1 demo uses synthetic ocean data.' || """ + f"""
+  CASE WHEN least({", ".join(RULE_COMPONENT_NAMES)}) < 45 THEN '|Limiting factor: ' || CASE {" ".join(f"WHEN {k} = least({', '.join(RULE_COMPONENT_NAMES)}) THEN '{k}'" for k in RULE_COMPONENT_NAMES)} END || ' is weak in this demo scenario.' ELSE '' END AS explanation, TRUE AS demo_only
+FROM rule WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY species_id ORDER BY score DESC, poi_id) <= 5""")
 def q3(spark: SparkSession, sf: str) -> DataFrame:
     """Best five points per species (T2) over a minimum score."""
     rows = hotspots.rule_hotspots(rule_points(spark, sf), min_score=40.0)
-    return rows.select("poi_id", "species_id", "score").orderBy(F.desc("score"), "species_id", "poi_id")
+    shown = rows.withColumn("explanation", F.concat_ws("|", "explanation"))
+    return shown.select("poi_id", "species_id", "score", "explanation", "demo_only").orderBy(F.desc("score"), "species_id", "poi_id")
 
 
 @query("j15_species_lookup", "fx_training", """

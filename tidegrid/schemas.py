@@ -13,9 +13,10 @@ def text_schema(*names: str) -> T.StructType:
 
 # fixed values: Darwin Core field names kept from a landed record
 RAW_OCCURRENCE_FIELDS = (
-    "scientificName", "decimalLatitude", "decimalLongitude", "eventDate", "date_start", "date_mid",
-    "date_end", "year", "month", "day", "coordinateUncertaintyInMeters", "basisOfRecord",
-    "datasetName", "institutionCode", "occurrenceID", "id", "gbifID", "license",
+    "scientificName", "decimalLatitude", "decimalLongitude", "eventDate", "year", "month", "day",
+    "coordinateUncertaintyInMeters", "basisOfRecord", "datasetName", "institutionCode", "occurrenceID",
+    "license", "id", "date_start", "date_mid", "date_end", "date_year",
+    "gbifID",
 )
 RAW_OCCURRENCE = text_schema(*RAW_OCCURRENCE_FIELDS)
 PROVENANCE = text_schema(*PROVENANCE_COLUMNS)

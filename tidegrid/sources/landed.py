@@ -93,12 +93,38 @@ LON_CELL = r"\d{2,3}\D+\d{1,2}(?:\.\d+)?"
 DEGREES_MINUTES = r"(\d{1,3})\D+(\d{1,2}(?:\.\d+)?)"
 NAME_NUMBER = r"^\(\d+[A-Z]?\)\s*"
 SLUG_LENGTH = 80
+# fixed values: words that tell which cell of a row without columns is its name
+NAME_WORDS = r"(?i)FAD|Sydney|Wollongong|Port|Bay|Shoalhaven|Newcastle|Kiama"
+# fixed values: a position inside the text of a row, before its hemisphere
+LAT_TEXT = rf"(?i)({LAT_CELL})\s*[\"']?\s*S"
+LON_TEXT = rf"(?i)({LON_CELL})\s*[\"']?\s*E"
+# fixed values: entities with a name
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "deg": "°", "prime": "′", "Prime": "″", "ndash": "–", "mdash": "—", "amp": "&"}
+
+
+def _entity(found: Column) -> Column:
+    """The character of an entity like ``&#176;``, ``&#xb0;`` or ``&deg;``; unknown ones stay."""
+    body = F.substring(found, F.lit(2), F.length(found) - 2)
+    hexed = F.lower(F.substring(body, 2, 1)) == "x"
+    code = F.when(hexed, F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).otherwise(F.substring(body, F.lit(2), F.length(body))).try_cast("long")
+    real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code)), 8, "0")), "UTF-32")
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv]), body)
+    return F.coalesce(F.when(F.startswith(body, F.lit("#")), letter).otherwise(named), found)
+
+
+def unescaped(text: Column) -> Column:
+    """Entities decoded once: what they give is not read as another entity."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"), F.lit(0)))
+    pairs = F.transform(found, lambda e: F.struct((_entity(e) == "&").alias("last"), e.alias("e"), _entity(e).alias("to")))
+    # an ampersand comes last, or it would make new entities
+    return F.aggregate(F.array_sort(pairs), text, lambda done, p: F.replace(done, p["e"], p["to"]))
 
 
 def markup_text(html: Column) -> Column:
-    """Text of a markup fragment: tags out, blanks squeezed."""
-    bare = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Text of a markup fragment: tags out, entities decoded, blanks squeezed."""
+    bare = unescaped(F.regexp_replace(html, r"(?s)<[^>]*>", " "))
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def slug(name: Column) -> Column:
@@ -122,7 +148,7 @@ def coordinate_rows(pages: DataFrame) -> DataFrame:
     """Named southern-eastern positions from HTML tables; first per position wins.
 
     A row counts when its second and third cells hold degrees and minutes, or else when its
-    text carries them before an S and an E.
+    text carries them before an S and an E; its name is then the first cell with a place word.
     """
     cells = F.transform(
         F.regexp_extract_all("inner", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)),
@@ -135,11 +161,11 @@ def coordinate_rows(pages: DataFrame) -> DataFrame:
 
     columns = (F.size("cells") >= 5) & cell(2).rlike(LAT_CELL) & cell(3).rlike(LON_CELL)
     line = F.concat_ws(" | ", "cells")
-    lat_text = F.regexp_extract(line, rf"(?i)({LAT_CELL})\s*[\"']?\s*S", 1)
-    lon_text = F.regexp_extract(line, rf"(?i)({LON_CELL})\s*[\"']?\s*E", 1)
+    lat_text, lon_text = F.regexp_extract(line, LAT_TEXT, 1), F.regexp_extract(line, LON_TEXT, 1)
+    place = F.coalesce(F.get(F.filter("cells", lambda c: c.rlike(NAME_WORDS)), F.lit(0)), cell(1))
     named = rows.select(
         "page_id", "url", "position",
-        F.when(columns, F.trim(F.regexp_replace(cell(1), NAME_NUMBER, ""))).otherwise(cell(1)).alias("name"),
+        F.when(columns, F.trim(F.regexp_replace(cell(1), NAME_NUMBER, ""))).otherwise(place).alias("name"),
         F.when(columns, cell(2)).otherwise(lat_text).alias("_lat"),
         F.when(columns, cell(3)).otherwise(lon_text).alias("_lon"),
         F.when(columns, cell(5)).alias("depth_text"),

@@ -23,7 +23,8 @@ from ..session import small_side
 from .alignment import buffered_background, without_presence_cells
 from .ranking import hash_key, hash_ranks, null_safe_join
 
-MAX_SPECIES = 1000
+#: presences a hash bucket holds on average, where prefixes of the hash order are drawn
+BUCKET_ROWS = 1000
 
 
 def by_species(values: dict[str, float], default: float, species: str = "species_id") -> Column:
@@ -98,14 +99,6 @@ def downsample_background(
     return data.where(F.col("label") == 1).unionByName(kept.select(*data.columns))
 
 
-def species_list(data: DataFrame) -> list[str]:
-    """The species ids, a list checked to be short before it reaches the driver."""
-    found = data.select("species_id").distinct().limit(MAX_SPECIES + 1).collect()
-    if len(found) > MAX_SPECIES:
-        raise ValueError(f"more than {MAX_SPECIES} species: run the strategies in batches")
-    return sorted(r[0] for r in found if r[0] is not None)
-
-
 def strata(df: DataFrame) -> DataFrame:
     """Depth and shelf bins; an unknown value is a bin of its own (-1)."""
     unknown = F.lit(-1).cast("long")
@@ -115,27 +108,88 @@ def strata(df: DataFrame) -> DataFrame:
     })
 
 
-def strategy_pools(data: DataFrame, row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """Background pools of the five strategies, keyed (species_id, audit_background_strategy).
+def _deep(data: DataFrame) -> Column:
+    return offshore(mask="ocean_mask" if "ocean_mask" in data.columns else None)
+
+
+def without_others(data: DataFrame) -> DataFrame:
+    """species_id of the species that are the only ones with presences, or all where none has."""
+    known = data.where(F.col("label") == 1).agg(F.min("species_id").alias("_a"), F.max("species_id").alias("_b"))
+    alone = F.col("_a").isNull() | ((F.col("_a") == F.col("_b")) & (F.col("species_id") == F.col("_a")))
+    # one row beside all
+    return data.select("species_id").distinct().join(F.broadcast(known)).where(alone).select("species_id")
+
+
+def target_group_pool(data: DataFrame) -> DataFrame:
+    """The whole target-group pool: for each species the deep presences of all others, or its own
+    deep background where there are none.
 
-    The target-group pool of a species holds the presences of all others: rows are expanded
-    to the short species list, never joined to each other.
+    The pool itself has a row per species and presence. ``target_group_samples`` draws from it
+    without making it.
+    """
+    presence = data.where((F.col("label") == 1) & F.col("species_id").isNotNull())
+    every = data.agg(F.collect_set("species_id").alias("_species"))
+    others = presence.join(F.broadcast(every)).withColumn("_of", F.explode(F.array_except("_species", F.array("species_id"))))
+    effort = others.withColumn("species_id", F.col("_of")).where(_deep(data)).select(*data.columns)
+    fallback = data.where(F.col("label") == 0).where(_deep(data)).join(without_others(data), "species_id", "left_semi")
+    return effort.unionByName(fallback.select(*data.columns))
+
+
+def target_group_samples(data: DataFrame, ratios: tuple[int, ...], row_id: str) -> DataFrame:
+    """audit_background_ratio x presences rows of each species' target-group pool, by hash order.
+
+    The hash order of presences is the same for all species, so a species draws from a prefix of
+    it. Presences are cut into hash buckets; from their counts per depth limit follows how many
+    buckets hold as many deep rows as the species wants and owns, whatever share of them is its
+    own. Rows meet only the species whose prefix reaches their bucket, so what is made is in
+    proportion to what is drawn, without a list of species.
+    """
+    presence = data.where((F.col("label") == 1) & F.col("species_id").isNotNull())
+    each_ratio = F.explode(F.array(*[F.lit(r) for r in ratios]))
+    rows = presence.withColumn("audit_background_ratio", each_ratio).withColumn("_draw", ratio_draw(row_id))
+    buckets = max(1, presence.count() // BUCKET_ROWS)
+    share = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double") / float(2**32)
+    rows = rows.withColumn("_bucket", F.floor(share * buckets).cast("int"))
+    masked = F.coalesce(F.col("ocean_mask"), F.lit(False)) if "ocean_mask" in data.columns else F.lit(True)
+    # the few depth limits that species have
+    limits = F.array(*[F.lit(float(v)) for v in sorted({*MIN_DEPTH_M.values(), DEFAULT_MIN_DEPTH_M})])
+    open_to = F.filter(limits, lambda v: (F.coalesce("depth_m", F.lit(-999.0)) >= v) & masked)
+    counts = rows.withColumn("_limit", F.explode(open_to)).groupBy("audit_background_ratio", "_limit", "_bucket").agg(F.count("*").alias("_n"))
+    wants = presence.groupBy("species_id").agg(F.count("*").alias("_p")).withColumn("_limit", min_depth().cast("double")).withColumn(
+        "audit_background_ratio", each_ratio).withColumn("_reach", F.col("_p") * (F.col("audit_background_ratio") + 1))
+    # counts and wishes in one order: the first bucket behind a wish is its last one
+    line = ["audit_background_ratio", "_limit"]
+    upto = Window.partitionBy(*line).orderBy("_bucket")
+    ends = counts.select(*line, F.sum("_n").over(upto).alias("_at"), F.col("_bucket").alias("_end"), F.lit(None).cast("string").alias("species_id"), F.lit(0).alias("_kind"))
+    both = ends.unionByName(wants.select(*line, F.col("_reach").alias("_at"), F.lit(None).cast("int").alias("_end"), "species_id", F.lit(-1).alias("_kind")))
+    ahead = Window.partitionBy(*line).orderBy("_at", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    reach = both.withColumn("_last", F.coalesce(F.first("_end", True).over(ahead), F.lit(buckets - 1))).where("_kind = -1")
+    met = reach.select("audit_background_ratio", "_limit", F.col("species_id").alias("_of"), F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_bucket"))
+    pool = rows.join(met, ["audit_background_ratio", "_bucket"]).where(
+        (F.col("species_id") != F.col("_of")) & (F.coalesce("depth_m", F.lit(-999.0)) >= F.col("_limit")) & masked)
+    drawn = pool.withColumn("species_id", F.col("_of")).select(*data.columns, "audit_background_ratio")
+    lonely = data.where(F.col("label") == 0).where(_deep(data)).join(without_others(data), "species_id", "left_semi")
+    return drawn.unionByName(lonely.select(*data.columns).withColumn("audit_background_ratio", each_ratio)).withColumn(
+        "audit_background_strategy", F.lit("target_group_background"))
+
+
+def ratio_draw(row_id: str) -> Column:
+    """The hash order in which background rows of a ratio are drawn."""
+    return hash_key((100 + F.col("audit_background_ratio")).cast("string"), row_id, seed="ratio")
+
+
+def strategy_pools(data: DataFrame, row_id: str = "row_id", seed: int = 42, target_group: bool = True) -> DataFrame:
+    """Background pools of the strategies, keyed (species_id, audit_background_strategy).
+
+    ``target_group`` asks for the pool of that strategy too (see ``target_group_pool``).
     """
     presence = data.where(F.col("label") == 1)
     background = data.where(F.col("label") == 0)
-    deep = offshore(mask="ocean_mask" if "ocean_mask" in data.columns else None)
+    deep = _deep(data)
 
     def tagged(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*data.columns).withColumn("audit_background_strategy", F.lit(name))
 
-    names = F.array(*[F.lit(s) for s in species_list(data)])
-    others = presence.withColumn(
-        "_of", F.explode(F.array_except(names, F.array("species_id")))
-    )
-    effort = others.withColumn("species_id", F.col("_of")).where(deep)
-    has_others = others.select(F.col("_of").alias("species_id")).distinct()
-    fallback = background.where(deep).join(has_others, "species_id", "left_anti")
-
     binned = strata(background)
     bins = binned.groupBy("species_id").agg(
         F.count_distinct("_depth_bin", "_shelf_bin").alias("_bins")
@@ -152,7 +206,7 @@ def strategy_pools(data: DataFrame, row_id: str = "row_id", seed: int = 42) -> D
     pools = [
         tagged(background, "random_ocean_background"),
         tagged(background.where(deep), "offshore_constrained_background"),
-        tagged(effort.unionByName(fallback, allowMissingColumns=True), "target_group_background"),
+        *([tagged(target_group_pool(data), "target_group_background")] if target_group else []),
         tagged(stratified, "environment_stratified_background"),
         tagged(buffered_background(background, presence), "spatial_buffered_background"),
     ]
@@ -164,13 +218,14 @@ def strategy_samples(
 ) -> DataFrame:
     """Presences plus sampled background per (species, strategy, ratio) in one table.
 
-    A pool row is ranked once per ratio seed by exploding the ratios.
+    A pool row is ranked once per ratio seed by exploding the ratios; the target-group pool is
+    never made (``target_group_samples``).
     """
-    pools = strategy_pools(data, row_id)
+    pools = strategy_pools(data, row_id, target_group=False)
     with_ratio = pools.withColumn(
         "audit_background_ratio", F.explode(F.array(*[F.lit(r) for r in ratios]))
-    )
-    draw = hash_key((100 + F.col("audit_background_ratio")).cast("string"), row_id, seed="ratio")
+    ).unionByName(target_group_samples(data, ratios, row_id).withColumn("label", F.lit(0)))
+    draw = ratio_draw(row_id)
     keys = ["species_id", "audit_background_strategy", "audit_background_ratio"]
     ranked = hash_ranks(with_ratio, keys, draw, "_rank", "_size")
     presences = data.where(F.col("label") == 1)

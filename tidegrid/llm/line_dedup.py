@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,23 +71,25 @@ def line_table(docs: DataFrame) -> DataFrame:
     """id, text_key, line_no, node, sim, norm of every line with words (``docs``: id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # texts become Python strings a few at a time
             for start in range(0, len(batch), 256):
-                some = batch.iloc[start : start + 256]
+                some = batch.slice(start, 256)
                 kept = [
-                    (i, no, line) for i, text in enumerate(some["text"]) if isinstance(text, str)
+                    (i, no, line) for i, text in enumerate(some.column("text").to_pylist()) if text is not None
                     for no, line in enumerate(normal_lines(text)) if line
                 ]
                 if kept:
                     rows, numbers, norm = zip(*kept)
-                    yield pd.DataFrame({
-                        "id": some["id"].to_numpy()[list(rows)], "text_key": some["text_key"].to_numpy()[list(rows)],
-                        "line_no": numbers, "node": [hashlib.blake2b(x, digest_size=16).digest() for x in norm],
-                        "sim": simhashes(norm), "norm": [x.decode("utf-8", "replace") for x in norm],
-                    })
-
-    return docs.withColumn("text_key", F.xxhash64("text")).mapInPandas(
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([
+                        some.column("id").take(at), some.column("text_key").take(at), pa.array(numbers, pa.int32()),
+                        pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in norm], pa.binary()), pa.array(simhashes(norm)),
+                        pa.array([x.decode("utf-8", "replace") for x in norm], pa.string())],
+                        names=["id", "text_key", "line_no", "node", "sim", "norm"])
+
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(
         lines, f"id {kind}, text_key bigint, line_no int, node binary, sim bigint, norm string")
 
 

@@ -31,8 +31,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.llm.common import free_name, held, table
 
@@ -42,6 +44,7 @@ STEMS = range(4, 8)
 REPEATED = 3
 LEAST_ODDS = 1.5
 WINDOW = 6
+SCORE_ROWS = 512
 QUOTED, MISSPELLED, COMPANY = 0.5, 0.75, 0.25
 #: What a Python worker keeps at most: words with their hits, states of the automaton.
 MEMO_WORDS, MEMO_STATES = 30_000, 30_000
@@ -311,15 +314,18 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     names = docs.columns
     text_at, row = names.index(text_col), free_name(docs, score_col)
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = T.StructType([*renamed.schema.fields, T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = np.array([model.lexicon.features(t) for t in batch]).reshape(len(batch), 3)
-            yield pd.Series(model.score(features), index=batch.index)
+            # texts become Python strings a few at a time
+            for start in range(0, len(batch), SCORE_ROWS):
+                some = batch.slice(start, SCORE_ROWS)
+                features = np.array([model.lexicon.features(t) for t in some.column(text_at).to_pylist()]).reshape(len(some), 3)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(model.score(features))], names=schema.names)
         model.lexicon.forget()
 
-    return renamed.withColumn(row, scored(f"c{text_at}")).toDF(*names, row)
+    return renamed.mapInArrow(scored, schema).toDF(*names, row)
 
 
 def not_held_out(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

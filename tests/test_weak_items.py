@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import suitability as suit
-from tidegrid.operators import alignment
-from tidegrid.sources import landed
+from tidegrid.operators import alignment, hotspots
+from tidegrid.sources import landed, published
 
 
 @pytest.mark.parametrize("text, want", [
@@ -40,3 +40,28 @@ def test_notes_leave_out_what_is_missing(spark):
     assert got == [("SST 20.5C; depth about 60m; 5.0km from coast proxy.", "sst_c,seasonality"), (None, "seasonality"),
                    ("SST 18.0C; depth about 90m; 2.0km from coast proxy; current speed 0.25m/s", "sst_c,seasonality")]
     assert df.select(F.concat_ws(",", suit.feature_notes(())[1])).first()[0] == "Relative suitability estimated from available environmental predictors."
+
+
+def test_a_failed_update_leaves_the_old_manifest(spark, tmp_path):
+    root = str(tmp_path / "manifest")
+    first = spark.createDataFrame([("a", True)], "species_id string, available boolean")
+    published.write_manifest(first, root)
+    published.write_manifest(published.read_manifest(spark, root).withColumn("available", F.lit(False)), root)
+    assert [tuple(r) for r in published.read_manifest(spark, root).collect()] == [("a", False)]
+    broken = first.withColumn("available", F.raise_error(F.lit("no")).cast("boolean"))
+    with pytest.raises(Exception, match="no"):
+        published.write_manifest(broken, root)
+    assert [tuple(r) for r in published.read_manifest(spark, root).collect()] == [("a", False)]
+
+
+def test_serving_contract_gates_and_dates(spark):
+    day = lambda d: dt.date(2024, 1, d)
+    rows = [(1, "a", "scikit_learn", day(1), "Good"), (2, "a", "scikit_learn", day(5), "Low"), (3, "a", "deep_learning", day(5), "Low"), (4, "b", "scikit_learn", day(5), "Low"), (5, "c", "scikit_learn", day(5), "Low")]
+    predictions = spark.createDataFrame(rows, "cell_id long, species_id string, model_source string, date date, rating string")
+    entries = [(s, ok, "Medium", "set", "text", "audited", "careful", None) for s, ok in (("a", True), ("b", False))]
+    manifest = spark.createDataFrame(entries, "species_id string, available boolean, model_confidence string, feature_set_name string, score_explanation string, audit_status string, warning string, notes string")
+    got = {(r["species_id"], r["model_source"], r["mode"]): r for r in hotspots.serving_contract(predictions, manifest, "2024-01-03").collect()}
+    assert set(got) == {("a", "scikit_learn", "demo"), ("a", "scikit_learn", "current"), ("a", "deep_learning", "current")}
+    assert got["a", "scikit_learn", "demo"]["available_dates"] == [day(1)] and got["a", "scikit_learn", "demo"]["model_confidence"] == "Medium"
+    deep = got["a", "deep_learning", "current"]
+    assert (deep["model_confidence"], deep["feature_set_name"], deep["warning"]) == ("Experimental", hotspots.DEEP_FEATURES, "careful")

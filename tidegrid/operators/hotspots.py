@@ -226,6 +226,35 @@ def prediction_metadata(rows: DataFrame) -> DataFrame:
     return ratings.withColumn("model_confidence", F.when(deep, "Experimental").otherwise("Low"))
 
 
+# fixed values: what is said of the scores of the two model sources
+DEEP_SOURCE, DEEP_FEATURES = "deep_learning", "deep_mlp_tabular_oceanographic"
+DEEP_EXPLANATION = "Deep learning MLP relative habitat suitability score; experimental sidecar model, not true catch probability."
+
+
+def serving_contract(predictions: DataFrame, manifest: DataFrame, today: str) -> DataFrame:
+    """Metadata of every day that may be served: mode, dates, confidence, audit status, warning and
+    rating distribution, one row per species, model source and day.
+
+    ``manifest`` has a row per species: available, model_confidence, feature_set_name,
+    score_explanation, audit_status, warning, notes. Species that it does not list, or lists as not
+    available, have no rows.
+    """
+    mode = F.when(F.col("date") >= F.to_date(F.lit(today)), "current").otherwise("demo")
+    deep = F.col("model_source") == DEEP_SOURCE
+    days = prediction_metadata(predictions).withColumn("mode", mode).drop("model_confidence")
+    # a species has as many days as the calendar
+    listed = days.groupBy("species_id", "model_source", "mode").agg(F.array_sort(F.collect_set("date")).alias("available_dates"))
+    entry = small_side(manifest.where("available").select(
+        "species_id", F.col("model_confidence").alias("_confidence"), F.col("feature_set_name").alias("_features"),
+        F.col("score_explanation").alias("_explanation"), "audit_status", "warning", "notes"))
+    return days.join(listed, ["species_id", "model_source", "mode"]).join(entry, "species_id").select(
+        "mode", "species_id", "model_source", F.col("date").alias("prediction_date"), F.col("date").alias("target_date"), "available_dates",
+        F.when(deep, "Experimental").otherwise(F.col("_confidence")).alias("model_confidence"),
+        F.when(deep, DEEP_FEATURES).otherwise(F.col("_features")).alias("feature_set_name"),
+        F.when(deep, DEEP_EXPLANATION).otherwise(F.col("_explanation")).alias("score_explanation"),
+        "audit_status", "warning", "notes", "rating_distribution", "feature_count")
+
+
 def latest_predictions(predictions: DataFrame, date: str | None = None) -> DataFrame:
     """Rows of each species' latest day, or of the given day."""
     if date is not None:

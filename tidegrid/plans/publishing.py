@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import AUDIT_STATUS, AUDIT_WARNING
 from ..operators import hotspots as hs
+from ..operators.metrics import confidence_tier
 from ..schemas import text_schema
 from ..sources import landed, published, tabular
 from ..session import shared_folder
@@ -259,6 +260,39 @@ def q1b(spark: SparkSession, sf: str) -> DataFrame:
     return meta.withColumn("rating_distribution", F.concat_ws(",", shown))
 
 
+CONTRACT_SQL = f"""
+, m AS (SELECT species_id, count(*) FILTER (label = 1) AS n, max(raw_score) AS roc, avg(raw_score) AS hit FROM fx_scored GROUP BY 1),
+entry AS (SELECT species_id, CASE WHEN n < 100 THEN 'Rule-based only' WHEN n >= 1000 AND roc >= 0.75e0 AND hit >= 0.5e0 THEN 'High' WHEN n >= 300 AND roc >= 0.65e0 AND hit >= 0.35e0 THEN 'Medium' ELSE 'Low' END AS confidence
+  FROM m WHERE species_id <> 'N'),
+days AS (SELECT species_id, model_source, date, CASE WHEN date >= DATE '1996-01-01' THEN 'current' ELSE 'demo' END AS mode, count(*) AS feature_count FROM pub GROUP BY 1, 2, 3),
+listed AS (SELECT species_id, model_source, mode, array_to_string(list_sort(list(CAST(date AS VARCHAR))), ',') AS available_dates FROM days GROUP BY 1, 2, 3)
+SELECT mode, species_id, model_source, date AS prediction_date, date AS target_date, available_dates, CASE WHEN model_source = 'deep_learning' THEN 'Experimental' ELSE confidence END AS model_confidence,
+  CASE WHEN model_source = 'deep_learning' THEN '{hs.DEEP_FEATURES}' ELSE 'no_coordinates' END AS feature_set_name, CASE WHEN model_source = 'deep_learning' THEN '{hs.DEEP_EXPLANATION}' ELSE 'Relative score.' END AS score_explanation,
+  '{AUDIT_STATUS}' AS audit_status, '{AUDIT_WARNING}' AS warning, '{AUDIT_WARNING} relative only' AS notes, feature_count
+FROM days JOIN listed USING (species_id, model_source, mode) JOIN entry USING (species_id)"""
+
+
+def manifest_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of the published species; one of them is not available."""
+    facts = view(spark, sf, "fx_scored").groupBy("species_id").agg(
+        F.count_if(F.col("label") == 1).alias("presence_count"), F.max("raw_score").alias("validation_roc_auc"), F.avg("raw_score").alias("validation_top_10_hit_rate"))
+    none = F.lit(None).cast("string")
+    return facts.select(
+        "species_id", (F.col("species_id") != "N").alias("available"), confidence_tier().alias("model_confidence"), F.lit("no_coordinates").alias("feature_set_name"),
+        F.lit("Relative score.").alias("score_explanation"), none.alias("audit_status"), none.alias("warning"), F.lit("relative only").alias("notes"))
+
+
+@query("q1_serving_contract", "fx_scored", PUBLISHED + CONTRACT_SQL)
+def q1c(spark: SparkSession, sf: str) -> DataFrame:
+    """What is said of every day that may be served, from the current version of the manifest."""
+    root = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    manifest = manifest_of(spark, sf)
+    published.write_manifest(manifest, root)
+    published.write_manifest(published.mark_under_audit(published.read_manifest(spark, root)), root)
+    out = hs.serving_contract(predictions(spark, sf), published.read_manifest(spark, root), "1996-01-01")
+    return out.withColumn("available_dates", F.concat_ws(",", F.col("available_dates").cast("array<string>"))).drop("rating_distribution")
+
+
 @query("q4_availability", "fx_scored", PUBLISHED + """
 SELECT CASE WHEN date >= DATE '2000-12-31' THEN 'current' ELSE 'demo' END AS mode, species_id, max(date) AS prediction_date, count(DISTINCT date) AS date_count FROM pub GROUP BY 1, 2""")
 def q4(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,6 +125,38 @@ def mark_under_audit(manifest: DataFrame, warning: str = AUDIT_WARNING) -> DataF
     })
 
 
+POINTER = "CURRENT"
+
+
+def write_manifest(manifest: DataFrame, root: str) -> str:
+    """Write a new version of the manifest beside the older ones, then point to it.
+
+    A version is never changed. The pointer is one small file that is renamed over the old one, so
+    a reader sees the old version or the new one, and a failed write leaves the old one in place.
+    """
+    spark = manifest.sparkSession
+    version = uuid.uuid4().hex
+    manifest.write.parquet(f"{root}/versions/{version}")
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    new, pointer = fs.Path(f"{root}/.{POINTER}-{version}"), fs.Path(f"{root}/{POINTER}")
+    out = new.getFileSystem(conf).create(new)
+    out.writeBytes(version)
+    out.close()
+    over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    store = new.getFileSystem(conf)
+    fs.FileContext.getFileContext(store.getUri(), conf).rename(store.makeQualified(new), store.makeQualified(pointer), over)
+    return version
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The version of the manifest that the pointer names."""
+    version = spark.read.text(f"{root}/{POINTER}").first()["value"]
+    return spark.read.parquet(f"{root}/versions/{version}")
+
+
 def serving_scan(sources: list[DataFrame], keys: list[str], numeric: list[str]) -> DataFrame:
     """Rows of the best source per key: an earlier source hides the later ones entirely.
 

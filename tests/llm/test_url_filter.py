@@ -32,3 +32,10 @@ def test_empty_tables(spark):
     assert rows(judge_urls(pages, rules)) == []
     some = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert rows(judge_urls(some, rules.limit(0), default="block")) == [(1, "a.org", "/", None, "block")]
+
+
+def test_a_host_of_very_many_labels(spark):
+    urls = ["http://" + "a." * 20_000 + end for end in ("org/x", "b.c/x/y", "net/", "example.org/es/" + "p" * 50_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows(judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")))
+    assert sorted(got) == [(i, *brute(u)) for i, u in enumerate(urls)]

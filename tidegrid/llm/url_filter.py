@@ -48,9 +48,9 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.")), ".")
 
 
-def _ancestors(host: Column) -> Column:
-    """The host and every host above it, reversed by labels, and the empty host."""
-    labels = F.reverse(F.split(host, r"\."))
+def _ancestors(host: Column, most: int) -> Column:
+    """The host and every host above it of at most ``most`` labels, reversed, and the empty host."""
+    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, max(1, most))
     whole = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
     return F.array_distinct(F.concat(F.array(F.lit("")), whole))
 
@@ -91,7 +91,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
         F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
     )
     named = stacked.groupBy("rhost").agg(F.lit(1).alias("known"))
-    every = base.select("id", "host", "path", F.explode(_ancestors(F.col("host"))).alias("rhost"))
+    # no rule has more labels than this, so none fits a longer ancestor
+    most = named.agg(F.max(F.size(F.split("rhost", r"\.")))).first()[0] or 0
+    every = base.select("id", "host", "path", F.explode(_ancestors(F.col("host"), most)).alias("rhost"))
     few = named.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     side = F.broadcast if few else lambda df: df
     slices = (

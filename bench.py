@@ -15,6 +15,7 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidegrid.plans import QUERIES  # noqa: E402
+from tidegrid.plans.modelling import forget  # noqa: E402
 from tidegrid.session import build_session  # noqa: E402
 
 HEADLINE = (
@@ -42,6 +43,7 @@ def main() -> None:
     for name in HEADLINE:
         best = None
         for _ in range(RUNS):
+            forget()
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start

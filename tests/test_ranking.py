@@ -99,3 +99,20 @@ def test_metrics(table, frame):
             assert (row.roc_auc, row.pr_auc, row.top_10_hit_rate) == pytest.approx((auc, ap, hit), abs=1e-9)
         else:
             assert np.isnan(got.loc[g].roc_auc)
+
+
+@pytest.mark.parametrize("few, buckets", [(100_000, 4096), (4, 3)])
+def test_quantiles_of_columns_by_ranges(spark, monkeypatch, few, buckets):
+    monkeypatch.setattr(ranking, "FEW_ROWS", few)
+    monkeypatch.setattr(ranking, "RANGE_BUCKETS", buckets)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 400), "x": rng.normal(size=400) ** 5, "y": rng.integers(0, 3, 400) * 1.0, "z": np.exp(rng.normal(size=400) * 9)})
+    pdf.loc[::6, "x"] = np.nan
+    pdf.loc[pdf.g == "b", "y"] = 7.0
+    rows = spark.createDataFrame(pdf).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in "xyz"}).withColumn("none", F.lit(None).cast("double"))
+    for share in (0.5, 0.0, 0.9, 1.0):
+        got = {(r["g"], r["column"]): r["value"] for r in ranking.column_quantiles(rows, ["g"], ["x", "y", "z", "none"], share).collect()}
+        want = {(None if pd.isna(g) else g, i): part[c].dropna().quantile(share) for g, part in pdf.groupby("g", dropna=False) for i, c in enumerate("xyz")}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    assert ranking.column_quantiles(rows.limit(0), ["g"], ["x"]).isEmpty()
+    assert [tuple(r) for r in ranking.column_quantiles(rows, [], ["y"]).collect()] == [(0, pdf.y.median())]

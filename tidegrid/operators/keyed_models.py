@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import finite
 from ..session import cut, small_side
-from .ranking import exact_quantiles, hash_key, hash_ranks
+from .ranking import column_quantiles, hash_key, hash_ranks
 from .trees import BINS, Trees, bin_edges, binned, booster, forest
 
 FIT_ROWS = 20_000
@@ -99,9 +99,8 @@ _TYPES = {"edges": np.float64, "feature": np.int8, "bin": np.uint8, "left": np.i
 def preprocessing(rows: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """species_id, grp, n, p, and median, mean and scale of every column, as arrays."""
     typed = rows.select(*KEY, row_id, "label", *[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    long = typed.unpivot([*KEY, row_id], columns, "feature", "value")
-    found = exact_quantiles(long, [*KEY, "feature"], "value", {"median": 0.5}, row_id)
-    medians = found.groupBy(*KEY).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_m{i}") for i, c in enumerate(columns)])
+    found = column_quantiles(typed, KEY, columns)
+    medians = found.groupBy(*KEY).agg(*[F.max(F.when(F.col("column") == i, F.col("value"))).alias(f"_m{i}") for i in range(len(columns))])
     # a column without a number is all zeros
     medians = small_side(medians.fillna(0.0))
     filled = typed.join(medians, KEY).withColumns({f"_f{i}": F.coalesce(c, f"_m{i}") for i, c in enumerate(columns)})

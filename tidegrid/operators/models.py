@@ -26,12 +26,12 @@ from ..config import (
 )
 from ..functions.numbers import finite
 from ..functions.suitability import rating_strict
-from ..session import cut
+from ..session import cut, small_side
 from .audit import column_profile, keep_column, usable_columns
 from .display import contrast_score, display_mask
-from .keyed_models import BASELINES, CORRECTED, TUNED, Effort, candidate_id, fit_models, score_rows
+from .keyed_models import BASELINES, CORRECTED, TUNED, Effort, Estimator, candidate_id, fit_models, score_rows
 from .metrics import confidence_tier, evaluate, pick_candidate, poor_result_reasons, rank_candidates
-from .ranking import average_rank_percentile, exact_quantiles, relative_score
+from .ranking import average_rank_percentile, column_quantiles, relative_score
 from .sampling import downsample_background, min_depth, offshore
 
 # fixed values: sets whose candidates are tuned, strategies of the corrected retrain
@@ -75,11 +75,9 @@ class Preprocessor:
 
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str], row_id: str) -> "Preprocessor":
-        """Exact medians by distributed rank; mean and deviation after filling."""
-        typed = train.select(row_id, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
-        long = typed.unpivot([row_id], columns, "feature", "value")
-        found = exact_quantiles(long, ["feature"], "value", {"median": 0.5}, row_id).collect()
-        median = {r["feature"]: r["median"] for r in found}
+        """Exact medians by narrowing ranges; mean and deviation after filling."""
+        typed = train.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+        median = {columns[r["column"]]: r["value"] for r in column_quantiles(typed, [], columns).collect()}
         filled = [F.coalesce(c, F.lit(median.get(c, 0.0))).alias(c) for c in columns]
         stats = typed.select(*filled).agg(
             *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)],
@@ -258,6 +256,19 @@ def train_all(data: DataFrame, row_id: str, effort: Effort = Effort(), ratios: t
     return Trained(models, columns, cut(candidate_results(models, split_metrics(able, models, columns, row_id), why)))
 
 
+def species_models(data: DataFrame, row_id: str, names: tuple[str, ...], estimator: Estimator = BASELINES[2], ratio: int = 5,
+                   effort: Effort = Effort()) -> tuple[DataFrame, list[str]]:
+    """One model of every species that may be trained, without a choice among candidates, and its columns."""
+    data = data.where(F.col("species_id").isNotNull())
+    columns = _columns_of(data, names)
+    able = data.join(small_side(training_reasons(data).where("reason = 'ready'")), "species_id", "left_semi")
+    keyed = keyed_sets(usable_by_group(able, columns, ["species_id"]), {"own": tuple(columns)}, columns, 3).withColumns({
+        "grp": F.lit("own"), "prefix": F.lit("own"), "ratio": F.lit(ratio).cast("long"), "tuned": F.lit(False)})
+    train = able.where(F.col("split") == "train").select("species_id", row_id, "label", *columns)
+    drawn = downsample_background(train, ratio, ["species_id"], row_id).withColumn("grp", F.lit("own"))
+    return fit_models(drawn, keyed, columns, (estimator,), row_id, effort), columns
+
+
 def own_models(trained: Trained, chosen: DataFrame) -> DataFrame:
     """The rows of the model table that ``chosen`` (species_id, candidate_id) names."""
     picked = chosen.select("species_id", F.col("candidate_id").alias("_chosen"))

@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col
+from ..session import small_side
 
 MAX_BUCKETS = 2048
+#: narrowing of ranges: buckets a pass, rows that need no more of it, passes at most
+RANGE_BUCKETS, FEW_ROWS, NARROWINGS = 4096, 100_000, 8
 INF = float("inf")
 
 
@@ -255,6 +258,41 @@ def exact_quantiles(
     ])
 
 
+def column_quantiles(df: DataFrame, groups: list[str], columns: list[str], share: float = 0.5) -> DataFrame:
+    """``groups``, column (a place in ``columns``) and value: the linearly interpolated quantile of
+    every column and group, in the same passes.
+
+    The range of each column is narrowed to the bucket that holds the wanted positions, from counts
+    alone, until it holds few rows; only those are ranked. NULL values take no part.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    long = df.select(*groups, each.alias("e")).select(*groups, "e.*").where(F.col("v").isNotNull())
+    keys = [*groups, "column"]
+    first = long.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count("*").alias("_n"))
+    place = F.lit(share) * (F.col("_n") - 1)
+    state = first.withColumns({"_a": F.floor(place), "_z": F.ceil(place), "_before": F.lit(0).cast("long"), "_in": F.col("_n")})
+    for _ in range(NARROWINGS):
+        state = small_side(state)
+        if state.where((F.col("_in") > FEW_ROWS) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            break
+        share_of = (F.col("v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        bucket = F.least(F.lit(RANGE_BUCKETS - 1), F.floor(F.coalesce(share_of, F.lit(0.0)) * RANGE_BUCKETS)).cast("int")
+        inside = null_safe_join(long, state, keys).where(F.col("v").between(F.col("_lo"), F.col("_hi")))
+        counts = inside.groupBy(*keys, "_n", "_a", "_z", "_before", bucket.alias("_b")).agg(F.count("*").alias("_c"), F.min("v").alias("_v0"), F.max("v").alias("_v1"))
+        upto = Window.partitionBy(*keys).orderBy("_b")
+        ranked = counts.withColumn("_from", F.col("_before") + F.sum("_c").over(upto) - F.col("_c"))
+        held = (F.col("_from") <= F.col("_z")) & (F.col("_from") + F.col("_c") > F.col("_a"))
+        state = ranked.where(held).groupBy(*keys, "_n", "_a", "_z").agg(
+            F.min("_v0").alias("_lo"), F.max("_v1").alias("_hi"), F.min("_from").alias("_before"), F.sum("_c").alias("_in"))
+    few = null_safe_join(long, state, keys).where(F.col("v").between(F.col("_lo"), F.col("_hi")))
+    values = few.groupBy(*keys, "_n", "_a", "_z", "_before", "v").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("v")
+    placed = values.withColumn("_end", F.col("_before") + F.sum("_c").over(upto)).withColumn("_from", F.col("_end") - F.col("_c"))
+    at = lambda p: F.max(F.when((F.col("_from") <= F.col(p)) & (F.col("_end") > F.col(p)), F.col("v")))
+    found = placed.groupBy(*keys, "_n", "_a").agg(at("_a").alias("_x"), at("_z").alias("_y"))
+    return found.select(*keys, (F.col("_x") + (F.col("_y") - F.col("_x")) * (place - F.col("_a"))).alias("value"))
+
+
 def hash_key(*parts: Column | str, seed: int | str = 42) -> Column:
     """Repeatable pseudo-random order: the same on every cluster and partitioning."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(p).cast("string") for p in parts]))

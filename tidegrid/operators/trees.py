@@ -13,7 +13,7 @@ import numpy as np
 
 BINS = 32
 _LEAST_GAIN = 1e-12
-_WALK = 1 << 20
+_WALK = 1 << 14
 
 
 def bin_edges(x: np.ndarray) -> np.ndarray:
@@ -51,19 +51,23 @@ class Trees:
 
     def sums(self, bins: np.ndarray) -> np.ndarray:
         """The sum of the leaf values that each row meets."""
-        n, total = len(bins), np.zeros(len(bins))
+        n, f = bins.shape
+        total = np.zeros(n)
+        flat, feature = np.ascontiguousarray(bins).ravel(), self.feature.astype(np.int32)
+        line = np.arange(n, dtype=np.int32) * f
+        # few trees at a time: what is looked up stays in the cache
         several = max(1, _WALK // max(1, n))
-        rows = np.arange(n)
         for first in range(0, len(self.roots), several):
-            at = np.repeat(self.roots[first : first + several, None], n, axis=1)
+            roots = self.roots[first : first + several]
+            at, rows = np.repeat(roots, n), np.tile(line, len(roots))
             while True:
-                left = self.left[at]
+                left = self.left.take(at)
                 inner = left >= 0
                 if not inner.any():
                     break
-                right = bins[rows, self.feature[at]] > self.bin[at]
+                right = flat.take(rows + feature.take(at)) > self.bin.take(at)
                 at = np.where(inner, left + right, at)
-            total += self.value[at].sum(axis=0)
+            total += self.value.take(at).reshape(len(roots), n).sum(axis=0)
         return total
 
 

@@ -35,6 +35,11 @@ def once(spark: SparkSession, sf: str, name: str, make: Callable):
     return _MADE[key]
 
 
+def forget() -> None:
+    """Make everything anew at the next call, as a measurement must."""
+    _MADE.clear()
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Training rows with season features and the time split."""
     rows = training(spark, sf).withColumns(season_features("date"))
@@ -271,15 +276,13 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Every cell scored by the selected model of its own species, in one pass."""
+    """Every cell scored by the booster of its own species, in one pass."""
     def make() -> DataFrame:
         rows = cut(cells(spark, sf))
-        run = models.train_all(rows, "cell_id", ratios=(5,), tuned=False, sets={"no_coordinates": MINIMUM_FEATURES + OPTIONAL_FEATURES})
-        presence = rows.groupBy("species_id").agg(F.count_if(F.col("label") == 1).alias("presence_count"))
-        own = models.own_models(run, models.select_models(run.candidates, presence))
+        own, columns = models.species_models(rows, "cell_id", MINIMUM_FEATURES + OPTIONAL_FEATURES)
         keep = ["cell_id", "species_id", "yr", "lat", "lon", "depth_m", "ocean_mask", "distance_to_coast_km", "sst_c", "sst_front_strength",
                 "current_speed", "current_edge_score", "distance_to_shelf_break"]
-        return cut(keyed_models.score_rows(rows, own, run.columns, keep, salts=(keyed_models.SALTS, 1)).drop("candidate_id"))
+        return cut(keyed_models.score_rows(rows, own, columns, keep, salts=(keyed_models.SALTS, 1)).drop("candidate_id"))
 
     return once(spark, sf, "cells", make)
 

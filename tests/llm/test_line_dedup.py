@@ -28,7 +28,8 @@ def brute(docs):
 
     for (a, s), (b, t) in combinations(zip(forms, sims), 2):
         x, y = a.decode(), b.decode()
-        if bin(s ^ t).count("1") <= DISTANCE and 100 * edits(x, y) <= 20 * max(len(x), len(y)):
+        # lines of one group need no further link
+        if bin(s ^ t).count("1") <= DISTANCE and root(a) != root(b) and 100 * edits(x, y) <= 20 * max(len(x), len(y)):
             up[root(b)] = root(a)
     first = {}
     for d, no, line in sorted(places):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import free_name, held, parts, table
+from tidegrid.llm.common import free_name, held, table
 from tidegrid.llm.graph import components, connect
 from tidegrid.llm.hashing import word_hashes
 
@@ -139,9 +139,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         # the work grows with the bound: most pairs are decided by a narrow one
         narrow = [x for x in (1, 5) if x < 100 - percent]
         close = F.expr(" OR ".join(f"({within(x)})" for x in (*narrow, 100 - percent)))
-        # long lines cost more than their bytes tell: pairs are dealt evenly, whatever their size
-        texts_of = pairs.join(a, "a").join(b, "b").repartition(parts(pairs.sparkSession), "a", "b")
-        return texts_of.where(close).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
 
     groups = components(connect(buckets, nodes, closeness, -distance, confirm))
     placed = (

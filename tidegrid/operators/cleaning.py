@@ -21,7 +21,7 @@ from ..config import (
 from ..functions.dates import date_precision, lenient_date
 from ..functions.geo import in_box
 from ..session import calendar
-from .ranking import first_rows, hash_key, top_n
+from .ranking import first_rows, hash_key, row_ranks, top_n
 
 REASONS = (
     "missing_coords", "invalid_coordinates", "missing_date", "before_start", "after_end",
@@ -180,10 +180,14 @@ def distinct_dates(clean: DataFrame) -> DataFrame:
 
 
 def capped_by_arrival(rows: DataFrame, cap: int | None = None) -> DataFrame:
-    """All records, or the first ``cap`` per species in arrival order where a cap is given."""
-    if cap is None:
-        return rows
-    return top_n(rows, ["species_id"], [F.col("seq")], cap).drop("rank")
+    """All records with ``arrival``, their place among those of the species in arrival order; the
+    first ``cap`` of them where a cap is given."""
+    if cap is not None:
+        return top_n(rows, ["species_id"], [F.col("seq")], cap, rank="arrival")
+    # records without a species are a group of their own
+    species = F.coalesce(F.concat(F.lit("="), F.col("species_id").cast("string")), F.lit(""))
+    ranked = row_ranks(rows.withColumn("_species", species), ["_species"], "seq", "seq", rank="arrival")
+    return ranked.select(*rows.columns, F.col("arrival").cast("long").alias("arrival"))
 
 
 def training_dates(clean: DataFrame, per_month: int | None = None, seed: int = 42) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import (
     CONTRAST_DEPTH_BINS,
     CURRENT_FEATURES,
-    EXPORT_LIMITS,
     MODELLED_SPECIES,
     MONTH_NAMES,
     PREDICT_BOX,
@@ -200,10 +199,11 @@ def rated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t3_stratified_export", "fx_scored", RATED + """
 
-SELECT cell_id, species_id, rating FROM rated QUALIFY row_number() OVER (PARTITION BY species_id, rating ORDER BY md5(concat_ws('|', '42', CAST(cell_id AS VARCHAR)))) <= """ + "CASE rating " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EXPORT_LIMITS.items()) + " END")
+SELECT cell_id, species_id, rating, row_number() OVER (PARTITION BY species_id, rating ORDER BY md5(concat_ws('|', '42', CAST(cell_id AS VARCHAR)))) AS draw FROM rated""")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rated cell with its place in the draw of its rating, which limits would go by."""
     cells = rated(spark, sf).select("cell_id", "species_id", "rating", "score")
-    return display.stratified_export(cells, ["species_id"], "cell_id", limits=EXPORT_LIMITS).drop("score")
+    return display.stratified_export(cells, ["species_id"], "cell_id").drop("score")
 
 
 @query("t4_recommended_list", "fx_scored", "SELECT cell_id, species_id, raw_score FROM fx_scored ORDER BY raw_score DESC, cell_id LIMIT 30")

@@ -84,3 +84,6 @@ def test_a_walk_equals_steps_node_by_node():
                 at = found.left[at] + (bins[row, found.feature[at]] > found.bin[at])
             want[row] += found.value[at]
     assert np.allclose(found.sums(bins), want, atol=1e-12) and len(found.sums(bins[:0])) == 0
+    # equal rows have equal sums, in a block of any size
+    whole = found.sums(bins)
+    assert all(np.array_equal(found.sums(bins[:n]), whole[:n]) for n in (1, 3, 50, 399))

@@ -9,6 +9,7 @@ from tests.test_keyed_models import COLUMNS, EFFORT, made, sets
 from tidegrid.operators import keyed_models as km
 from tidegrid.operators import trees
 from tidegrid.operators.ranking import hash_firsts, hash_key, hash_ranks
+from tidegrid.operators.sampling import downsample_background, downsample_unshuffled
 
 
 @pytest.mark.parametrize("depth", [5, 6, 14])
@@ -46,6 +47,13 @@ def test_rows_that_come_twice_count_twice(spark):
     assert hash_firsts(rows, ["g"], hash_key("id"), lambda sizes: sizes.withColumn("_limit", F.lit(101))).count() == 101
 
 
+def test_downsampled_rows_are_the_same(spark):
+    rows = spark.createDataFrame(made()).withColumn("species_id", F.when(F.col("row_id") % 5 > 0, F.col("species_id")))
+    rows = rows.unionByName(rows.where("label = 0").withColumns({"species_id": F.lit("none"), "row_id": F.col("row_id") + 10_000}))
+    want, got = (sorted(r["row_id"] for r in draw(rows, 2, ["species_id"], "row_id").collect()) for draw in (downsample_background, downsample_unshuffled))
+    assert got == want and len(got) > 900 - sum(made().label)
+
+
 def test_large_groups_are_drawn_alike_with_and_without_logistic_models(spark, monkeypatch):
     rows, keyed = spark.createDataFrame(made()), sets(spark)
     ranked = rows.withColumn("_h", hash_key("row_id", seed="fit")).withColumns({

@@ -62,8 +62,14 @@ def test_large_groups_are_drawn_alike_with_and_without_logistic_models(spark, mo
         "_rank": F.row_number().over(Window.partitionBy("species_id", "label").orderBy("_h"))})
     want = {r["row_id"] for r in ranked.where("_rank <= ceil(_size * least(1d, 200d / _n))").collect()}
     drawn = []
-    real = km._packed_groups
-    monkeypatch.setattr(km, "_packed_groups", lambda ready, *a: drawn.append({r["row_id"] for r in ready.collect()}) or real(ready, *a))
+    real = km.fitting_rows
+
+    def spy(*args):
+        found = real(*args)
+        drawn.append({r["row_id"] for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(km, "fitting_rows", spy)
     booster = [e for e in km.BASELINES if e.kind == "booster"]
     for estimators in (booster, [km.BASELINES[0], *booster]):
         km.fit_models(rows, keyed, COLUMNS, tuple(estimators), "row_id", EFFORT, fit_rows=200).count()

@@ -81,3 +81,25 @@ def test_masks_cover_all_pairs_of_blocks():
     for flips in ((0, 1, 2), (0, 30, 63), (12, 13, 40)):
         changed = sum(1 << b for b in flips)
         assert any(not m & changed for m in masks)
+
+
+def test_keys_are_dealt_out_once(spark, monkeypatch):
+    """Hashes of a key meet in one shuffle; no second table of all keys is joined to them."""
+    import contextlib
+    import io
+
+    import tidegrid.llm.line_dedup as module
+
+    plans, real = {}, module.held
+
+    def spy(df, name="held"):
+        with contextlib.redirect_stdout(io.StringIO()) as shown:
+            df.explain()
+        plans[name] = shown.getvalue()
+        return real(df, name)
+
+    monkeypatch.setattr(module, "held", spy)
+    docs = spark.createDataFrame([(1, "some longer words here\nother line"), (2, "some longer words here!"), (3, "number")], "doc_id long, text string")
+    got = line_groups(docs).select("doc_id", "line_no", line_first()).collect()
+    assert {(r[0], r[1]): tuple(r[2]) for r in got} == brute([tuple(r) for r in docs.collect()])
+    assert "Join" not in plans["close"] and "Window" in plans["close"]

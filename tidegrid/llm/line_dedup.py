@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import free_name, held, table
@@ -114,11 +114,13 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = held(line_table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "lines")
     sims = lines.select("sim", "node").distinct().groupBy("sim").agg(F.count("*").alias("classes"))
     keys = held(sims, "sims").select("sim", "classes", F.explode(_keys(distance)).alias("key"))
+    # the hashes of a key meet once, sorted: a table of all keys beside them would be as long as they are
+    of_key = Window.partitionBy("key")
+    beside = {"n": F.sum("classes"), "sims": F.count("*"), "lo": F.min("sim"), "hi": F.max("sim")}
     # where just two hashes of one class each share a key, their distance decides at once
-    shared = keys.groupBy("key").agg(
-        F.sum("classes").alias("n"), F.count("*").alias("sims"), F.min("sim").alias("lo"), F.max("sim").alias("hi"),
-    ).where(f"n > 1 and (sims > 2 or n > sims or bit_count(lo ^ hi) <= {distance})").select("key")
-    close = held(keys.join(shared, "key").select("key", "sim"), "close")
+    close = held(
+        keys.withColumns({name: found.over(of_key) for name, found in beside.items()})
+        .where(f"n > 1 and (sims > 2 or n > sims or bit_count(lo ^ hi) <= {distance})").select("key", "sim"), "close")
     near_sims = close.select("sim").distinct()
     few = near_sims.count() <= BROADCAST_ROWS
     texts = held(

@@ -72,3 +72,30 @@ def test_spark_scan_with_giant_and_odd_texts(spark, p, monkeypatch):
     back = out.select(decode(out["ids"], PATH).alias("t")).collect()
     assert sorted(r["t"] for r in back) == sorted(t or "" for _, t in data)
     assert encode(docs.limit(0), PATH).collect() == []
+
+
+def test_words_solved_together_are_those_solved_alone(p):
+    random.seed(4)
+    words = ["".join(random.choice(ALPHABET).replace(" ", MARK) for _ in range(random.randint(1, 24))) for _ in range(400)]
+    words += ["\ud800", "q" * 64, "日" * 3, MARK, MARK * 5, "\x00a"]
+    assert p.together(words) == [p.word(w) for w in words]
+    assert p.solved(words + words) == 2 * [p.word(w) for w in words]
+    assert p.encode_all(["", "a b", "a b"]) == [b"", p.encode("a b"), p.encode("a b")]
+
+
+def test_only_edges_of_chunks_travel(spark, monkeypatch):
+    """A chunk is read once: what is written after that holds no text but its edges, and the
+    words inside a chunk are not looked up again."""
+    seen, real = {}, module.held
+
+    def spy(df, name="held"):
+        out = real(df, name)
+        seen[name] = out
+        return out
+
+    monkeypatch.setattr(module, "held", spy)
+    docs = spark.createDataFrame([(1, "some words of a text " * 50), (2, "x"), (None, "other words " * 90)], "doc_id long, text string")
+    out = module.encode(docs, PATH, chunk=300, back_col="back")
+    assert {(r["doc_id"], r["back"]) for r in out.select("doc_id", "back").collect()} == {tuple(r) for r in docs.collect()}
+    assert "body" not in seen["chunks"].columns and not {"body", "inside"} & set(seen["edges"].columns)
+    assert max(len(r["head"] + r["tail"]) for r in seen["edges"].collect()) < 100

@@ -103,3 +103,21 @@ def test_keys_are_dealt_out_once(spark, monkeypatch):
     got = line_groups(docs).select("doc_id", "line_no", line_first()).collect()
     assert {(r[0], r[1]): tuple(r[2]) for r in got} == brute([tuple(r) for r in docs.collect()])
     assert "Join" not in plans["close"] and "Window" in plans["close"]
+
+
+def test_edits_found_are_never_too_few(spark):
+    from tidegrid.llm.line_dedup import edits_found
+
+    random.seed(5)
+    for n in range(400):
+        a = "".join(random.choice("ab é日") for _ in range(random.randint(0, 60)))
+        b = list(a if n % 4 else a[20:] + a[:20])
+        for _ in range(random.randint(0, 8)):
+            k = random.randint(0, len(b))
+            b[k : k + random.randint(0, 1)] = random.choice(["", "x", "日"])
+        b = "".join(b)
+        for bound in (0, 3, 12, 60):
+            assert edits_found(a, b, bound) >= edits(a, b)
+    line = " ".join(f"word{random.randrange(10**6)}" for _ in range(80))
+    changed = line[:40] + "other" + line[43:300] + line[307:500] + "é" + line[501:]
+    assert edits(line, changed) <= edits_found(line, changed, len(line) // 5) <= 20  # proved at sight

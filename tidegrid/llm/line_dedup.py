@@ -12,7 +12,8 @@ stays: the first by (id, text hash, line number).
 * Keys are made of the distinct hashes alone, two numbers each; classes come in for the few
   keys that more than one class has.
 * ``graph.connect`` goes through those without all pairs of a bucket and confirms links with
-  the edit distance on the whole normal forms.
+  the edit distance on the whole normal forms. A series of edits that is short enough proves a link;
+  only pairs for which none is found at sight have their least number of edits worked out.
 
 Defined cases: lines without letters or digits are never removed; a NULL text has no lines; rows
 of equal id and text count as one document; a NULL id comes first; an empty table gives an
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,6 +110,45 @@ def _keys(distance: int) -> Column:
     ])
 
 
+ANCHOR = 8
+
+
+def edits_found(a: str, b: str, bound: int) -> int:
+    """The length of some series of edits from ``a`` to ``b``, never less than the edit distance.
+
+    Common runs are followed; where they end, the next anchor of ``a`` that stands in ``b`` at most
+    as far on as ``bound`` allows goes on. What is beyond ``bound`` is not searched for.
+    """
+    i = j = edits = 0
+    while i < len(a) and j < len(b) and edits <= bound:
+        step = 64
+        while step:
+            if i + step <= len(a) and j + step <= len(b) and a[i : i + step] == b[j : j + step]:
+                i, j = i + step, j + step
+            else:
+                step >>= 1
+        left = bound - edits
+        for skip in range(min(left, len(a) - i - ANCHOR) + 1):
+            at = b.find(a[i + skip : i + skip + ANCHOR], j, j + left + ANCHOR)
+            if at >= 0:
+                edits += max(skip, at - j)
+                i, j = i + skip, at
+                break
+        else:
+            break
+    return edits + max(len(a) - i, len(b) - j)
+
+
+def _sure(a: str, b: str, percent: int) -> Column:
+    """True where edits are found that keep the similarity at ``percent``; not False for certain otherwise."""
+    @F.pandas_udf("boolean")
+    def found(x: pd.Series, y: pd.Series) -> pd.Series:
+        bounds = [(100 - percent) * max(len(p), len(q)) // 100 for p, q in zip(x, y)]
+        return pd.Series([edits_found(p, q, n) <= n for p, q, n in zip(x, y, bounds)], dtype="bool")
+
+    return found(a, b)
+
+
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
                 percent: int = PERCENT) -> DataFrame:
     """id, text_key, line_no, first_id, first_key, first_line, kept of every line with words."""
@@ -141,7 +182,7 @@ def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         # the work grows with the bound: most pairs are decided by a narrow one
         narrow = [x for x in (1, 5) if x < 100 - percent]
         close = F.expr(" OR ".join(f"({within(x)})" for x in (*narrow, 100 - percent)))
-        return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(_sure("a_norm", "b_norm", percent) | close).select("a", "b")
 
     groups = components(connect(buckets, nodes, closeness, -distance, confirm))
     placed = (

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: bytes of the batches that go to Python workers; Spark's own limit is 64 MB
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,18 @@ def drop_held(df: DataFrame) -> None:
         return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python workers of ``BATCH_BYTES`` at most, from now on in this session.
+
+    A batch of texts is held by the JVM outside its heap, by the worker, and once more as it is
+    taken apart, by every task of an executor at once. Results do not depend on batches.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` carries (case does not matter)."""
     taken = {c.lower() for c in df.columns}

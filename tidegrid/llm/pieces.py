@@ -39,18 +39,20 @@ from struct import pack
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import held, parts, table
+from tidegrid.llm.common import held, parts, small_batches, table
 
 MARK = "▁"
 CHUNK = 16_384
 FAN = 64
 MEMO_WORDS, MEMO_LETTERS = 200_000, 32
 TOGETHER_LETTERS, TOGETHER_LONGEST = 100_000, 64
-SLICE_ROWS = 128
+#: rows, and letters of their texts, that are solved at once
+SLICE_ROWS, SLICE_LETTERS = 128, 1 << 19
 LOW = -(2**60)
 
 
@@ -400,11 +402,23 @@ def _width(path: str) -> str:
 KEY = ["row"]
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def bounds(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """A few rows at a time: from and to, of at most ``SLICE_ROWS`` rows and, but for a single row, ``SLICE_LETTERS``."""
+    start = letters = 0
+    for k, size in enumerate(sizes):
+        if k - start == SLICE_ROWS or k > start and letters + size > SLICE_LETTERS:
+            yield start, k
+            start, letters = k, 0
+        letters += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _slices(batches: Iterator[pd.DataFrame], text: str = "head") -> Iterator[pd.DataFrame]:
     """A few rows at a time, so that results do not pile up beside a whole batch."""
     for batch in batches:
-        for start in range(0, len(batch), SLICE_ROWS):
-            yield batch.iloc[start : start + SLICE_ROWS]
+        for start, end in bounds(batch[text].str.len().tolist()):
+            yield batch.iloc[start:end]
 
 
 def _scan(chunks: DataFrame, most: int, product, start, onward, value: str, result: str, backwards: bool) -> DataFrame:
@@ -487,7 +501,7 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model_path)
-        for b in _slices(batches):
+        for b in _slices(batches, "body"):
             matrices, heads, ids, tails = zip(*p.opened(list(b["body"]), list(b["ahead"])))
             yield b[["row", "id", "text_key", "c", "ahead"]].assign(
                 m=[m.astype("<i8").tobytes() for m in matrices], head=heads, tail=tails, inside=[narrow(x, model_path) for x in ids])
@@ -545,6 +559,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
            back_col: str | None = None) -> DataFrame:
     """id, text_key (hash of the text), ids (array of int) of every row; with ``back_col`` also the text
     that the ids decode to, made beside them."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "text_key", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -553,8 +568,8 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_path)
         for batch in batches:
-            for start in range(0, len(batch), SLICE_ROWS):
-                some = batch.slice(start, SLICE_ROWS)
+            for start, end in bounds(pc.binary_length(batch.column("text")).to_pylist()):
+                some = batch.slice(start, end - start)
                 found = p.encode_all(some.column("text").to_pylist())
                 ends = np.cumsum([0, *map(len, found)]) // 4
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))

@@ -4,11 +4,14 @@ import public_tokenizers
 import pytest
 
 import tidegrid.llm.pieces as pieces
+from tidegrid.llm import line_dedup, near_dedup
 from tidegrid.llm.common import BATCH_BYTES
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 OPERATORS = {
     "pieces": lambda docs: pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), chunk=3000).select("doc_id", "ids"),
+    "line dedup": line_dedup.without_repeats,
+    "near dedup": near_dedup.keep_first,
 }
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import free_name, held, table
+from tidegrid.llm.common import free_name, held, small_batches, table
 from tidegrid.llm.graph import components, connect
 from tidegrid.llm.hashing import word_hashes
 
@@ -152,6 +152,7 @@ def _sure(a: str, b: str, percent: int) -> Column:
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
                 percent: int = PERCENT) -> DataFrame:
     """id, text_key, line_no, first_id, first_key, first_line, kept of every line with words."""
+    small_batches(docs.sparkSession)
     lines = held(line_table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "lines")
     sims = lines.select("sim", "node").distinct().groupBy("sim").agg(F.count("*").alias("classes"))
     keys = held(sims, "sims").select("sim", "classes", F.explode(_keys(distance)).alias("key"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import free_name, held, table
+from tidegrid.llm.common import free_name, held, small_batches, table
 from tidegrid.llm.graph import components, connect
 from tidegrid.llm.hashing import mix64, shingle_hashes, text_bytes, word_hashes
 
@@ -144,6 +144,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                 percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, component_id, and text_key and the group's name (NULL where it is alone) of every row."""
+    small_batches(docs.sparkSession)
     hasher = MinHasher(bands, rows)
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = held(sketches(rows_in, width, hasher), "sketches")

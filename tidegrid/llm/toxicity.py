@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import free_name, held, table
+from tidegrid.llm.common import free_name, held, small_batches, table
 
 FIT_ROWS = 6_000
 LEXICON_TERMS = 400
@@ -311,6 +311,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for every row."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     text_at, row = names.index(text_col), free_name(docs, score_col)
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])

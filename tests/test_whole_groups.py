@@ -40,6 +40,15 @@ def test_a_group_is_packed_whole_and_in_order(spark, monkeypatch):
         assert np.array_equal(got.T, trees.binned(x, edges)) and np.array_equal(np.concatenate([np.frombuffer(b["y"]) for b in mine]), y)
 
 
+def test_rows_without_an_id_are_packed_last(spark):
+    pdf = made()
+    rows = spark.createDataFrame(pdf).withColumn("row_id", F.when(F.col("label") == 0, F.col("row_id")))
+    ready = km.ready_rows(rows, km.preprocessing(rows, COLUMNS, "row_id"), COLUMNS, "row_id")
+    for block in km._packed_groups(ready, 3, "row_id").collect():
+        y = np.frombuffer(block["y"])
+        assert len(y) == (pdf.species_id == block["species_id"]).sum() and np.array_equal(y, np.sort(y)) and 0 < y.sum() < len(y)
+
+
 def test_blocks_and_shares_change_no_model(spark, monkeypatch):
     rows = spark.createDataFrame(made())
     packed = ("edges", "feature", "bin", "left", "value", "roots", "importance")
